@@ -96,7 +96,7 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]
     point = F.xxhash64(F.col("doc_id").cast("long"), F.lit("language-model"))
     chosen = None
     for lang, n in counts.items():
-        part = (F.col("lang") == lang) & (point < int(-(2**63) + min(1.0, per_language / n) * (2**64 - 1)))
+        part = (F.col("lang") == lang) & (point <= min(2**63 - 1, int(-(2**63) + min(1.0, per_language / n) * 2**64)))
         chosen = part if chosen is None else chosen | part
     return [(r["lang"], r["text"]) for r in known.where(chosen).select("lang", "text", "doc_id").collect()]
 

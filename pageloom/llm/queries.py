@@ -46,9 +46,9 @@ SQL: dict[str, str] = {
     "op1_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM benchmark),
-dn AS (SELECT doc_id, at, array_to_string(w[at + 1 : at + {_N}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(len(w) - {_N - 1})) AS at FROM d)),
-bn AS (SELECT item_id, at, array_to_string(w[at + 1 : at + {_N}], ' ') AS gram FROM (SELECT item_id, w, unnest(range(len(w) - {_N - 1})) AS at FROM b)),
-hit AS (SELECT doc_id, item_id, dn.at AS x, bn.at AS y FROM dn JOIN bn USING (gram)),
+dn AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + {_N}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(len(w) - {_N - 1})) AS p FROM d)),
+bn AS (SELECT item_id, p, array_to_string(w[p + 1 : p + {_N}], ' ') AS gram FROM (SELECT item_id, w, unnest(range(len(w) - {_N - 1})) AS p FROM b)),
+hit AS (SELECT doc_id, item_id, dn.p AS x, bn.p AS y FROM dn JOIN bn USING (gram)),
 island AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, item_id, x - y ORDER BY x) AS run FROM hit),
 best AS (SELECT doc_id, item_id, count(*) + {_N - 1} AS n, min(x) AS x, min(y) AS y FROM island GROUP BY doc_id, item_id, x - y, run)
 SELECT doc_id, item_id, n::INT AS match_words, x::INT AS doc_word, y::INT AS item_word FROM best
