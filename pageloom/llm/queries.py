@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import decontaminate, language, mixing, secrets
+from pageloom.llm import decontaminate, jaccard, language, mixing, secrets
 from pageloom.llm.shared import table
 from pageloom.llm.tokens import WORD_SQL
 
@@ -24,12 +24,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op7_secret_scan, op8_language_id, op10_mixing)
+    f.__name__: f for f in (op1_decontaminate, op7_secret_scan, op8_language_id, op9_jaccard_join, op10_mixing)
 }
 
 
@@ -54,6 +58,14 @@ best AS (SELECT doc_id, item_id, count(*) + {_N - 1} AS n, min(x) AS x, min(y) A
 SELECT doc_id, item_id, n::INT AS match_words, x::INT AS doc_word, y::INT AS item_word FROM best
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, x, y) = 1""",
     "op7_secret_scan": _secret_sql(),
+    "op9_jaccard_join": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1 : p + {jaccard.N}], ' ') AS gram
+ FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - {jaccard.N - 1}))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a, b, o::DOUBLE / (p.n + q.n - o) AS jaccard FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+WHERE o::DOUBLE / (p.n + q.n - o) >= {jaccard.THRESHOLD}""",
     "op10_mixing": f"""
 WITH per AS (SELECT source, sum(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')))::BIGINT AS tokens FROM documents GROUP BY source),
 raw AS (SELECT *, CASE WHEN tokens > 0 THEN pow(tokens::DOUBLE, {mixing.ALPHA}) ELSE 0 END AS raw FROM per),
