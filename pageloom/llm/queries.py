@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import decontaminate, jaccard, language, mixing, secrets
+from pageloom.llm import decontaminate, jaccard, language, mixing, secrets, suffix
 from pageloom.llm.shared import table
 from pageloom.llm.tokens import WORD_SQL
 
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op7_secret_scan, op8_language_id, op9_jaccard_join, op10_mixing)
+    f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op7_secret_scan, op8_language_id, op9_jaccard_join, op10_mixing)
 }
 
 
@@ -57,6 +61,16 @@ island AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, item_id, x - y
 best AS (SELECT doc_id, item_id, count(*) + {_N - 1} AS n, min(x) AS x, min(y) AS y FROM island GROUP BY doc_id, item_id, x - y, run)
 SELECT doc_id, item_id, n::INT AS match_words, x::INT AS doc_word, y::INT AS item_word FROM best
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, x, y) = 1""",
+    "op2_suffix_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
+g AS (SELECT doc_id, p, md5(array_to_string(w[p + 1 : p + {suffix.WORDS}], ' ')) AS gram
+ FROM (SELECT doc_id, w, unnest(range(len(w) - {suffix.WORDS - 1})) AS p FROM d)),
+r AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY gram) AS least, max(doc_id) OVER (PARTITION BY gram) AS most FROM g),
+f AS (SELECT DISTINCT doc_id, p + k AS word, doc_id <> least AS cut
+ FROM (SELECT *, unnest(range({suffix.WORDS})) AS k FROM r WHERE least <> most)),
+o AS (SELECT doc_id, word, bool_or(cut) AS cut FROM f GROUP BY doc_id, word),
+i AS (SELECT *, word - row_number() OVER (PARTITION BY doc_id ORDER BY word) AS run FROM o)
+SELECT doc_id, min(word)::INT AS first_word, count(*)::INT AS words, count(*) FILTER (cut)::INT AS cut_words FROM i GROUP BY doc_id, run""",
     "op7_secret_scan": _secret_sql(),
     "op9_jaccard_join": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
