@@ -4,7 +4,8 @@
 2. Sets that share banded minima belong to one family. Answers within a family come from one block product of its sets, so
    the index lists, which are ordered by family, skip a whole block of the same family at once.
 3. Other pairs come from lists of prefix n-grams: each posting has its position in its set, and positions and sizes bound the overlap
-   that is still possible; blocks that fall short are skipped. What is left is verified on the whole sets.
+   that is still possible; what falls short is skipped. A bitmap of each set's parities bounds the difference of the pairs
+   that are left (sets that differ in k bits differ in k elements or more); the few that pass are verified on the whole sets.
 
 Which families there are affects the work alone: every pair is found in its family or in the lists. N-grams are ordered by hash, with those seen
 often last; any order is exact.
@@ -24,7 +25,7 @@ from pageloom.llm.tokens import mix, steps, strings, window_hash, words
 
 N = 3
 THRESHOLD = 0.55
-BANDS, ROWS = 6, 2
+BANDS, ROWS = 10, 3
 #: Documents whose family is known to the executors, and n-grams that are ordered last: bounds on what is broadcast, not on answers.
 MOST_KNOWN, MOST_FREQUENT = 2_000_000, 500_000
 #: Documents in one block of a family.
@@ -47,10 +48,42 @@ def sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
                 yield window_hash(w.hash[p:q], q - p) if q > p else w.hash[:0]
 
 
+def _join_rows(least: np.ndarray) -> np.ndarray:
+    out = least[:, 0]
+    for k in range(1, least.shape[1]):
+        out = mix(out * np.uint64(5) + least[:, k])
+    return out
+
+
+def _bitmap(s: np.ndarray) -> bytes:
+    """Parities of how many elements fall on each bit; about two to four bits an element."""
+    m = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & (m - 1), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(p: bytes, q: bytes) -> int:
+    """A lower bound of the number of elements in one set alone, from bitmaps; the larger bitmap is folded to the smaller."""
+    x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps leave the threshold within reach."""
+    for batch in batches:
+        x, y = batch.column("sa").to_numpy(), batch.column("sb").to_numpy()
+        allowed = x + y - 2 * _needed(x, y, threshold)
+        ok = [_apart(p, q) <= most for p, q, most in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), allowed.tolist())]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def _outline(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Per document its set's identity, size and bands; per batch also the n-grams met three times or more (with doc_id null)."""
     for batch in batches:
-        ids, whole, size, bands, grams = [], [], [], [], []
+        ids, whole, size, bands, bits, grams = [], [], [], [], [], []
         for doc, s in zip(batch.column("doc_id").to_pylist(), sets(strings(batch.column("text")), n)):
             if not len(s):
                 continue
@@ -58,7 +91,8 @@ def _outline(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
             ids.append(doc)
             whole.append(int(mix(s * np.uint64(3)).sum()))
             size.append(len(s))
-            bands.append(mix(least[:, 0] * np.uint64(5) + least[:, 1] + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
+            bands.append(mix(_join_rows(least) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
+            bits.append(_bitmap(s))
             grams.append(s)
         if not ids:
             continue
@@ -71,8 +105,8 @@ def _outline(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         flat = pa.array(np.concatenate([*bands, np.zeros(0, np.int64)]))
         offsets = pa.array(np.r_[np.arange(k + 1) * BANDS, np.full(f, k * BANDS)].astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*ids, *[None] * f], pa.int64()), pa.array(np.r_[np.array(whole, np.uint64).view(np.int64), frequent]), pa.array(np.r_[size, count[often]].astype(np.int32)), pa.ListArray.from_arrays(offsets, flat)],
-            ["doc_id", "whole", "size", "bands"],
+            [pa.array([*ids, *[None] * f], pa.int64()), pa.array(np.r_[np.array(whole, np.uint64).view(np.int64), frequent]), pa.array(np.r_[size, count[often]].astype(np.int32)), pa.ListArray.from_arrays(offsets, flat), pa.array([*bits, *[None] * f], pa.binary())],
+            ["doc_id", "whole", "size", "bands", "bits"],
         )
 
 
@@ -265,11 +299,11 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(v).filter(ok)], ["a", "b", "jaccard"])
 
 
-def _base(docs: DataFrame, n: int, threshold: float, tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(pairs from the lists, pairs within families, outline of all sets, what is known of families): pairs are of sets, copies not yet derived."""
+def _base(docs: DataFrame, n: int, threshold: float, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """(pairs of sets, from the lists and within families; which documents are copies of which): answers of copies not yet derived."""
     spark: SparkSession = docs.sparkSession
     corpus = text_id(docs).where("doc_id is not null and text is not null")
-    outline = tables.write("outline", corpus.mapInArrow(lambda b: _outline(b, n), "doc_id long, whole long, size int, bands array<long>"))
+    outline = tables.write("outline", corpus.mapInArrow(lambda b: _outline(b, n), "doc_id long, whole long, size int, bands array<long>, bits binary"))
     frequent = outline.where("doc_id is null").groupBy("whole").agg(F.sum("size").alias("n")).where("n >= 16").orderBy(F.desc("n"), "whole").limit(MOST_FREQUENT).collect()
     own = outline.where("doc_id is not null").groupBy("whole", "size").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     own = tables.write("sets", own)
@@ -296,7 +330,16 @@ def _base(docs: DataFrame, n: int, threshold: float, tables: Tables) -> tuple[Da
     order = spark.sparkContext.broadcast(_Order(frequent, known))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     postings = corpus.mapInArrow(lambda b: _postings(b, n, threshold, order.value, buckets), _POSTINGS)
-    candidates = tables.write("candidates", postings.groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold), "a long, b long").distinct())
+    tables.drop("sets", "labels")
+    tables.tidy()
+    met = tables.write("met", postings.groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold), "a long, b long").distinct())
+    tables.tidy()
+    bits = outline.where("doc_id is not null").groupBy("doc_id").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    left = bits.select(F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("pa"))
+    right = bits.select(F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("pb"))
+    candidates = tables.write("candidates", met.join(left, "a").join(right, "b").mapInArrow(lambda b: _near(b, threshold), "a long, b long"))
+    tables.drop("outline", "met")
+    tables.tidy()
     chosen = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
     if chosen.count() <= MOST_KNOWN:
         ids = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in chosen.collect()], np.int64)))
@@ -308,7 +351,10 @@ def _base(docs: DataFrame, n: int, threshold: float, tables: Tables) -> tuple[Da
     across = candidates.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(lambda b: _verify(b, threshold), "a long, b long, jaccard double")
     inside = corpus.mapInArrow(lambda b: _families(b, n, order.value, blocks), "family long, x long, y long, own long, doc_id long, grams binary")
     inside = inside.groupBy("family", "x", "y").applyInArrow(lambda t: _products(t, threshold), "a long, b long, jaccard double")
-    return across, inside, outline, mapped
+    pairs = tables.write("pairs", across)
+    tables.drop("candidates")
+    tables.tidy()
+    return pairs.unionAll(inside), mapped
 
 
 def _all_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -323,8 +369,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     doc_id. Repeated rows of one doc_id count once. Other columns are not read. An empty table gives no rows.
     """
     tables = Tables(docs.sparkSession)
-    across, inside, _, mapped = _base(docs, n, threshold, tables)
-    pairs = across.unionAll(inside)
+    pairs, mapped = _base(docs, n, threshold, tables)
     # derived answers: a copy has its set's answers, and all copies of a set answer each other
     copies = mapped.where("doc_id != rep").select("doc_id", "rep").distinct()
     of = copies.unionByName(copies.select(F.col("rep").alias("doc_id"), "rep").distinct())
