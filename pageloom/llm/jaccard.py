@@ -378,3 +378,40 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame
     same = of.alias("l").join(of.alias("r"), "rep").where("l.doc_id < r.doc_id").select(F.col("l.doc_id").alias("p"), F.col("r.doc_id").alias("q"), F.lit(1.0).alias("jaccard"))
     both = wide.unionAll(same).where("p != q")
     return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard").dropDuplicates(["a", "b"])
+
+
+def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and group (the least doc_id of all that are connected by pairs of ``join``), for documents that have a partner.
+
+    Labels spread over the pairs of sets and jump along labels until none changes; copies take their set's label.
+    """
+    tables = Tables(docs.sparkSession)
+    pairs, mapped = _base(docs, n, threshold, tables)
+    copies = mapped.where("doc_id != rep").select("doc_id", "rep").distinct()
+    pairs = tables.write("edges", pairs.select("a", "b").distinct())
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = tables.write("label0", both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("g")).select(F.col("a").alias("v"), "g"))
+    done = 0
+    while True:
+        near = both.join(label.select(F.col("v").alias("b"), "g"), "b").groupBy(F.col("a").alias("v")).agg(F.min("g").alias("o"))
+        spread = label.join(near, "v", "left").select("v", F.col("g").alias("was"), F.least("g", "o").alias("g"))
+        jump = label.select(F.col("v").alias("g"), F.col("g").alias("h"))
+        done += 1
+        new = tables.write(f"label{done}", spread.join(jump, "g", "left").select("v", "was", F.least("g", "h").alias("g")))
+        moved = new.where("g < was").limit(1).count()
+        label = new.select("v", "g")
+        tables.drop(f"label{done - 1}")
+        if not moved:
+            break
+    own = copies.join(label, copies["rep"] == label["v"], "left").select("doc_id", F.coalesce("g", "rep").alias("group"))
+    reps = copies.select("rep").distinct().join(label, F.col("rep") == label["v"], "left_anti").select(F.col("rep").alias("doc_id"), F.col("rep").alias("group"))
+    return label.select(F.col("v").alias("doc_id"), F.col("g").alias("group")).unionAll(own).unionAll(reps)
+
+
+def dedup(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns kept, with one document of each group: the one with the least doc_id.
+
+    Repeated rows of one doc_id that stays all stay; rows with a null doc_id or text, and texts without words, stay too.
+    """
+    gone = groups(docs, n, threshold).where("doc_id != group").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pageloom.llm import decontaminate, jaccard, language, mixing, secrets, suffix
+import corpus_pipeline
+from pageloom.llm import chat, decontaminate, embedding, jaccard, language, licenses, mixing, pii, secrets, suffix
 from pageloom.llm.shared import table
 from pageloom.llm.tokens import WORD_SQL
 
@@ -20,6 +22,25 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no ratings: conversations lend each other their last replies. Masks are written as begin:end."""
+    out = chat.pairs(*chat.lent(table(spark, sf_dir, "conversations")))
+    marks = {m: F.array_join(F.transform(m, lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string"))), " ") for m in ("chosen_mask", "rejected_mask")}
+    return out.withColumnRenamed("id", "conv_id").withColumns(marks)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -37,8 +58,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op7_secret_scan, op8_language_id, op9_jaccard_join, op10_mixing)
+    f.__name__: f
+    for f in (op1_decontaminate, op2_suffix_dedup, op3_pii, op4_preference, op5_license_scan, op6_embedding_near, op7_secret_scan, op8_language_id, op9_jaccard_join, op10_mixing)
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 
 
 def _secret_sql() -> str:
@@ -71,6 +94,24 @@ f AS (SELECT DISTINCT doc_id, p + k AS word, doc_id <> least AS cut
 o AS (SELECT doc_id, word, bool_or(cut) AS cut FROM f GROUP BY doc_id, word),
 i AS (SELECT *, word - row_number() OVER (PARTITION BY doc_id ORDER BY word) AS run FROM o)
 SELECT doc_id, min(word)::INT AS first_word, count(*)::INT AS words, count(*) FILTER (cut)::INT AS cut_words FROM i GROUP BY doc_id, run""",
+    "op4_preference": f"""
+WITH t AS (SELECT DISTINCT conv_id AS id, turn, coalesce(role, 'unknown') AS role,
+ replace(replace(coalesce(text, ''), '{chat.OPEN}', '<| turn|>'), '{chat.CLOSE}', '<| end|>') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+l AS (SELECT id, max(turn) AS last, arg_max(text, turn) AS reply FROM t WHERE role = '{chat.SPEAKER}' GROUP BY id),
+p AS (SELECT x.id, x.last, x.reply AS c, y.reply AS r FROM l x JOIN l y ON y.id = xor(x.id, 1) WHERE x.reply <> y.reply),
+s AS (SELECT p.id, count(t.id)::INT AS shared_turns,
+ coalesce(string_agg('{chat.OPEN}' || t.role || chr(10) || t.text || '{chat.CLOSE}' || chr(10), '' ORDER BY t.turn), '') AS prompt
+ FROM p LEFT JOIN t ON t.id = p.id AND t.turn < p.last GROUP BY p.id)
+SELECT p.id AS conv_id, shared_turns, prompt, '{chat.OPEN}{chat.SPEAKER}' || chr(10) || c || '{chat.CLOSE}' || chr(10) AS chosen,
+ '{len(chat.OPEN + chat.SPEAKER) + 1}:' || ({len(chat.OPEN + chat.SPEAKER + chat.CLOSE) + 1} + length(c)) AS chosen_mask,
+ '{chat.OPEN}{chat.SPEAKER}' || chr(10) || r || '{chat.CLOSE}' || chr(10) AS rejected,
+ '{len(chat.OPEN + chat.SPEAKER) + 1}:' || ({len(chat.OPEN + chat.SPEAKER + chat.CLOSE) + 1} + length(r)) AS rejected_mask
+FROM p JOIN s USING (id)""",
+    "op6_embedding_near": f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.e, b.e) AS c FROM u a JOIN u b ON a.vec_id < b.vec_id)
+SELECT a, b, round(c, 4) AS cosine FROM p WHERE c >= {embedding.THRESHOLD}""",
     "op7_secret_scan": _secret_sql(),
     "op9_jaccard_join": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
@@ -88,3 +129,5 @@ n AS (SELECT d.*, floor(rate)::INT + (('0x' || substr(md5('{mixing.SEED}:' || do
  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INT AS copy FROM n""",
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
