@@ -49,7 +49,7 @@ _EDGE = "\"'`.,;:!?*#$%&|<>[]{}"
 def _shape(token: str) -> str:
     """Digits as their number, letters as ``a``, other signs as they are; long shapes are cut in the middle, not at the value."""
     out = re.sub(r"[^\W\d_]+", "a", token)
-    out = re.sub(r"\d+", lambda m: f"{len(m[0])}d" if len(m[0]) < 20 else "Nd", out)
+    out = re.sub(r"[0-9]+", lambda m: f"{len(m[0])}d" if len(m[0]) < 20 else "Nd", out)
     return out if len(out) <= 60 else out[:30] + "~" + out[-29:]
 
 
@@ -65,7 +65,7 @@ def features(token: str, before: str, after: str) -> list[str]:
     shape = _shape(core)
     digits = sum(c.isdigit() for c in core)
     at = core.find("@")
-    out = [f"s:{shape}", f"n:{min(digits, 20)}", f"p:{_shape(before.strip(_EDGE))}|{shape}"[:120], f"f:{shape}|{_shape(after.strip(_EDGE))}"[:120], f"w:{before.lower().strip(_EDGE)[:24]}"]
+    out = [f"s:{shape}", f"n:{min(digits, 20)}", "c:" + re.sub(r"[0-9]+d|Nd", "d", shape), f"p:{_shape(before.strip(_EDGE))}|{shape}"[:120], f"f:{shape}|{_shape(after.strip(_EDGE))}"[:120], f"w:{before.lower().strip(_EDGE)[:24]}"]
     if at > 0 and "." in core[at:] and re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", core):
         out.append("mail")
     if any(c.isalpha() for c in core):
