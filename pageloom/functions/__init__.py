@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -42,6 +43,12 @@ class Plan:
         return self.schema.apply(enc.text_of(html, enc.caller_label(encoding)))
 
 
+@lru_cache(maxsize=256)
+def compiled(selector: str) -> Plan:
+    """One selector's plan, kept by the worker."""
+    return Plan([selector])
+
+
 def extract(html: bytes | str, queries: Any, encoding: str | None = None, *, strict: bool = True) -> list[list[str]]:
     """All values of each selector, in document order."""
     return Plan(queries, strict=strict).extract(html, encoding)
@@ -71,15 +78,9 @@ def detect_encoding_column(html: Column | str, label: Column | str | None = None
 def register(spark: SparkSession) -> None:
     """SQL functions: page_extract(html, selector), page_first(html, selector), detect_encoding(html, label), resolve_label(label),
     selector_supported(selector), and the table functions html_nodes(html), html_texts(html), scan_selectors(path, source)."""
-    from functools import lru_cache
-
     from pageloom.operators.relational import NODE_TYPE, TEXT_TYPE, node_rows, text_rows
     from pageloom.scan import SITE_TYPE, scan_source
 
-    @lru_cache(maxsize=256)
-    def compiled(selector: str) -> Plan:
-        return Plan([selector])
-
     @F.arrow_udf("array<string>")
     def page_extract(pages: pa.Array, selectors: pa.Array) -> pa.Array:
         values = [None if q is None else compiled(q).extract(h or "")[0] for h, q in zip(pages.to_pylist(), selectors.to_pylist())]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import detect_encoding_column
 from pageloom.operators.relational import Relational, html_nodes, html_texts
 from pageloom.page import Page, re_first
+from pageloom.plans.verdict import terminals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +58,7 @@ def _fused(selector: str) -> Query:
 def _relational(selector: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = order_pages(spark, sf_dir)
-        return Relational(html_nodes(pages, source=True), html_texts(pages)).values(selector).select(F.col("page").alias("page_id"), "ord", "value")
+        return Relational(html_nodes(pages, source=terminals(selector) == "outer"), html_texts(pages)).values(selector).select(F.col("page").alias("page_id"), "ord", "value")
 
     return run
 

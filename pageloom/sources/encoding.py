@@ -96,17 +96,17 @@ def prescan(body: bytes) -> str | None:
         found = _declared((m[1] or m[2] or b"").decode("latin-1"))
         if found:
             return found
-    text, at = body.decode("latin-1"), 0
+    text, at, head = body.decode("latin-1"), 0, True
     while m := _PIECE.search(text, at):
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
-            if m.start() >= PRESCAN and name == "head":
-                return None
+            head = head and name != "head"
             continue
-        if m.start() >= PRESCAN and name not in _HEAD:
+        head = head and name in _HEAD
+        if m.start() >= PRESCAN and not head:
             return None
         if name in _OPAQUE:
             end = re.compile(rf"</{name}", re.IGNORECASE).search(text, at)
