@@ -64,8 +64,9 @@ def features(token: str, before: str, after: str) -> list[str]:
     core = token.strip(_EDGE)
     shape = _shape(core)
     digits = sum(c.isdigit() for c in core)
+    around = [x if any(c.isdigit() for c in x) else "a" for x in (_shape(before.strip(_EDGE)), _shape(after.strip(_EDGE)))]
     at = core.find("@")
-    out = [f"s:{shape}", f"n:{min(digits, 20)}", "c:" + re.sub(r"[0-9]+d|Nd", "d", shape), f"p:{_shape(before.strip(_EDGE))}|{shape}"[:120], f"f:{shape}|{_shape(after.strip(_EDGE))}"[:120], f"w:{before.lower().strip(_EDGE)[:24]}"]
+    out = [f"s:{shape}", f"n:{min(digits, 20)}", "c:" + re.sub(r"[0-9]+d|Nd", "d", shape), f"t:{around[0]}|{shape}|{around[1]}"[:180], f"p:{_shape(before.strip(_EDGE))}|{shape}"[:120], f"f:{shape}|{_shape(after.strip(_EDGE))}"[:120], f"w:{before.lower().strip(_EDGE)[:24]}"]
     if at > 0 and "." in core[at:] and re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", core):
         out.append("mail")
     if any(c.isalpha() for c in core):
@@ -194,8 +195,9 @@ def lines(count: int = LINES, seed: int = 5) -> list[tuple[str, list[tuple[str,
         elif kind == 4:
             row.append((".".join(str(x) for x in rng.integers(1, 255, 4)), 5))
         else:
-            form = [d(int(rng.integers(1, 5))), f"{d(1)}.{d(int(rng.integers(1, 3)))}", f"{d(4)}-{d(2)}-{d(2)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{word()}{d(2)}", f"{d(1)},{d(3)}", f"{d(2)}%", f"@{word()}", d(7), d(10), d(int(rng.integers(5, 16))), d(int(rng.integers(17, 22))), f"{d(3)}{word()}{d(4)}{word()[:2]}{d(3)}"]
-            row.append((str(form[int(rng.integers(0, len(form)))]), 0))
+            for _ in range(int(rng.integers(1, 5))):
+                form = [d(int(rng.integers(1, 5))), d(4), d(4), f"{rng.integers(1900, 2040)}", f"{d(1)}.{d(int(rng.integers(1, 3)))}", f"{d(4)}-{d(2)}-{d(2)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{word()}{d(2)}", f"{d(1)},{d(3)}", f"{d(2)}%", f"@{word()}", d(7), d(10), d(int(rng.integers(5, 16))), d(int(rng.integers(17, 22))), f"{d(3)}{word()}{d(4)}{word()[:2]}{d(3)}"]
+                row.append((str(form[int(rng.integers(0, len(form)))]), 0))
         plain(int(rng.integers(1, 4)))
         out.append(row)
     return [(" ".join(t for t, _ in row), row) for row in out]
