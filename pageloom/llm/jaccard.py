@@ -4,7 +4,8 @@
 2. Sets that share banded minima belong to one family. Answers within a family come from one block product of its sets, so
    the index lists, which are ordered by family, skip a whole block of the same family at once.
 3. Other pairs come from lists of prefix n-grams: each posting has its position in its set, and positions and sizes bound the overlap
-   that is still possible; what falls short is skipped. A bitmap of each set's parities bounds the difference of the pairs
+   that is still possible; what falls short is skipped. Prefixes are so long that a pair shares ``SHARED`` n-grams of them, or all that it needs; pairs
+   that share fewer are dropped before anything else is fetched. A bitmap of each set's parities bounds the difference of the pairs
    that are left (sets that differ in k bits differ in k elements or more); the few that pass are verified on the whole sets.
 
 Which families there are affects the work alone: every pair is found in its family or in the lists. N-grams are ordered by hash, with those seen
@@ -21,15 +22,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.shared import Tables, text_id
-from pageloom.llm.tokens import mix, steps, strings, window_hash, words
+from pageloom.llm.tokens import mix, pieces, steps, strings, window_hash, words
 
 N = 3
 THRESHOLD = 0.55
 BANDS, ROWS = 10, 3
 #: Documents whose family is known to the executors, and n-grams that are ordered last: bounds on what is broadcast, not on answers.
 MOST_KNOWN, MOST_FREQUENT = 2_000_000, 500_000
+#: N-grams that the prefixes of a pair must share.
+SHARED = 6
 #: Documents in one block of a family.
-BLOCK = 1500
+BLOCK = 1000
 
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None]
 
@@ -82,7 +85,7 @@ def _near(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
 
 def _outline(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Per document its set's identity, size and bands; per batch also the n-grams met three times or more (with doc_id null)."""
-    for batch in batches:
+    for batch in pieces(batches):
         ids, whole, size, bands, bits, grams = [], [], [], [], [], []
         for doc, s in zip(batch.column("doc_id").to_pylist(), sets(strings(batch.column("text")), n)):
             if not len(s):
@@ -113,19 +116,19 @@ def _outline(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
 class _Order:
     """What the executors know: n-grams that come last, and families of documents (-1 - family: a copy whose answers are derived)."""
 
-    def __init__(self, frequent: list, known: list) -> None:
-        grams = np.array([r["whole"] for r in frequent], np.int64).view(np.uint64)
-        rank = np.array([r["n"] for r in frequent], np.int64)
+    def __init__(self, frequent: pa.Table, known: pa.Table) -> None:
+        grams = frequent.column("whole").to_numpy().astype(np.int64).view(np.uint64)
+        rank = frequent.column("n").to_numpy().astype(np.int64)
         by_count = np.lexsort((grams, rank))
         place = np.empty(len(grams), np.int64)
         place[by_count] = np.arange(len(grams))
         order = np.argsort(grams)
         self.grams, self.place = grams[order], place[order]
-        docs = np.array([r["doc_id"] for r in known], np.int64)
+        docs = known.column("doc_id").to_numpy().astype(np.int64)
         order = np.argsort(docs)
         self.docs = docs[order]
-        self.family = np.array([r["family"] for r in known], np.int64)[order]
-        self.derived = np.array([r["derived"] for r in known], bool)[order]
+        self.family = known.column("family").to_numpy().astype(np.int64)[order]
+        self.derived = known.column("derived").to_numpy(zero_copy_only=False).astype(bool)[order] if len(docs) else np.zeros(0, bool)
 
     def find(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Family (its own doc_id where unknown), whether it is known, whether it is a copy."""
@@ -154,15 +157,16 @@ def _needed(size: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray
 
 
 def _postings(batches: Iterator[pa.RecordBatch], n: int, threshold: float, order: _Order, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        family, _, derived = order.find(docs)
+        family, known, derived = order.find(docs)
+        family = np.where(known, family ^ (1 << 62), family)  # a family and an unknown document may have one number
         keys, rows, places, size = [], [], [], np.zeros(len(docs), np.int32)
         for i, s in enumerate(sets(strings(batch.column("text")), n)):
             if derived[i] or not len(s):
                 continue
             size[i] = len(s)
-            k = order.prefix(s, len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1)
+            k = order.prefix(s, len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + SHARED)
             keys.append(k)
             rows.append(np.full(len(k), i, np.int32))
             places.append(np.arange(len(k), dtype=np.int32))
@@ -188,7 +192,7 @@ _POSTINGS = "bucket int, keys binary, places binary, counts binary, docs binary,
 
 
 def _candidates(table: pa.Table, threshold: float) -> pa.Table:
-    """Pairs of different families that share an n-gram from which the overlap needed can still be reached."""
+    """Pairs of different families, with how many n-grams they share from which the overlap needed can still be reached, and how many they must."""
     def col(name: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
 
@@ -205,7 +209,7 @@ def _candidates(table: pa.Table, threshold: float) -> pa.Table:
     key, place, row = key[by], place[by].astype(np.int64), row[by]
     family, size = families[row], sizes[row].astype(np.int64)
     n = len(key)
-    found: list[np.ndarray] = []
+    found, often = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if n:
         edge = np.append(np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), n)
         last = np.repeat(edge[1:], np.diff(edge))
@@ -215,24 +219,29 @@ def _candidates(table: pa.Table, threshold: float) -> pa.Table:
         total = np.concatenate([[0], np.cumsum(todo)])
         at = 0
         while at < n:
-            to = max(at + 1, int(np.searchsorted(total, total[at] + 2_000_000, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(total, total[at] + 400_000, "right")) - 1)
             k = todo[at:to]
             left = np.repeat(np.arange(at, to), k)
             right = np.arange(len(left)) - np.repeat(total[at:to] - total[at], k) + np.repeat(after[at:to], k)
-            overlap = 1 + np.minimum(size[left] - place[left] - 1, size[right] - place[right] - 1)
+            overlap = SHARED + np.minimum(size[left] - place[left] - 1, size[right] - place[right] - 1)
             ok = overlap >= _needed(size[left], size[right], threshold)
             small, large = np.minimum(row[left[ok]], row[right[ok]]), np.maximum(row[left[ok]], row[right[ok]])
-            found.append(np.unique(small.astype(np.int64) * len(docs) + large))
+            some, times = np.unique(small.astype(np.int64) * len(docs) + large, return_counts=True)
+            found.append(some)
+            often.append(times)
             at = to
-    code = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
-    x, y = docs[code // max(1, len(docs))], docs[code % max(1, len(docs))]
-    pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0) if len(code) else np.zeros((0, 2), np.int64)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    code, where = np.unique(np.concatenate(found), return_inverse=True)
+    times = np.bincount(where, np.concatenate(often), len(code)).astype(np.int64)
+    i, j = code // max(1, len(docs)), code % max(1, len(docs))
+    x, y = docs[i], docs[j]
+    must = np.minimum(SHARED, _needed(sizes[i].astype(np.int64), sizes[j].astype(np.int64), threshold))
+    differ = x != y
+    columns = {"a": np.minimum(x, y), "b": np.maximum(x, y), "shared": times.astype(np.int32), "must": must.astype(np.int32)}
+    return pa.table({k: v[differ] for k, v in columns.items()})
 
 
 def _chosen_sets(batches: Iterator[pa.RecordBatch], n: int, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         batch = batch.filter(pa.array(np.isin(docs, ids)))
         if batch.num_rows:
@@ -241,7 +250,7 @@ def _chosen_sets(batches: Iterator[pa.RecordBatch], n: int, ids: np.ndarray) ->
 
 def _families(batches: Iterator[pa.RecordBatch], n: int, order: _Order, blocks: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """Each document of a known family with its set, once for each pair of blocks that it takes part in."""
-    for batch in batches:
+    for batch in pieces(batches):
         docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         family, known, derived = order.find(docs)
         keep = known & ~derived
@@ -269,7 +278,7 @@ def _products(table: pa.Table, threshold: float) -> pa.Table:
     overlap = np.zeros((len(docs), len(docs)), np.float32)
     by = np.argsort(gram, kind="stable")
     row, gram = row[by], gram[by]
-    width = max(64, 8_000_000 // max(1, len(docs)))
+    width = max(64, 3_000_000 // max(1, len(docs)))
     for a in range(0, int(gram[-1]) + 1 if len(gram) else 0, width):
         x, y = np.searchsorted(gram, [a, a + width])
         part = np.zeros((len(docs), min(width, int(gram[-1]) + 1 - a)), np.float32)
@@ -304,7 +313,7 @@ def _base(docs: DataFrame, n: int, threshold: float, tables: Tables) -> tuple[Da
     spark: SparkSession = docs.sparkSession
     corpus = text_id(docs).where("doc_id is not null and text is not null")
     outline = tables.write("outline", corpus.mapInArrow(lambda b: _outline(b, n), "doc_id long, whole long, size int, bands array<long>, bits binary"))
-    frequent = outline.where("doc_id is null").groupBy("whole").agg(F.sum("size").alias("n")).where("n >= 16").orderBy(F.desc("n"), "whole").limit(MOST_FREQUENT).collect()
+    frequent = outline.where("doc_id is null").groupBy("whole").agg(F.sum("size").alias("n")).where("n >= 16").orderBy(F.desc("n"), "whole").limit(MOST_FREQUENT).toArrow()
     own = outline.where("doc_id is not null").groupBy("whole", "size").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     own = tables.write("sets", own)
     bands = own.select("rep", F.explode("bands").alias("band"))
@@ -325,14 +334,15 @@ def _base(docs: DataFrame, n: int, threshold: float, tables: Tables) -> tuple[Da
                 break
             least = r["docs"]
         mapped = mapped.where(F.col("docs") >= least if least is not None else F.lit(False))
-    known = mapped.select("doc_id", "family", (F.col("doc_id") != F.col("rep")).alias("derived")).collect()
+    known = mapped.select("doc_id", "family", (F.col("doc_id") != F.col("rep")).alias("derived")).toArrow()
     blocks = {r["family"]: -(-r["sets"] // BLOCK) for r in mapped.where(F.col("sets") > BLOCK).select("family", "sets").distinct().collect()}
     order = spark.sparkContext.broadcast(_Order(frequent, known))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     postings = corpus.mapInArrow(lambda b: _postings(b, n, threshold, order.value, buckets), _POSTINGS)
     tables.drop("sets", "labels")
     tables.tidy()
-    met = tables.write("met", postings.groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold), "a long, b long").distinct())
+    met = postings.groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold), "a long, b long, shared int, must int")
+    met = tables.write("met", met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("must").alias("must")).where("shared >= must").select("a", "b"))
     tables.tidy()
     bits = outline.where("doc_id is not null").groupBy("doc_id").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     left = bits.select(F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("pa"))
@@ -342,7 +352,7 @@ def _base(docs: DataFrame, n: int, threshold: float, tables: Tables) -> tuple[Da
     tables.tidy()
     chosen = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
     if chosen.count() <= MOST_KNOWN:
-        ids = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in chosen.collect()], np.int64)))
+        ids = spark.sparkContext.broadcast(np.sort(chosen.toArrow().column("doc_id").to_numpy().astype(np.int64)))
         have = corpus.mapInArrow(lambda b: _chosen_sets(b, n, ids.value), "doc_id long, grams binary")
     else:
         have = corpus.join(chosen, "doc_id", "left_semi").mapInArrow(lambda b: _all_sets(b, n), "doc_id long, grams binary")
@@ -358,7 +368,7 @@ def _base(docs: DataFrame, n: int, threshold: float, tables: Tables) -> tuple[Da
 
 
 def _all_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets(strings(batch.column("text")), n)], pa.binary())], ["doc_id", "grams"])
 
 

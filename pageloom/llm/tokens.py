@@ -75,6 +75,13 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]
         at = to
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 * STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is held for one stays small; a longer text is a batch of its own."""
+    for batch in batches:
+        for a, z in steps(strings(batch.column(text)), most):
+            yield batch.slice(a, z - a)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts on end, and the offset of each."""
     sizes = np.zeros(len(column) + 1, np.int64)
