@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.shared import Tables, text_id
-from pageloom.llm.tokens import IS_WORD, mix, raw, spans, steps, strings, whole, window_hash, words
+from pageloom.llm.tokens import mix, raw, steps, strings, whole, window_hash, word_spans, words
 
 #: A passage counts if at least so many words repeat.
 WORDS = 50
@@ -394,7 +394,7 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
             if not runs or texts[i] is None:
                 continue
             data, offsets = raw(strings(pa.array([texts[i]])))
-            start, end = spans(data, offsets, IS_WORD)
+            start, end = word_spans(data, offsets)
             drop = np.zeros(len(data) + 1, np.int32)
             for r in runs:
                 np.add.at(drop, [start[r["first"]], end[r["last"] + size - 1]], [1, -1])

@@ -1,20 +1,23 @@
 """Vectorised text scanning shared by the operators of this subpackage.
 
-A word is a maximal run of ASCII letters, digits, underscores and non-ASCII characters, lower-cased; everything else
-separates words. Words are 64-bit hashes, computed for a whole Arrow column at once: no Python object is made per word.
+A word is a maximal run of letters, marks, digits and underscores, lower-cased; everything else, Unicode's blanks and punctuation
+too, separates words. In scripts that set no blanks between words, each character (with the marks on it) is a word of its own.
+Words are 64-bit hashes, computed for a whole Arrow column at once: no Python object is made per word.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: The same words in the regular expressions of DuckDB and Java.
+#: The same words in the regular expressions of DuckDB and Java, as long as all characters beyond ASCII are letters of scripts with blanks.
 WORD_SQL = r"[0-9a-z_\x{80}-\x{10FFFF}]+"
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 19
@@ -35,6 +38,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the lowest k bytes
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
+#: Blocks of scripts without blanks between words: Thai and Lao, Myanmar, Khmer, Tai, Balinese, Javanese, kana, bopomofo and Han.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007),
+    (0x3021, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+#: Kinds of characters: between words, part of a word, a word of its own, mark on such a one.
+BETWEEN, PART, ALONE, ON_ALONE = range(4)
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of each code point. Joiners and soft hyphens are parts of words, and so is what Unicode doesn't name yet."""
+    out = np.full(0x110000, PART, np.uint8)
+    for first, last in UNSPACED:
+        out[first : last + 1] = ALONE
+    for c in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xD7B0, 0x20000), *range(0xE0000, 0xE01F0)):
+        category = unicodedata.category(chr(c))
+        if category[0] in "PSZ" or category == "Cc" or 0xFE00 <= c <= 0xFE0F or 0xE0100 <= c or (category == "Cf" and c not in (0xAD, 0x200C, 0x200D)):
+            out[c] = BETWEEN
+        elif out[c] == ALONE and category in ("Mn", "Mc", "Nd"):
+            out[c] = PART if category == "Nd" else ON_ALONE
+    return out
 
 
 @dataclass
@@ -105,6 +130,31 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of words, and the bytes behind them, in UTF-8."""
+    at = np.flatnonzero(data >= 0xC0)
+    lead, last = data[at].astype(np.int32), len(data) - 1
+    width = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead & (0x7F >> width)
+    for k in range(1, 4):
+        code = np.where(width > k, code << 6 | data[np.minimum(at + k, last)] & 0x3F, code)
+    kind = kinds()[np.minimum(code, 0x10FFFF)]
+    odd = kind != PART
+    if not odd.any():
+        return spans(data, offsets, IS_WORD)
+    at, width, kind = at[odd], width[odd], kind[odd]
+    of = IS_WORD[data].astype(np.uint8)
+    for k in range(4):
+        of[np.minimum(at + k, last)[width > k]] = kind[width > k]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before = np.r_[np.uint8(BETWEEN), of[:-1]]
+    begins = (of != BETWEEN) & (edge[:-1] | (before == BETWEEN) | ((of == PART) & (before >= ALONE)))
+    begins[at[kind == ALONE]] = True
+    ends = (of != BETWEEN) & (np.r_[of[1:] == BETWEEN, True] | edge[1:] | np.r_[begins[1:], True])
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     size = end - start
     h = size.astype(np.uint64) * _STEP
@@ -128,7 +178,7 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 def words(column: pa.Array) -> Words:
     data, offsets = raw(pc.utf8_lower(column))
-    start, end = spans(data, offsets, IS_WORD)
+    start, end = word_spans(data, offsets)
     ptr = np.searchsorted(start, offsets).astype(np.int64)
     return Words(hash_spans(data, start, end), start, end, ptr, data)
 
