@@ -234,6 +234,9 @@ def opening(tree: tuple) -> tuple[tuple, bool]:
             if cut:
                 return ("then", parts), True
         return tree, False
+    if tree[0] == "or":
+        options = [opening(option) for option in tree[1]]
+        return ("or", [option for option, _ in options]), any(cut for _, cut in options)
     if tree[0] == "times" and tree[2] > COUNTED:
         return ("times", opening(tree[1])[0], 1, 1) if opening(tree[1])[1] else ("times", tree[1], COUNTED, COUNTED), True
     return tree, False

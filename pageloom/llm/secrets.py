@@ -1,10 +1,12 @@
 """Secret scanning: all rules' openings in one minimal automaton, one pass over the bytes of each text.
 
-An opening is the rule as far as its first long counted run; where one is met, the rule's own automaton decides.
+An opening is the rule as far as its first long counted run; where one is met, the rule's own automaton decides. A private key
+goes on from the line that the rule matches to its END line.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ from pageloom.llm.automaton import hits, scanner, walk
 from pageloom.llm.shared import text_id
 from pageloom.llm.tokens import raw, steps, strings
 
-#: (name, pattern, ignore case)
+#: (name, pattern, ignore case), as SQL has them; ``EVERY`` is what is looked for.
 RULES = (
     ("assigned_secret", r'(token|secret|password|passwd|api_key|apikey|access_key) *[=:] *"?[0-9A-Za-z_/+-]{16,}"?', True),
     ("aws_access_key", r"(AKIA|ASIA)[0-9A-Z]{16}", False),
@@ -28,13 +30,27 @@ RULES = (
     ("slack_token", r"xox[baprs]-[0-9A-Za-z-]{10,}", False),
     ("url_password", r"[a-z]+://[^ \t\n:/@]+:[^ \t\n:/@]{3,}@", False),
 )
+_NAMES = "(token|secret|password|passwd|api_key|apikey|access_key)"
+#: Patterns that also match what RULES' own pattern doesn't: quotes of either kind around name and value, other signs in a quoted value.
+WIDER = {
+    "assigned_secret": f"""("{_NAMES}"|'{_NAMES}'|{_NAMES}["']?) *[=:] *("[^"' \\t\\r\\n]{{16,}}"|'[^"' \\t\\r\\n]{{16,}}'|["']?[0-9A-Za-z_/+-]{{16,}}["']?)""",
+}
+EVERY = tuple((name, WIDER.get(name, pattern), fold) for name, pattern, fold in RULES)
+_BREAK = rb"(?:\s|\\[rn])+"
+#: What follows a match of the rule and belongs to it: a key as far as its END line; where that line is missing, the key's headers and lines.
+TAILS = {
+    "private_key": re.compile(
+        rb"[^-]*(?:-{1,4}[^-]+)*-----END ([A-Z]+ )?PRIVATE KEY-----"
+        rb"|(?:" + _BREAK + rb"(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:" + _BREAK + rb"[0-9A-Za-z+/=]{40,})+(?:" + _BREAK + rb"[0-9A-Za-z+/=]+\s*\Z)?"
+    ),
+}
 #: Bytes that advance through the automaton together.
 STEP = 12 << 20
 SCHEMA = "doc_id long, rule string, ordinal int, secret string"
 
 
-def find(column: pa.Array, rules: tuple = RULES) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """(row, rule, begin, end, bytes of all rows) of each match: per rule leftmost-longest, not overlapping, in order."""
+def find(column: pa.Array, rules: tuple = EVERY) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(row, rule, begin, end, bytes of all rows) of each match: per rule leftmost-longest, with its tail, not overlapping, in order."""
     machine, back, full = scanner(rules)
     for a, z in steps(column, STEP):
         data, offsets = raw(column.slice(a, z - a))
@@ -50,9 +66,11 @@ def find(column: pa.Array, rules: tuple = RULES) -> Iterator[tuple[int, int, int
             least, limit = int(offsets[row]), int(offsets[row + 1])
             starts = {start for end in ends for start in walk(back[rule], data, end, least)}
             for begin in sorted(starts):
-                if begin >= least and (end := walk(full[rule], data, begin, limit)):
-                    yield a + row, rule, begin, end[-1], data
-                    least = end[-1]
+                if begin >= least and (ends := walk(full[rule], data, begin, limit)):
+                    least = ends[-1]
+                    if (tail := TAILS.get(rules[rule][0])) and (more := tail.match(data, least, limit)):
+                        least = more.end()
+                    yield a + row, rule, begin, least, data
 
 
 def _scan(batches: Iterator[pa.RecordBatch], rules: tuple) -> Iterator[pa.RecordBatch]:
@@ -69,10 +87,10 @@ def _scan(batches: Iterator[pa.RecordBatch], rules: tuple) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b), pa.array(c, pa.int32()), pa.array(d)], ["doc_id", "rule", "ordinal", "secret"])
 
 
-def scan(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple = EVERY) -> DataFrame:
     """One row per match: doc_id, rule, its number among the rule's matches in the text (from 0), and the text matched.
 
-    Matches of one rule don't overlap (leftmost, then longest); different rules may match the same place. Null and empty texts match nothing; a null
+    Matches of one rule don't overlap (leftmost, then longest); that of a private key is all of it, its END line too; different rules may match the same place. Null and empty texts match nothing; a null
     doc_id and repeated rows are scanned like others; other columns are not read. No exchange.
     """
     return text_id(docs).mapInArrow(lambda batches: _scan(batches, rules), SCHEMA)
@@ -102,7 +120,7 @@ def _mask(batches: Iterator[pa.RecordBatch], rules: tuple) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if texts is not None else column, *batch.columns[1:]], names=batch.schema.names)
 
 
-def mask(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
+def mask(docs: DataFrame, rules: tuple = EVERY) -> DataFrame:
     """The documents, all rows and columns kept, with each match in ``text`` replaced by its rule's name in brackets.
 
     Of overlapping matches the first counts, the rest of the others goes with it. A null text stays null. ``n_chars``, where
