@@ -1,6 +1,7 @@
 """Personal data by a skip-chain conditional random field over the tokens of a document.
 
-Tokens are runs of characters other than blanks. A token with neither a digit nor ``@`` is labelled O by definition; the others
+Tokens are runs of characters other than blanks, quotes, brackets and the signs that join values (``_SIGNS``); the brackets around a phone number's
+first three digits belong to their token. Tokens with such a sign between them are no neighbours. A token with neither a digit nor ``@`` is labelled O by definition; the others
 are free. Potentials: a linear model of a free token's shape and surroundings; the labels of free neighbours; and, for each two successive
 occurrences of an equal token, or of one with the same last seven digits, however far apart, whether their labels agree. Loopy belief
 propagation runs over all free tokens of a document together, so that a mention whose context leaves it open follows those that are plain.
@@ -39,8 +40,12 @@ _RULES = (
     ("SSN", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("IP", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])")),
 )
-_TOKEN = np.ones(256, bool)
+_SIGNS = ",;:=/|\"'`[]{}<>()"
+_SIGN = np.zeros(256, bool)
+_SIGN[[*_SIGNS.encode()]] = True
+_TOKEN = ~_SIGN
 _TOKEN[[9, 10, 11, 12, 13, 32]] = False
+_PARTS = re.compile(r"(?:\([0-9]{3}\)|[^\t\n\v\f\r " + re.escape(_SIGNS) + "])+")
 _FREE = np.zeros(256, bool)
 _FREE[[64, *range(48, 58)]] = True
 _EDGE = "\"'`.,;:!?*#$%&|<>[]{}"
@@ -92,13 +97,25 @@ class Field:
     skip: np.ndarray
 
 
-def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends, offsets of tokens by text, numbers of the free tokens)."""
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, offsets of tokens by text, numbers of the free tokens, whether a sign stands before each token)."""
     data, offsets = raw(column)
-    start, end = spans(data, offsets, _TOKEN)
+    marked = data.copy()
+    opens = np.flatnonzero(data[:-4] == 40)
+    opens = opens[data[opens + 4] == 41]
+    opens = opens[((data[opens[:, None] + np.arange(1, 4)] - 48).astype(np.uint8) < 10).all(axis=1)]
+    marked[opens] = marked[opens + 4] = 48
+    start, end = spans(marked, offsets, _TOKEN)
     ptr = np.searchsorted(start, offsets)
     total = np.concatenate([[0], np.cumsum(_FREE[data])])
-    return data, start, end, ptr, np.flatnonzero(total[end] > total[start])
+    signs = np.concatenate([[0], np.cumsum(_SIGN[marked])])
+    apart = np.r_[False, signs[start[1:]] > signs[end[:-1]]] if len(start) else np.zeros(0, bool)
+    return data, start, end, ptr, np.flatnonzero(total[end] > total[start]), apart
+
+
+def beside(token: str, apart: bool) -> str:
+    """A token's neighbour as ``features`` takes it: behind a sign another value is not part of this one, and counts as a word."""
+    return "x" if apart and re.search(r"[0-9@]", token) else token
 
 
 def edges(docs: np.ndarray, number: np.ndarray, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +210,7 @@ def lines(count: int = LINES, seed: int = 5) -> list[tuple[str, list[tuple[str,
         elif kind == 3:
             row.append((f"{d(3)}-{d(2)}-{d(4)}", 4))
         elif kind == 4:
-            row.append((".".join(str(x) for x in rng.integers(1, 255, 4)), 5))
+            row.append((".".join(str(x) for x in rng.integers(0, 256 if rng.random() < 0.6 else 12, 4)), 5))
         else:
             for _ in range(int(rng.integers(1, 5))):
                 form = [d(int(rng.integers(1, 5))), d(4), d(4), f"{rng.integers(1900, 2040)}", f"{d(1)}.{d(int(rng.integers(1, 3)))}", f"{d(4)}-{d(2)}-{d(2)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{word()}{d(2)}", f"{d(1)},{d(3)}", f"{d(2)}%", f"@{word()}", d(7), d(10), d(int(rng.integers(5, 16))), d(int(rng.integers(17, 22))), f"{d(3)}{word()}{d(4)}{word()[:2]}{d(3)}"]
@@ -208,22 +225,24 @@ def fit(rows: list[str] | None = None, epochs: int = EPOCHS) -> Model:
     texts, given = [], []
     for text, row in lines():
         texts.append(text)
-        given.append([label for _, label in row])
+        given.append([label for token, label in row for _ in _PARTS.findall(token)])
     for text in rows or []:
         texts.append(text)
         given.append(None)
     feature, label, docs, number, tokens = [], [], [], [], []
     for k, (text, own) in enumerate(zip(texts, given)):
-        parts = [(m.start(), m.end()) for m in re.finditer(r"[^\t\n\v\f\r ]+", text)]
+        parts = [m.span() for m in _PARTS.finditer(text)]
+        apart = [bool(i and text[parts[i - 1][1] : a].strip()) for i, (a, _) in enumerate(parts)] + [False]
+        steps_ = np.arange(len(parts)) + np.cumsum(apart[:-1])
         if own is None:
             own = _weak(text, [a for a, _ in parts], [z for _, z in parts])
         all_ = [text[a:z] for a, z in parts]
         for i, token in enumerate(all_):
             if re.search(r"[0-9@]", token):
-                feature.append(features(token, all_[i - 1] if i else "", all_[i + 1] if i + 1 < len(all_) else ""))
+                feature.append(features(token, beside(all_[i - 1], apart[i]) if i else "", beside(all_[i + 1], apart[i + 1]) if i + 1 < len(all_) else ""))
                 label.append(own[i])
                 docs.append(k)
-                number.append(i)
+                number.append(int(steps_[i]))
                 tokens.append(token)
     index: dict[str, int] = {}
     n, k = len(label), len(LABELS)
@@ -260,11 +279,12 @@ def entities(column: pa.Array, model: Model) -> Iterator[tuple[int, str, int, in
     """(row, label, first byte, byte behind the last, value): neighbouring tokens of one label are one entity."""
     for a, z in steps(column):
         part = column.slice(a, z - a)
-        data, start, end, ptr, free = tokens_of(part)
+        data, start, end, ptr, free, apart = tokens_of(part)
         if not len(free):
             continue
         _, offsets = raw(part)
         docs = np.searchsorted(ptr, free, "right") - 1
+        number = free + np.cumsum(apart)[free]
         whole = data.tobytes()
 
         def text(i: int) -> str:
@@ -273,12 +293,12 @@ def entities(column: pa.Array, model: Model) -> Iterator[tuple[int, str, int, in
         tokens = [text(i) for i in free.tolist()]
         unary = np.zeros((len(free), len(LABELS)))
         for r, (i, doc, token) in enumerate(zip(free.tolist(), docs.tolist(), tokens)):
-            before = text(i - 1) if i > ptr[doc] else ""
-            after = text(i + 1) if i + 1 < ptr[doc + 1] else ""
+            before = beside(text(i - 1), apart[i]) if i > ptr[doc] else ""
+            after = beside(text(i + 1), apart[i + 1]) if i + 1 < ptr[doc + 1] else ""
             for f in features(token, before, after):
                 if (c := model.index.get(f)) is not None:
                     unary[r] += model.unary[c]
-        left, right, skip = edges(docs, free, tokens)
+        left, right, skip = edges(docs, number, tokens)
         label = marginals(Field(unary, left, right, skip), model).argmax(axis=1)
         r = 0
         while r < len(free):
@@ -287,7 +307,7 @@ def entities(column: pa.Array, model: Model) -> Iterator[tuple[int, str, int, in
                 continue
             s = r
             joins = LABELS[label[r]] in ("PHONE", "CARD")
-            while joins and s + 1 < len(free) and docs[s + 1] == docs[r] and free[s + 1] == free[s] + 1 and label[s + 1] == label[r] and (LABELS[label[r]] != "CARD" or end[free[s]] - start[free[s]] < 10):
+            while joins and s + 1 < len(free) and docs[s + 1] == docs[r] and number[s + 1] == number[s] + 1 and label[s + 1] == label[r] and (LABELS[label[r]] != "CARD" or end[free[s]] - start[free[s]] < 10):
                 s += 1
             b, e = int(start[free[r]]), int(end[free[s]])
             while b < e and chr(whole[b]) in _EDGE:

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from pageloom.llm import decontaminate, jaccard, secrets, suffix
+from pageloom.llm import decontaminate, jaccard, pii, secrets, suffix
 from pageloom.llm.tokens import words
 
 KIND = "doc_id long, text string"
@@ -56,3 +56,19 @@ def test_whole_keys_and_quoted_secrets(spark):
     assert {r["doc_id"]: r["text"] for r in secrets.mask(docs).collect()} == {i: want for i, (_, want) in enumerate(cases)}
     found = {(r["doc_id"], r["ordinal"]): r["secret"] for r in secrets.scan(docs).collect()}
     assert found[0, 0] == found[0, 1] == key and found[2, 0] == cases[2][0] and found[4, 0] == f'"api_key": "{value}"'
+
+
+def test_pii_in_joined_values():
+    model = pii.fit()
+    csv = "17,bob.12@site.example.com,10.20.30.40,123-45-6789,4785380592391139,555-123-4567,555-765-4321,v1.2"
+    json = '{"mail":"amy@corp.org","ip":"192.168.10.7","ssn":"321-54-9876","card":4785380592391139,"n":12,"at":"2024-01-02"}'
+    log = "mail=al.5@site.net;ip=10.0.0.9|amy@corp.org/10.0.0.1 <bo@site.org> tel:(017) 555-7713"
+    want = [
+        {("EMAIL", "bob.12@site.example.com"), ("IP", "10.20.30.40"), ("SSN", "123-45-6789"), ("CARD", "4785380592391139"), ("PHONE", "555-123-4567"), ("PHONE", "555-765-4321")},
+        {("EMAIL", "amy@corp.org"), ("IP", "192.168.10.7"), ("SSN", "321-54-9876"), ("CARD", "4785380592391139")},
+        {("EMAIL", "al.5@site.net"), ("IP", "10.0.0.9"), ("EMAIL", "amy@corp.org"), ("IP", "10.0.0.1"), ("EMAIL", "bo@site.org"), ("PHONE", "(017) 555-7713")},
+    ]
+    texts = [csv, json, log]
+    found = list(pii.entities(pa.array(texts), model))
+    assert [{(label, value.decode()) for row, label, _, _, value in found if row == k} for k in range(3)] == want
+    assert all(texts[row].encode()[b:e] == value for row, _, b, e, value in found)
