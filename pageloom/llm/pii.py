@@ -28,7 +28,10 @@ LABELS = ("O", "EMAIL", "PHONE", "CARD", "SSN", "IP")
 SAMPLE = 600
 LINES = 1500
 EPOCHS = 120
+#: Sweeps that are made beyond the number of tokens, if messages still move.
 SWEEPS = 12
+#: A message that would move by less stays.
+STILL = 1e-5
 #: Share of the old message that is kept in each sweep.
 DAMPING = 0.2
 SCHEMA = "doc_id long, label string, begin int, end int, value string"
@@ -139,8 +142,13 @@ def edges(docs: np.ndarray, number: np.ndarray, tokens: list[str]) -> tuple[np.n
     return np.array(left, np.int64), np.array(right, np.int64), np.array(skip, bool)
 
 
-def marginals(field: Field, model: Model, sweeps: int = SWEEPS, damping: float = DAMPING) -> np.ndarray:
-    """Beliefs [token, label] by loopy sum-product over all edges at once; exact where the edges form no loop shorter than the sweeps reach."""
+def marginals(field: Field, model: Model, sweeps: int | None = None, damping: float = DAMPING) -> np.ndarray:
+    """Beliefs [token, label] by loopy sum-product; exact where the edges form no loop.
+
+    Each sweep renews the messages that leave a token which one that moved has reached, so that a chain of any length is covered for little
+    more than its length. Without ``sweeps`` it ends when none moves; loops that still swing after as many sweeps as there are tokens are damped
+    more, and as many again are their bound.
+    """
     n, k = field.unary.shape
     if not len(field.left):
         return _softmax(field.unary)
@@ -151,16 +159,27 @@ def marginals(field: Field, model: Model, sweeps: int = SWEEPS, damping: float =
     m = len(field.left)
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
     message = np.zeros((2 * m, k))
-    for _ in range(sweeps):
-        belief = field.unary + np.stack([np.bincount(target, message[:, c], n) for c in range(k)], axis=1)
-        x = (belief[source] - message[back])[:, :, None] + pair
+    belief = field.unary.copy()
+    by_source = np.argsort(source, kind="stable")
+    first = np.searchsorted(source[by_source], np.arange(n + 1))
+    open_ = np.arange(2 * m)
+    for sweep in range(2 * n + SWEEPS if sweeps is None else sweeps):
+        keep = damping if sweep < n + SWEEPS else max(damping, 0.5)
+        x = (belief[source[open_]] - message[back[open_]])[:, :, None] + pair[open_]
         top = x.max(axis=1, keepdims=True)
         new = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
         new -= new.max(axis=1, keepdims=True)
-        moved = np.abs(new - message).max()
-        message = damping * message + (1 - damping) * new
-        if moved < 1e-4:
+        change = (1 - keep) * (new - message[open_])
+        message[open_] += change
+        np.add.at(belief, target[open_], change)
+        moved = np.abs(change).max(axis=1) >= STILL
+        open_ = open_[moved]
+        if not len(open_):
             break
+        reached = np.unique(target[open_])
+        count = first[reached + 1] - first[reached]
+        onward = by_source[np.repeat(first[reached] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        open_ = np.unique(np.concatenate([open_, onward]))
     return _softmax(field.unary + np.stack([np.bincount(target, message[:, c], n) for c in range(k)], axis=1))
 
 

@@ -72,3 +72,24 @@ def test_pii_in_joined_values():
     found = list(pii.entities(pa.array(texts), model))
     assert [{(label, value.decode()) for row, label, _, _, value in found if row == k} for k in range(3)] == want
     assert all(texts[row].encode()[b:e] == value for row, _, b, e, value in found)
+
+
+def test_pii_messages_go_all_the_way():
+    n, k = 40, len(pii.LABELS)
+    unary = np.zeros((n, k))
+    unary[0, 2] = 8.0
+    unary[1:, 0] = 0.05
+    for agree in (5.0, 6.0):
+        field = pii.Field(unary, np.arange(n - 1), np.arange(1, n), np.ones(n - 1, bool))
+        pair, e = np.exp(agree * np.eye(k)), np.exp(unary)
+        ahead, behind = np.ones((n, k)), np.ones((n, k))
+        for i in range(1, n):
+            ahead[i] = (ahead[i - 1] * e[i - 1]) @ pair
+            ahead[i] /= ahead[i].sum()
+        for i in range(n - 2, -1, -1):
+            behind[i] = pair @ (behind[i + 1] * e[i + 1])
+            behind[i] /= behind[i].sum()
+        want = ahead * e * behind
+        want /= want.sum(axis=1, keepdims=True)
+        got = pii.marginals(field, pii.Model({}, np.zeros((0, k)), np.zeros((k, k)), agree))
+        assert np.allclose(got, want, atol=1e-3) and (got.argmax(axis=1) == want.argmax(axis=1)).all() and (got.argmax(axis=1) == 2).sum() > 12
