@@ -1,15 +1,17 @@
 """Exact Jaccard self-join of documents' n-gram sets, with set relations deciding what can be skipped.
 
-1. Equal sets are one set with several documents: its answers are computed once and derived for each of them.
-2. Sets that share banded minima belong to one family. Answers within a family come from one block product of its sets, so
-   the index lists, which are ordered by family, skip a whole block of the same family at once.
-3. Other pairs come from lists of prefix n-grams: each posting has its position in its set, and positions and sizes bound the overlap
-   that is still possible; what falls short is skipped. Prefixes are so long that a pair shares ``SHARED`` n-grams of them, or all that it needs; pairs
-   that share fewer are dropped before anything else is fetched. A bitmap of each set's parities bounds the difference of the pairs
-   that are left (sets that differ in k bits differ in k elements or more); the few that pass are verified on the whole sets.
-
-Which families there are affects the work alone: every pair is found in its family or in the lists. N-grams are ordered by hash, with those seen
-often last; any order is exact.
+1. Equal sets are one set with several documents.
+2. Families: as sets are read, one that lies within ``RADIUS`` of a set met before (the pivot) becomes its member and keeps only its distance
+   from it. Only pivots are indexed; each knows how far its members' answers may reach beyond its own.
+3. Pivots' pairs come from lists of prefix n-grams. A list is ordered by the overlap that its sets need at least; each posting's position in its
+   set says up to which need a partner can still reach the threshold, so all of the list behind that is skipped as one block. Prefixes are so
+   long that a pair shares ``SHARED`` n-grams of them, or all that it needs; pairs that share fewer are dropped before anything else is fetched. A
+   bitmap of each set's parities bounds the difference of the pairs left; those that pass are verified on the whole sets.
+4. Members' answers are derived from their pivots': the distance of two members lies within their distances from their pivots of the pivots'
+   distance. Most answers are settled by this, for all members of the same size and distance at once; the others are verified on the whole sets.
+   Members of one family are so near to their pivot that all of them are answers of each other.
+
+Which families there are affects the work alone. N-grams are ordered by hash, with those seen often last; any order is exact.
 """
 
 from __future__ import annotations
@@ -26,15 +28,22 @@ from pageloom.llm.tokens import mix, pieces, steps, strings, window_hash, words
 
 N = 3
 THRESHOLD = 0.55
-BANDS, ROWS = 10, 3
-#: Documents whose family is known to the executors, and n-grams that are ordered last: bounds on what is broadcast, not on answers.
-MOST_KNOWN, MOST_FREQUENT = 2_000_000, 500_000
+#: A member's distance from its pivot (n-grams that only one of them has), as a share of its size.
+RADIUS = 0.1
+#: N-grams that are ordered last: a bound on what is broadcast, not on answers.
+MOST_FREQUENT = 500_000
 #: N-grams that the prefixes of a pair must share.
 SHARED = 6
-#: Documents in one block of a family.
-BLOCK = 1000
-
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None]
+#: N-grams of the sets among which a task forms families at a time.
+ROUND = 1_500_000
+#: Postings of one n-gram in one block; a longer list is split into blocks that meet pairwise.
+HOT = 20_000
+#: Bits of the filter that says which sets are fetched; what passes it by chance is dropped by the join.
+FILTER_BITS = 26
+#: Postings in one bucket, about.
+BUCKET = 3_000_000
+#: Needs are counted in eighths of an n-gram, rounded down.
+_PART = 8
 
 
 def sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
@@ -51,13 +60,6 @@ def sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
                 yield window_hash(w.hash[p:q], q - p) if q > p else w.hash[:0]
 
 
-def _join_rows(least: np.ndarray) -> np.ndarray:
-    out = least[:, 0]
-    for k in range(1, least.shape[1]):
-        out = mix(out * np.uint64(5) + least[:, k])
-    return out
-
-
 def _bitmap(s: np.ndarray) -> bytes:
     """Parities of how many elements fall on each bit; about two to four bits an element."""
     m = 1 << max(6, int(2 * len(s) - 1).bit_length())
@@ -74,331 +76,358 @@ def _apart(p: bytes, q: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _near(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bitmaps leave the threshold within reach."""
-    for batch in batches:
-        x, y = batch.column("sa").to_numpy(), batch.column("sb").to_numpy()
-        allowed = x + y - 2 * _needed(x, y, threshold)
-        ok = [_apart(p, q) <= most for p, q, most in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), allowed.tolist())]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _reach(threshold: float) -> tuple[float, float, float]:
+    """(c, radius, a): sets of sizes x and y are answers if their distance is at most c (x + y); the radius of families; a partner of
+    size y needs an overlap of at least a * y on its side."""
+    c = (1 - threshold) / (1 + threshold)
+    radius = min(RADIUS, c / 2)
+    while radius and (1 - (c + radius) / (1 - radius)) / 2 < 0.02:
+        radius = radius / 2 if radius > 1e-3 else 0.0
+    return c, radius, (1 - (c + radius) / (1 - radius)) / 2
+
+
+def whole_of(s: np.ndarray) -> int:
+    """A set's identity."""
+    return int(mix(s * np.uint64(3)).sum(dtype=np.uint64).view(np.int64))
 
 
 def _outline(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Per document its set's identity, size and bands; per batch also the n-grams met three times or more (with doc_id null)."""
+    """Per document its set's identity, size (0 without words) and bitmap; per batch also the n-grams met three times or more (with doc_id null)."""
     for batch in pieces(batches):
-        ids, whole, size, bands, bits, grams = [], [], [], [], [], []
-        for doc, s in zip(batch.column("doc_id").to_pylist(), sets(strings(batch.column("text")), n)):
-            if not len(s):
-                continue
-            least = mix(s[None, :] ^ _SEEDS).min(axis=1).reshape(BANDS, ROWS)
-            ids.append(doc)
-            whole.append(int(mix(s * np.uint64(3)).sum()))
+        whole, size, bits, grams = [], [], [], []
+        for s in sets(strings(batch.column("text")), n):
+            whole.append(whole_of(s) if len(s) else 0)
             size.append(len(s))
-            bands.append(mix(_join_rows(least) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-            bits.append(_bitmap(s))
+            bits.append(_bitmap(s) if len(s) else None)
             grams.append(s)
-        if not ids:
-            continue
-        every = np.sort(np.concatenate(grams))
-        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        every = np.sort(np.concatenate([np.zeros(0, np.uint64), *grams]))
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
         count = np.diff(np.append(first, len(every)))
         often = count >= 3
         frequent = every[first[often]].view(np.int64)
-        k, f = len(ids), len(frequent)
-        flat = pa.array(np.concatenate([*bands, np.zeros(0, np.int64)]))
-        offsets = pa.array(np.r_[np.arange(k + 1) * BANDS, np.full(f, k * BANDS)].astype(np.int32))
+        f = len(frequent)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*ids, *[None] * f], pa.int64()), pa.array(np.r_[np.array(whole, np.uint64).view(np.int64), frequent]), pa.array(np.r_[size, count[often]].astype(np.int32)), pa.ListArray.from_arrays(offsets, flat), pa.array([*bits, *[None] * f], pa.binary())],
-            ["doc_id", "whole", "size", "bands", "bits"],
+            [pa.concat_arrays([batch.column("doc_id"), pa.nulls(f, pa.int64())]), pa.array(np.r_[np.array(whole, np.int64), frequent]), pa.array(np.r_[size, count[often]].astype(np.int32)), pa.array([*bits, *[None] * f], pa.binary())],
+            ["doc_id", "whole", "size", "bits"],
         )
 
 
 class _Order:
-    """What the executors know: n-grams that come last, and families of documents (-1 - family: a copy whose answers are derived)."""
+    """N-grams that come last in the common order, and in how many places each occurs."""
 
-    def __init__(self, frequent: pa.Table, known: pa.Table) -> None:
+    def __init__(self, frequent: pa.Table) -> None:
         grams = frequent.column("whole").to_numpy().astype(np.int64).view(np.uint64)
-        rank = frequent.column("n").to_numpy().astype(np.int64)
-        by_count = np.lexsort((grams, rank))
+        count = frequent.column("n").to_numpy().astype(np.int64)
         place = np.empty(len(grams), np.int64)
-        place[by_count] = np.arange(len(grams))
+        place[np.lexsort((grams, count))] = np.arange(len(grams))
         order = np.argsort(grams)
-        self.grams, self.place = grams[order], place[order]
-        docs = known.column("doc_id").to_numpy().astype(np.int64)
-        order = np.argsort(docs)
-        self.docs = docs[order]
-        self.family = known.column("family").to_numpy().astype(np.int64)[order]
-        self.derived = known.column("derived").to_numpy(zero_copy_only=False).astype(bool)[order] if len(docs) else np.zeros(0, bool)
-
-    def find(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Family (its own doc_id where unknown), whether it is known, whether it is a copy."""
-        if not len(self.docs):
-            return docs, np.zeros(len(docs), bool), np.zeros(len(docs), bool)
-        at = np.minimum(np.searchsorted(self.docs, docs), len(self.docs) - 1)
-        known = self.docs[at] == docs
-        return np.where(known, self.family[at], docs), known, known & self.derived[at]
-
-    def prefix(self, s: np.ndarray, length: int) -> np.ndarray:
-        """The first n-grams of a set in the common order."""
-        if not len(self.grams):
-            return s[:length]
-        at = np.minimum(np.searchsorted(self.grams, s), len(self.grams) - 1)
-        last = self.grams[at] == s
-        rare = s[~last]
-        if len(rare) >= length:
-            return rare[:length]
-        late = np.flatnonzero(last)
-        return np.concatenate([rare, s[late[np.argsort(self.place[at[late]])]]])[:length]
-
-
-def _needed(size: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
-    """The least overlap of sets of these sizes that reaches the threshold."""
-    return np.ceil(threshold / (1 + threshold) * (size + other) - 1e-9).astype(np.int64)
+        self.grams, self.place, self.count = grams[order], place[order], count[order]
 
-
-def _postings(batches: Iterator[pa.RecordBatch], n: int, threshold: float, order: _Order, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        family, known, derived = order.find(docs)
-        family = np.where(known, family ^ (1 << 62), family)  # a family and an unknown document may have one number
-        keys, rows, places, size = [], [], [], np.zeros(len(docs), np.int32)
-        for i, s in enumerate(sets(strings(batch.column("text")), n)):
-            if derived[i] or not len(s):
+    def arrange(self, grams: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of each row (rows in order, n-grams ascending) in the common order, and how often each was counted."""
+        if not len(self.grams):
+            return grams, np.zeros(len(grams), np.int64)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        late = self.grams[at] == grams
+        rank = np.where(late, self.place[at] + 1, 0)
+        by = np.lexsort((rank, row))  # stable: those that aren't late stay in order of hash
+        return grams[by], np.where(late, self.count[at], 0)[by]
+
+
+def _families(held: list[tuple[int, np.ndarray]], first: list[np.ndarray], radius: float, c: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per set its pivot's number and its distance; and per set how far its family's answers reach (the largest c * size + distance)."""
+    pivot, distance = np.arange(len(held)), np.zeros(len(held), np.int64)
+    reach = np.array([c * len(s) for _, s in held])
+    known: dict[int, int] = {}
+    for i, (_, s) in enumerate(held):
+        keys = first[i].tolist()
+        tried = set()
+        for key in keys:
+            p = known.get(key)
+            if p is None or p in tried:
                 continue
-            size[i] = len(s)
-            k = order.prefix(s, len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + SHARED)
-            keys.append(k)
-            rows.append(np.full(len(k), i, np.int32))
-            places.append(np.arange(len(k), dtype=np.int32))
-        if not keys:
-            continue
-        key, row, place = np.concatenate(keys), np.concatenate(rows), np.concatenate(places)
-        bucket = (key % np.uint64(buckets)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        key, row, place, bucket = key[by], row[by], place[by], bucket[by]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            tried.add(p)
+            other = held[p][1]
+            if abs(len(other) - len(s)) > radius * len(s):
+                continue
+            both = int((other[np.minimum(np.searchsorted(other, s), len(other) - 1)] == s).sum())
+            d = len(s) + len(other) - 2 * both
+            if d <= radius * len(s):
+                pivot[i], distance[i] = p, d
+                reach[p] = max(reach[p], c * len(s) + d)
+                break
+        else:
+            for key in keys:
+                known.setdefault(key, i)
+    return pivot, distance, reach
+
+
+_POSTINGS = "bucket int, keys binary, places binary, sides binary, counts binary, ids binary, sizes binary, needs binary"
+
+
+def _postings(batches: Iterator[pa.RecordBatch], n: int, threshold: float, order: _Order, buckets: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """Postings of pivots by bucket; in buckets beyond ``buckets`` the members (ids), their pivots (keys), distances (places) and sizes."""
+    c, radius, a = _reach(threshold)
+    seen: set[int] = set()
+    held: list[tuple[int, np.ndarray]] = []
+    total = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        size = np.array([len(s) for _, s in held], np.int64)
+        begin = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(held)), size)
+        key, often = order.arrange(np.concatenate([s for _, s in held]), row)
+        pivot, distance, reach = _families(held, [key[b : b + min(4, s)] for b, s in zip(begin, size)], radius, c)
+        ids = np.array([w for w, _ in held], np.int64)
+        own = pivot == np.arange(len(held))
+        need = (size - reach) / 2
+        length = np.where(own, np.minimum(size, size - np.ceil(need / (1 - a) - 1e-9).astype(np.int64) + SHARED), 0)
+        place = np.arange(len(key)) - begin[row]
+        used = place < length[row]
+        key, row, place, often = key[used], row[used], place[used].astype(np.int32), often[used]
+        side = np.full(len(key), 2, np.uint8)
+        if (often > hot).any():  # blocks x <= y of a long list: each posting goes to all pairs of blocks with its own
+            long = np.flatnonzero(often > hot)
+            blocks = -(-often[long] // hot)
+            other = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            who = np.repeat(long, blocks)
+            mine = (mix(ids[row[who]].view(np.uint64)) % np.repeat(blocks, blocks).astype(np.uint64)).astype(np.int64)
+            x, y = np.minimum(mine, other), np.maximum(mine, other)
+            split = mix(key[who] ^ mix((x * (1 << 31) + y + 1).astype(np.uint64)))
+            rest = np.flatnonzero(often <= hot)
+            side = np.concatenate([side[rest], np.where(x == y, 2, mine == y).astype(np.uint8)])
+            key, row, place = np.concatenate([key[rest], split]), np.concatenate([row[rest], row[who]]), np.concatenate([place[rest], place[who]])
+        bucket = (mix(key) % np.uint64(buckets)).astype(np.int32)
+        by = np.lexsort((row, bucket))
+        key, row, place, side, bucket = key[by], row[by], place[by], side[by], bucket[by]
+        edges = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket))
+        eighths = np.floor(need * _PART - 1e-6).astype(np.int64)
         out = []
-        for b in range(buckets):
-            x, y = int(edges[b]), int(edges[b + 1])
-            if x < y:  # rows are in order within a bucket: each document's facts are sent once
-                new = np.flatnonzero(np.r_[True, row[x + 1 : y] != row[x : y - 1]])
-                r = row[x:y][new]
-                out.append((b, key[x:y].tobytes(), place[x:y].tobytes(), np.diff(np.append(new, y - x)).astype(np.int32).tobytes(), docs[r].tobytes(), family[r].tobytes(), size[r].tobytes()))
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            new = np.flatnonzero(np.r_[True, row[x + 1 : y] != row[x : y - 1]])  # each set's facts are sent once
+            r = row[x:y][new]
+            out.append((int(bucket[x]), key[x:y].tobytes(), place[x:y].tobytes(), side[x:y].tobytes(), np.diff(np.append(new, y - x)).astype(np.int32).tobytes(), ids[r].tobytes(), size[r].astype(np.int32).tobytes(), eighths[r].tobytes()))
+        m = np.flatnonzero(~own)
+        if len(m):
+            out.append((buckets + int(ids[m[0]] % buckets), ids[pivot[m]].tobytes(), distance[m].astype(np.int32).tobytes(), b"", b"", ids[m].tobytes(), size[m].astype(np.int32).tobytes(), b""))
         columns = list(zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "keys", "places", "counts", "docs", "families", "sizes"])
+        for z in range(0, len(out), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0][z : z + 256], pa.int32()), *(pa.array(col[z : z + 256], pa.binary()) for col in columns[1:])], [f.split()[0] for f in _POSTINGS.split(", ")])
+
+    for batch in pieces(batches):
+        for s in sets(strings(batch.column("text")), n):
+            if len(s) and (w := whole_of(s)) not in seen:
+                seen.add(w)
+                held.append((w, s))
+                total += len(s)
+                if total >= ROUND:
+                    yield from flush()
+                    held, total = [], 0
+    yield from flush()
 
 
-_POSTINGS = "bucket int, keys binary, places binary, counts binary, docs binary, families binary, sizes binary"
+_MET = "a long, b long, shared int, must int"
 
 
-def _candidates(table: pa.Table, threshold: float) -> pa.Table:
-    """Pairs of different families, with how many n-grams they share from which the overlap needed can still be reached, and how many they must."""
+def _candidates(table: pa.Table, buckets: int) -> pa.Table:
+    """Pairs of pivots, with how many n-grams they share from which the overlap needed can still be reached, and how many they must.
+    Members pass: (set, pivot, distance, -size)."""
     def col(name: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
 
-    key, place, count = col("keys", np.uint64), col("places", np.int32), col("counts", np.int32)
-    docs, families, sizes = col("docs", np.int64), col("families", np.int64), col("sizes", np.int32)
-    row = np.repeat(np.arange(len(docs), dtype=np.int32), count)
-    # a list of one posting pairs with nothing
+    if table.column("bucket")[0].as_py() >= buckets:
+        return pa.table({"a": col("ids", np.int64), "b": col("keys", np.int64), "shared": col("places", np.int32), "must": -col("sizes", np.int32)})
+    key, place, side, count = col("keys", np.uint64), col("places", np.int32), col("sides", np.uint8), col("counts", np.int32)
+    ids, sizes, needs = col("ids", np.int64), col("sizes", np.int32).astype(np.int64), col("needs", np.int64)
+    names, row = np.unique(ids, return_inverse=True)
+    size, need = np.zeros(len(names), np.int64), np.full(len(names), 2**62)
+    size[row] = sizes
+    np.minimum.at(need, row, needs)  # a set may be a pivot in several tasks: the farthest reach counts
+    row = np.repeat(row.astype(np.int32), count)
     by = np.argsort(key, kind="stable")
     new = np.r_[True, key[by][1:] != key[by][:-1]]
-    alone = new & np.r_[new[1:], True]
-    by = by[~alone]
-    key, place, row = key[by], place[by], row[by]
-    by = np.lexsort((families[row], key))
-    key, place, row = key[by], place[by].astype(np.int64), row[by]
-    family, size = families[row], sizes[row].astype(np.int64)
+    by = by[~(new & np.r_[new[1:], True])]  # a list of one posting pairs with nothing
+    key, place, side, row = key[by], place[by], side[by], row[by]
+    by = np.lexsort((row, need[row], key))
+    key, place, side, row = key[by], place[by].astype(np.int64), side[by], row[by]
+    once = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])][: len(key)]
+    key, place, side, row = key[once], place[once], side[once], row[once]
     n = len(key)
-    found, often = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    codes, counts, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        some, where = np.unique(np.concatenate(codes), return_inverse=True)
+        return some, np.bincount(where, np.concatenate(counts), len(some)).astype(np.int64)
+
     if n:
-        edge = np.append(np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), n)
-        last = np.repeat(edge[1:], np.diff(edge))
-        block = np.append(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (family[1:] != family[:-1])]), n)
-        after = np.repeat(block[1:], np.diff(block))  # skips the rest of the own family's block
-        todo = last - after
-        total = np.concatenate([[0], np.cumsum(todo)])
+        own = need[row]
+        can = _PART * (SHARED + size[row] - place - 1) - own  # the most that a partner may need
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
+        at_need = group * (1 << 40) + own + (1 << 20)
+        # the list from here to where needs are out of reach; the block behind it is skipped
+        last = np.searchsorted(at_need, group * (1 << 40) + np.maximum(can, own - 1) + (1 << 20), "right")
+        todo = np.maximum(last - np.arange(n) - 1, 0)
+        done = np.concatenate([[0], np.cumsum(todo)])
         at = 0
         while at < n:
-            to = max(at + 1, int(np.searchsorted(total, total[at] + 400_000, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(done, done[at] + 400_000, "right")) - 1)
             k = todo[at:to]
             left = np.repeat(np.arange(at, to), k)
-            right = np.arange(len(left)) - np.repeat(total[at:to] - total[at], k) + np.repeat(after[at:to], k)
-            overlap = SHARED + np.minimum(size[left] - place[left] - 1, size[right] - place[right] - 1)
-            ok = overlap >= _needed(size[left], size[right], threshold)
-            small, large = np.minimum(row[left[ok]], row[right[ok]]), np.maximum(row[left[ok]], row[right[ok]])
-            some, times = np.unique(small.astype(np.int64) * len(docs) + large, return_counts=True)
-            found.append(some)
-            often.append(times)
+            right = np.arange(len(left)) - np.repeat(done[at:to] - done[at], k) + left + 1
+            ok = (can[right] >= own[left]) & ((side[left] == 2) | (side[left] != side[right]))
+            x, y = row[left[ok]], row[right[ok]]
+            some, times = np.unique(np.minimum(x, y).astype(np.int64) * len(names) + np.maximum(x, y), return_counts=True)
+            codes.append(some)
+            counts.append(times)
+            waiting += len(some)
+            if waiting > 4_000_000:
+                code, times = merged()
+                codes, counts, waiting = [code], [times], 0
             at = to
-    code, where = np.unique(np.concatenate(found), return_inverse=True)
-    times = np.bincount(where, np.concatenate(often), len(code)).astype(np.int64)
-    i, j = code // max(1, len(docs)), code % max(1, len(docs))
-    x, y = docs[i], docs[j]
-    must = np.minimum(SHARED, _needed(sizes[i].astype(np.int64), sizes[j].astype(np.int64), threshold))
-    differ = x != y
-    columns = {"a": np.minimum(x, y), "b": np.maximum(x, y), "shared": times.astype(np.int32), "must": must.astype(np.int32)}
-    return pa.table({k: v[differ] for k, v in columns.items()})
+    code, times = merged()
+    i, j = code // max(1, len(names)), code % max(1, len(names))
+    must = np.minimum(SHARED, -(-(need[i] + need[j]) // _PART))
+    return pa.table({"a": names[i], "b": names[j], "shared": times.astype(np.int32), "must": must.astype(np.int32)})
 
 
-def _chosen_sets(batches: Iterator[pa.RecordBatch], n: int, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        batch = batch.filter(pa.array(np.isin(docs, ids)))
-        if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets(strings(batch.column("text")), n)], pa.binary())], ["doc_id", "grams"])
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps leave the distance ``most`` within reach."""
+    for batch in batches:
+        most = batch.column("most").to_pylist()
+        ok = [_apart(p, q) <= m for p, q, m in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), most)]
+        yield batch.select(["a", "b", "most"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _families(batches: Iterator[pa.RecordBatch], n: int, order: _Order, blocks: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Each document of a known family with its set, once for each pair of blocks that it takes part in."""
+def _chosen(batches: Iterator[pa.RecordBatch], n: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sets that the filter lets pass, each once a task."""
+    seen: set[int] = set()
+    mask = (1 << FILTER_BITS) - 1
     for batch in pieces(batches):
-        docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        family, known, derived = order.find(docs)
-        keep = known & ~derived
-        batch = batch.filter(pa.array(keep))
-        out = []
-        for doc, fam, s in zip(docs[keep].tolist(), family[keep].tolist(), sets(strings(batch.column("text")), n)):
-            m = blocks.get(fam, 1)
-            own = int(mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(m))
-            grams = s.tobytes()
-            out += [(fam, min(own, k), max(own, k), own, doc, grams) for k in range(m)]
-        if out:
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], ["family", "x", "y", "own", "doc_id", "grams"])
-
-
-def _products(table: pa.Table, threshold: float) -> pa.Table:
-    """All pairs of a family (between two of its blocks): overlaps as a product of incidence matrices, a slice of n-grams at a time."""
-    docs, own = table.column("doc_id").to_numpy(), table.column("own").to_numpy()
-    grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-    size = np.array([len(g) for g in grams])
-    row = np.repeat(np.arange(len(docs)), size)
-    names, gram, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    shared = count[gram] > 1
-    row, gram = row[shared], (np.cumsum(count > 1) - 1)[gram[shared]]
-    overlap = np.zeros((len(docs), len(docs)), np.float32)
-    by = np.argsort(gram, kind="stable")
-    row, gram = row[by], gram[by]
-    width = max(64, 3_000_000 // max(1, len(docs)))
-    for a in range(0, int(gram[-1]) + 1 if len(gram) else 0, width):
-        x, y = np.searchsorted(gram, [a, a + width])
-        part = np.zeros((len(docs), min(width, int(gram[-1]) + 1 - a)), np.float32)
-        part[row[x:y], gram[x:y] - a] = 1
-        overlap += part @ part.T
-    union = size[:, None] + size[None, :] - overlap
-    i, j = np.nonzero(np.triu(overlap >= threshold * union - 1e-6, 1))
-    x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-    if x != y:  # pairs within a block are found in the block's own product
-        i, j = i[own[i] != own[j]], j[own[i] != own[j]]
-    p, q = docs[i], docs[j]
-    differ = p != q
-    k = overlap[i, j] / union[i, j].astype(np.float64)
-    return pa.table({"a": np.minimum(p, q)[differ], "b": np.maximum(p, q)[differ], "jaccard": k[differ]})
-
-
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+        ids, grams = [], []
+        for s in sets(strings(batch.column("text")), n):
+            if len(s) and bits[(w := whole_of(s)) >> 6 & mask >> 6] >> np.uint64(w & 63) & np.uint64(1) and w not in seen:
+                seen.add(w)
+                ids.append(w)
+                grams.append(s.tobytes())
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.binary())], ["whole", "grams"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distances (n-grams that only one of two sets has), where they are at most ``most``."""
     for batch in batches:
         values = []
         for p, q in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist()):
             x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             both = np.sort(np.concatenate([x, y]))
-            k = int((both[1:] == both[:-1]).sum())
-            values.append(k / (len(x) + len(y) - k))
-        v = np.array(values, float)
-        ok = pa.array(v >= threshold - 1e-9)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(v).filter(ok)], ["a", "b", "jaccard"])
+            values.append(len(both) - 2 * int((both[1:] == both[:-1]).sum()))
+        v = np.array(values, np.int32)
+        ok = pa.array(v <= batch.column("most").to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(v).filter(ok)], ["a", "b", "apart"])
 
 
-def _base(docs: DataFrame, n: int, threshold: float, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """(pairs of sets, from the lists and within families; which documents are copies of which): answers of copies not yet derived."""
-    spark: SparkSession = docs.sparkSession
-    corpus = text_id(docs).where("doc_id is not null and text is not null")
-    outline = tables.write("outline", corpus.mapInArrow(lambda b: _outline(b, n), "doc_id long, whole long, size int, bands array<long>, bits binary"))
-    frequent = outline.where("doc_id is null").groupBy("whole").agg(F.sum("size").alias("n")).where("n >= 16").orderBy(F.desc("n"), "whole").limit(MOST_FREQUENT).toArrow()
-    own = outline.where("doc_id is not null").groupBy("whole", "size").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
-    own = tables.write("sets", own)
-    bands = own.select("rep", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
-    family = bands.join(shared, "band").groupBy("rep").agg(F.min("least").alias("family"))
-    labels = own.select("rep", "copies").join(family, "rep", "left").withColumn("family", F.coalesce("family", "rep"))
-    labels = tables.write("labels", labels)
-    members = labels.groupBy("family").agg(F.count("*").alias("sets"), F.sum("copies").alias("docs")).where("docs > 1")
-    mapped = outline.where("doc_id is not null").join(own.select("whole", "size", "rep"), ["whole", "size"]).join(labels.select("rep", "family"), "rep").join(members, "family")
-    mapped = tables.write("members", mapped.select("doc_id", "rep", "family", "sets", "docs"))
-    # the largest families first, as far as the bound goes; documents of others are found by the lists
-    if mapped.count() > MOST_KNOWN:
-        sizes = members.groupBy("docs").agg(F.sum("docs").alias("n")).orderBy(F.desc("docs")).collect()
-        total, least = 0, None
-        for r in sizes:
-            total += r["n"]
-            if total > MOST_KNOWN:
-                break
-            least = r["docs"]
-        mapped = mapped.where(F.col("docs") >= least if least is not None else F.lit(False))
-    known = mapped.select("doc_id", "family", (F.col("doc_id") != F.col("rep")).alias("derived")).toArrow()
-    blocks = {r["family"]: -(-r["sets"] // BLOCK) for r in mapped.where(F.col("sets") > BLOCK).select("family", "sets").distinct().collect()}
-    order = spark.sparkContext.broadcast(_Order(frequent, known))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    postings = corpus.mapInArrow(lambda b: _postings(b, n, threshold, order.value, buckets), _POSTINGS)
-    tables.drop("sets", "labels")
-    tables.tidy()
-    met = postings.groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold), "a long, b long, shared int, must int")
-    met = tables.write("met", met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("must").alias("must")).where("shared >= must").select("a", "b"))
-    tables.tidy()
-    bits = outline.where("doc_id is not null").groupBy("doc_id").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
-    left = bits.select(F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("pa"))
-    right = bits.select(F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("pb"))
-    candidates = tables.write("candidates", met.join(left, "a").join(right, "b").mapInArrow(lambda b: _near(b, threshold), "a long, b long"))
-    tables.drop("outline", "met")
-    tables.tidy()
-    chosen = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
-    if chosen.count() <= MOST_KNOWN:
-        ids = spark.sparkContext.broadcast(np.sort(chosen.toArrow().column("doc_id").to_numpy().astype(np.int64)))
-        have = corpus.mapInArrow(lambda b: _chosen_sets(b, n, ids.value), "doc_id long, grams binary")
-    else:
-        have = corpus.join(chosen, "doc_id", "left_semi").mapInArrow(lambda b: _all_sets(b, n), "doc_id long, grams binary")
-    left = have.select(F.col("doc_id").alias("a"), F.col("grams").alias("pa"))
-    right = have.select(F.col("doc_id").alias("b"), F.col("grams").alias("pb"))
-    across = candidates.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(lambda b: _verify(b, threshold), "a long, b long, jaccard double")
-    inside = corpus.mapInArrow(lambda b: _families(b, n, order.value, blocks), "family long, x long, y long, own long, doc_id long, grams binary")
-    inside = inside.groupBy("family", "x", "y").applyInArrow(lambda t: _products(t, threshold), "a long, b long, jaccard double")
-    pairs = tables.write("pairs", across)
-    tables.drop("candidates")
-    tables.tidy()
-    return pairs.unionAll(inside), mapped
-
-
-def _all_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets(strings(batch.column("text")), n)], pa.binary())], ["doc_id", "grams"])
-
+_DERIVED = "a long, size int, distance int, b long, other_size int, other_distance int, n long"
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Every pair of documents (a < b) whose sets of n-grams of words have Jaccard similarity ``threshold`` or more.
-
-    A text of fewer than ``n`` words is one n-gram; null and empty texts and texts without words pair with nothing, nor do rows with a null
-    doc_id. Repeated rows of one doc_id count once. Other columns are not read. An empty table gives no rows.
-    """
-    tables = Tables(docs.sparkSession)
-    pairs, mapped = _base(docs, n, threshold, tables)
-    # derived answers: a copy has its set's answers, and all copies of a set answer each other
-    copies = mapped.where("doc_id != rep").select("doc_id", "rep").distinct()
-    of = copies.unionByName(copies.select(F.col("rep").alias("doc_id"), "rep").distinct())
-    a, b = of.select(F.col("rep").alias("a"), F.col("doc_id").alias("pa")), of.select(F.col("rep").alias("b"), F.col("doc_id").alias("pb"))
-    wide = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("pa", "a").alias("p"), F.coalesce("pb", "b").alias("q"), "jaccard")
-    same = of.alias("l").join(of.alias("r"), "rep").where("l.doc_id < r.doc_id").select(F.col("l.doc_id").alias("p"), F.col("r.doc_id").alias("q"), F.lit(1.0).alias("jaccard"))
-    both = wide.unionAll(same).where("p != q")
-    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard").dropDuplicates(["a", "b"])
 
+def _derive(batches: Iterator[pa.RecordBatch], c: float) -> Iterator[pa.RecordBatch]:
+    """From two pivots' distance, for the members of either by size and distance: how many documents of the other family are surely
+    answers (n), and which pairs of sizes and distances leave it open (n is null)."""
+    for batch in batches:
+        out: list[tuple] = []
+        for a, b, apart, p, q in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "apart", "pa", "pb"))):
+            x, y = (np.array([(r["size"], r["distance"], r["docs"]) for r in side], np.int64) for side in (p, q))
+            limit = c * (x[:, None, 0] + y[None, :, 0]) + 1e-9
+            spread = x[:, None, 1] + y[None, :, 1]
+            sure = apart + spread <= limit
+            for i in np.flatnonzero(sure.any(axis=1)).tolist():
+                out.append((a, x[i, 0], x[i, 1], b, None, None, int(y[sure[i], 2].sum())))
+            for j in np.flatnonzero(sure.any(axis=0)).tolist():
+                out.append((b, y[j, 0], y[j, 1], a, None, None, int(x[sure[:, j], 2].sum())))
+            least = np.maximum(apart - spread, np.abs(x[:, None, 0] - y[None, :, 0]))
+            for i, j in np.argwhere(~sure & (least <= limit) & (spread > 0)).tolist():
+                out.append((a, x[i, 0], x[i, 1], b, y[j, 0], y[j, 1], None))
+        columns = list(zip(*out)) or [()] * 7
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(columns, kinds)], [f.split()[0] for f in _DERIVED.split(", ")])
+
+
+def _fetch(corpus: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(whole, grams) of the sets wanted, found by a filter of fixed size; a few others too."""
+    spark = corpus.sparkSession
+    word = F.col("whole").bitwiseAND((1 << FILTER_BITS) - 1)
+    bit = F.expr("shiftleft(1L, cast(whole & 63 as int))")
+    found = wanted.select(F.shiftright(word, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    bits[found.column("word").to_numpy().astype(np.int64)] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    sent = spark.sparkContext.broadcast(bits)
+    return corpus.mapInArrow(lambda b: _chosen(b, n, sent.value), "whole long, grams binary").groupBy("whole").agg(F.first("grams").alias("grams"))
+
+
+def _two(pairs: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
+    """Pairs with facts of either side (whole, value) as pa and pb."""
+    left, right = facts.select(F.col("whole").alias("a"), F.col("value").alias("pa"), *[F.col(x).alias(f"{x}_a") for x in names]), facts.select(F.col("whole").alias("b"), F.col("value").alias("pb"), *[F.col(x).alias(f"{x}_b") for x in names])
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _apart_of(pairs: DataFrame, facts: DataFrame, corpus: DataFrame, n: int, tables: Tables, name: str) -> DataFrame:
+    """(a, b, apart) of the pairs of sets (a, b, most) whose distance is at most ``most``: bitmaps first, then the sets."""
+    left = tables.write(f"{name}_near", _two(pairs, facts.select("whole", F.col("bits").alias("value"))).mapInArrow(_near, "a long, b long, most double"))
+    tables.tidy()
+    have = _fetch(corpus, n, left.select(F.col("a").alias("whole")).union(left.select("b")).distinct())
+    out = tables.write(name, _two(left, have.withColumnRenamed("grams", "value")).mapInArrow(_verify, "a long, b long, apart int"))
+    tables.drop(f"{name}_near")
+    tables.tidy()
+    return out
 
-def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and group (the least doc_id of all that are connected by pairs of ``join``), for documents that have a partner.
 
-    Labels spread over the pairs of sets and jump along labels until none changes; copies take their set's label.
-    """
-    tables = Tables(docs.sparkSession)
-    pairs, mapped = _base(docs, n, threshold, tables)
-    copies = mapped.where("doc_id != rep").select("doc_id", "rep").distinct()
-    pairs = tables.write("edges", pairs.select("a", "b").distinct())
+def _base(docs: DataFrame, n: int, threshold: float, tables: Tables, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, whole, null without words; sets: whole, size, family, distance, docs, least; answers by class of members and
+    answers of single sets, both with the two families)."""
+    spark: SparkSession = docs.sparkSession
+    c, _, _ = _reach(threshold)
+    corpus = text_id(docs).where("doc_id is not null")
+    outline = tables.write("outline", corpus.mapInArrow(lambda b: _outline(b, n), "doc_id long, whole long, size int, bits binary"))
+    total = outline.where("doc_id is not null").agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
+    frequent = outline.where("doc_id is null").groupBy("whole").agg(F.sum("size").alias("n")).where("n >= 16").orderBy(F.desc("n"), "whole").limit(MOST_FREQUENT).toArrow()
+    order = spark.sparkContext.broadcast(_Order(frequent))
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // (2 * BUCKET)))
+    postings = corpus.mapInArrow(lambda b: _postings(b, n, threshold, order.value, buckets, hot), _POSTINGS)
+    tables.tidy()
+    met = tables.write("met", postings.groupBy("bucket").applyInArrow(lambda t: _candidates(t, buckets), _MET))
+    tables.tidy()
+    # a document's set is that of its first row by identity; equal sets are one
+    member = F.when(F.col("size") > 0, F.struct("whole", "size"))
+    own = tables.write("own", outline.where("doc_id is not null").groupBy("doc_id").agg(F.min(member).alias("s")).select("doc_id", "s.whole", "s.size"))
+    nearest = met.where("must < 0").groupBy("a").agg(F.min(F.struct(F.col("shared").alias("distance"), F.col("b").alias("family"))).alias("m")).select(F.col("a").alias("whole"), "m.family", "m.distance")
+    sets_ = own.where("whole is not null").groupBy("whole", "size").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least")).join(nearest, "whole", "left")
+    sets_ = tables.write("sets", sets_.select("whole", "size", F.coalesce("family", "whole").alias("family"), F.coalesce("distance", F.lit(0)).alias("distance"), "docs", "least"))
+    bits = outline.where("doc_id is not null and size > 0").groupBy("whole").agg(F.first("bits").alias("bits"))
+    reach = sets_.groupBy("family").agg(F.max(F.lit(c) * F.col("size") + F.col("distance")).alias("reach"))
+    pairs = met.where("must >= 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("must").alias("must")).where("shared >= must").select("a", "b")
+    far = _two(pairs, reach.select(F.col("family").alias("whole"), F.col("reach").alias("value"))).select("a", "b", (F.col("pa") + F.col("pb") + 1e-6).alias("most"))
+    apart = _apart_of(far, bits, corpus, n, tables, "apart")
+    tables.drop("met")
+    kinds = sets_.groupBy("family", "size", "distance").agg(F.sum("docs").alias("docs"))
+    profile = kinds.groupBy(F.col("family").alias("whole")).agg(F.collect_list(F.struct("size", "distance", "docs")).alias("value"))
+    derived = tables.write("derived", _two(apart, profile).mapInArrow(lambda b: _derive(b, c), _DERIVED))
+    open_ = derived.where("n is null")
+    side = sets_.select(F.col("family").alias("a"), "size", "distance", F.col("whole").alias("x"))
+    other = sets_.select(F.col("family").alias("b"), F.col("size").alias("other_size"), F.col("distance").alias("other_distance"), F.col("whole").alias("y"))
+    single = open_.join(side, ["a", "size", "distance"]).join(other, ["b", "other_size", "other_distance"])
+    single = single.select(F.col("x").alias("a"), F.col("y").alias("b"), (F.lit(c) * (F.col("size") + F.col("other_size")) + 1e-9).alias("most"))
+    verified = _apart_of(single, bits, corpus, n, tables, "verified")
+    tables.drop("outline", "apart")
+    facts = sets_.select("whole", F.col("family").alias("value"), "docs")
+    answers = tables.write("answers", _two(verified.select("a", "b"), facts, "docs"))
+    tables.drop("verified")
+    return own, sets_, derived.where("n is not null").select("a", "size", "distance", "b", "n"), answers
+
+
+def _components(edges: DataFrame, tables: Tables) -> DataFrame:
+    """(v, g): the least family that each one is connected to. Labels spread over edges and jump along labels until none changes."""
+    pairs = tables.write("edges", edges.distinct())
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = tables.write("label0", both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("g")).select(F.col("a").alias("v"), "g"))
     done = 0
@@ -412,16 +441,38 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFra
         label = new.select("v", "g")
         tables.drop(f"label{done - 1}")
         if not moved:
-            break
-    own = copies.join(label, copies["rep"] == label["v"], "left").select("doc_id", F.coalesce("g", "rep").alias("group"))
-    reps = copies.select("rep").distinct().join(label, F.col("rep") == label["v"], "left_anti").select(F.col("rep").alias("doc_id"), F.col("rep").alias("group"))
-    return label.select(F.col("v").alias("doc_id"), F.col("g").alias("group")).unionAll(own).unionAll(reps)
+            tables.drop("edges")
+            return label
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, class_id and links. ``links`` is the number of other documents whose sets of n-grams of words have a
+    Jaccard similarity of ``threshold`` or more with its own, equal ones too; ``class_id`` the least doc_id of all that links connect.
+
+    A text of fewer than ``n`` words is one n-gram; null and empty texts and texts without words have no links and are a class of their own.
+    Rows with a null doc_id have no row. Repeated rows of one doc_id count once; if their texts differ, one of them counts. Other columns are
+    not read. An empty table gives no rows. Sets are known by 64-bit sums of hashes.
+    """
+    tables = Tables(docs.sparkSession)
+    own, sets_, derived, answers = _base(docs, n, threshold, tables, hot)
+    edges = derived.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(answers.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))).where("a != b")
+    label = _components(edges, tables)
+    family = sets_.groupBy("family").agg(F.sum("docs").alias("all_docs"), F.min("least").alias("least")).join(label, F.col("family") == F.col("v"), "left").withColumn("g", F.coalesce("g", "family"))
+    family = family.join(family.groupBy("g").agg(F.min("least").alias("class_id")), "g").select("family", "all_docs", "class_id")
+    sure = derived.groupBy(F.col("a").alias("family"), "size", "distance").agg(F.sum("n").alias("sure"))
+    each = answers.select(F.col("a").alias("whole"), F.col("docs_b").alias("n")).unionAll(answers.select(F.col("b").alias("whole"), F.col("docs_a").alias("n"))).groupBy("whole").agg(F.sum("n").alias("single"))
+    found = sets_.join(family, "family").join(sure, ["family", "size", "distance"], "left").join(each, "whole", "left")
+    found = tables.write("found", found.select("whole", "class_id", (F.col("all_docs") - 1 + F.coalesce("sure", F.lit(0)) + F.coalesce("single", F.lit(0))).alias("links")))
+    tables.drop("derived", "answers", "sets")
+    out = own.join(found, "whole", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out
 
 
 def dedup(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns kept, with one document of each group: the one with the least doc_id.
+    """The documents, all columns kept, with one document of each class of ``join``: the one with the least doc_id.
 
-    Repeated rows of one doc_id that stays all stay; rows with a null doc_id or text, and texts without words, stay too.
+    Repeated rows of one doc_id that stays all stay; rows with a null doc_id or text, and texts without words, stay too. An empty table
+    gives no rows.
     """
-    gone = groups(docs, n, threshold).where("doc_id != group").select(F.col("doc_id").alias("__gone"))
+    gone = join(docs, n, threshold).where("doc_id != class_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -50,6 +50,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its class and how many documents it is linked to; copies aren't expanded into pairs."""
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
@@ -114,13 +115,15 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.e, b.e) AS c FROM
 SELECT a, b, round(c, 4) AS cosine FROM p WHERE c >= {embedding.THRESHOLD}""",
     "op7_secret_scan": _secret_sql(),
     "op9_jaccard_join": f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1 : p + {jaccard.N}], ' ') AS gram
  FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - {jaccard.N - 1}))) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT a, b, o::DOUBLE / (p.n + q.n - o) AS jaccard FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
-WHERE o::DOUBLE / (p.n + q.n - o) >= {jaccard.THRESHOLD}""",
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE o::DOUBLE / (p.n + q.n - o) >= {jaccard.THRESHOLD}),
+e AS (SELECT a AS v, b AS w FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS w FROM documents UNION SELECT r.v, e.w FROM r JOIN e ON e.v = r.w)
+SELECT r.v AS doc_id, min(r.w) AS class_id, (SELECT count(*) FROM e WHERE e.v = r.v) AS links FROM r GROUP BY r.v""",
     "op10_mixing": f"""
 WITH per AS (SELECT source, sum(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')))::BIGINT AS tokens FROM documents GROUP BY source),
 raw AS (SELECT *, CASE WHEN tokens > 0 THEN pow(tokens::DOUBLE, {mixing.ALPHA}) ELSE 0 END AS raw FROM per),

@@ -52,7 +52,7 @@ def test_awkward_and_empty(spark, name):
     if name in ("mask", "suffix_dedup"):
         assert len(rows) == len(AWKWARD) and rows[0].asDict().keys() == docs.first().asDict().keys()
     if name == "jaccard":
-        assert rows == []
+        assert {tuple(r) for r in rows} == {(i, i, 0) for i in range(1, 7)}
     if name == "jaccard_dedup":
         assert len(rows) == len(AWKWARD)
     if name == "leaks":
@@ -85,20 +85,34 @@ def near_copies(count, rng):
     return out[:count]
 
 
-def test_jaccard_against_brute_force(spark):
+def linked(sets, threshold):
+    """(class, links) of each set by brute force."""
+    near = [[j for j, y in enumerate(sets) if j != i and x and y and len(x & y) / len(x | y) >= threshold] for i, x in enumerate(sets)]
+    group = list(range(len(sets)))
+    for _ in sets:
+        for i, others in enumerate(near):
+            for j in others:
+                group[i] = group[j] = min(group[i], group[j])
+    return {i: (group[i], len(near[i])) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("threshold,hot", [(jaccard.THRESHOLD, jaccard.HOT), (0.8, 3), (0.3, 5), (1.0, 4)])
+def test_jaccard_against_brute_force(spark, threshold, hot):
     rng = np.random.default_rng(11)
-    texts = near_copies(150, rng) + ["same words here"] * 4 + ["one", "one", "two words"]
+    texts = near_copies(130, rng) + ["same words here"] * 4 + ["one", "one", "two words", ""]
+    base = prose(200, rng).split()
+    for i in range(30):  # a family whose members differ by a few words, and a second one on the verge of it
+        own = list(base)
+        for k in range(i % 7):
+            own[int(rng.integers(0, 200))] = f"new{i}{k}"
+        if i > 20:
+            own[:35] = [f"far{k}" for k in range(35)]
+        texts.append(" ".join(own))
     docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
-    sets = [grams(t, jaccard.N) for t in texts]
-    want = {(i, j): len(x & y) / len(x | y) for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2) if x and y and len(x & y) / len(x | y) >= jaccard.THRESHOLD}
-    got = {(r["a"], r["b"]): r["jaccard"] for r in jaccard.join(docs).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    group = {i: i for i in range(len(texts))}
-    for _ in range(20):
-        for a, b in want:
-            group[a] = group[b] = min(group[a], group[b])
-    kept = sorted(r["doc_id"] for r in jaccard.dedup(docs).collect())
-    assert kept == sorted(i for i, g in group.items() if i == g)
+    want = linked([grams(t, jaccard.N) for t in texts], threshold)
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.join(docs, jaccard.N, threshold, hot).collect()} == want
+    if threshold == jaccard.THRESHOLD:
+        assert sorted(r["doc_id"] for r in jaccard.dedup(docs).collect()) == sorted(i for i, (g, _) in want.items() if i == g)
 
 
 def test_suffix_repeats_against_brute_force(spark):
