@@ -4,6 +4,10 @@ A hash function rotates a unit vector (three rounds of random signs and a Walsh-
 the result lies nearest to, with its sign. ``k`` functions make a table's bucket. Every vector is stored in one bucket per table, and as a
 query looks into that bucket and into those where one function takes its second nearest axis. ``k`` follows from the number of vectors, so
 that buckets stay small however many there are; the number of tables follows from the measured chance that a pair at the threshold meets in one.
+
+Equal vectors are one, and vectors that are read together and lie within ``RADIUS`` of a pivot are its family. All vectors are hashed, but buckets
+hold families: a large group of near copies is a few entries of each. Angles between pivots settle most pairs of members, the rest are
+computed one by one.
 """
 
 from __future__ import annotations
@@ -13,15 +17,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.families import links, members, two
 from pageloom.llm.shared import Tables
 from pageloom.llm.tokens import mix
 
 THRESHOLD = 0.9
 #: Chance that a pair at the threshold is missed by all tables.
 MISS = 0.002
+#: A member's angle from its pivot, as a share of the threshold's; below a half all members of a family are linked.
+RADIUS = 0.3
+#: Vectors among which a task forms families at a time.
+ROUND = 2048
+#: Angles are counted in these parts of a radian, rounded up where they are members'.
+_PART = 1000
 SEED = 7919
 ROUNDS = 3
 
@@ -94,72 +106,117 @@ def tables_for(width: int, k: int, threshold: float, miss: float) -> int:
 
 def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, unit vectors) by length; null, empty, zero and non-finite vectors and those with null elements are left out."""
-    by: dict[int, tuple[list, list]] = {}
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            by.setdefault(len(v), ([], []))
-            by[len(v)][0].append(i)
-            by[len(v)][1].append(v)
-    for rows, vectors in by.values():
-        x = np.array(vectors, np.float64)
+    ptr = column.offsets.to_numpy().astype(np.int64)
+    flat = column.values.to_numpy(zero_copy_only=False)  # a null element is nan
+    count = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(ptr), 0)
+    for d in np.unique(count[count > 0]).tolist():
+        rows = np.flatnonzero(count == d)
+        x = flat[ptr[rows][:, None] + np.arange(d)].astype(np.float64)
+        x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)  # no overflow in the squares
         size = np.linalg.norm(x, axis=1)
         ok = np.isfinite(size) & (size > 0)
         if ok.any():
-            yield np.array(rows)[ok], x[ok] / size[ok, None]
+            yield rows[ok], x[ok] / size[ok, None]
 
 
 def _width(d: int) -> int:
     return 1 << max(1, int(d - 1).bit_length())
 
 
+_OWN = "id long, whole long, family long, distance int, unit array<double>"
+
+
+def _families(batches: Iterator[pa.RecordBatch], radius: float) -> Iterator[pa.RecordBatch]:
+    """Each vector with its identity, its pivot's, and its angle from it; vectors that can't be compared without."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROUND):
+            part = batch.slice(at, ROUND)
+            n = part.num_rows
+            whole, family, distance = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32)
+            known, units = np.zeros(n, bool), [None] * n
+            for rows, x in _vectors(part.column("v")):
+                known[rows] = True
+                own = np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in x], np.uint64).view(np.int64)
+                cosine = x @ x.T
+                pivot = np.arange(len(x))
+                taken = np.zeros(len(x), bool)
+                for i in range(len(x)):
+                    if not taken[i]:
+                        near = np.flatnonzero((cosine[i, i + 1 :] >= np.cos(radius)) & ~taken[i + 1 :]) + i + 1
+                        taken[near] = True
+                        pivot[near] = i
+                angle = np.arccos(np.clip(cosine[np.arange(len(x)), pivot], -1, 1))
+                whole[rows], family[rows] = own, own[pivot]
+                distance[rows] = np.where(own == own[pivot], 1, np.ceil(angle * _PART + 1e-3))  # 1: what lies on the threshold is left open
+                for r, v in zip(rows.tolist(), x):
+                    units[r] = v
+            arrays = [pa.array(v, mask=~known) for v in (whole, family, distance)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *arrays, pa.array(units, pa.list_(pa.float64()))], ["id", "whole", "family", "distance", "unit"])
+
+
 def _hash(batches: Iterator[pa.RecordBatch], k: int, threshold: float, miss: float) -> Iterator[pa.RecordBatch]:
+    """Buckets of each batch's families, without repetition: those that a member is stored in, and those that one looks into."""
     for batch in batches:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        for rows, x in _vectors(batch.column("v")):
+        family = batch.column("family").to_numpy()
+        for rows, x in _vectors(batch.column("unit")):
             wide = np.zeros((len(x), _width(x.shape[1])), np.float32)
             wide[:, : x.shape[1]] = x
             for own, probes in buckets(wide, k, tables_for(wide.shape[1], k, threshold, miss), x.shape[1]):
-                key = np.concatenate([own, *probes])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.tile(ids[rows], 1 + len(probes))), pa.array(np.arange(len(key)) < len(own))], ["bucket", "id", "stored"])
+                key, who = np.concatenate([own, *probes]), np.tile(family[rows], 1 + len(probes))
+                stored = np.arange(len(key)) < len(own)
+                by = np.lexsort((~stored, who, key))
+                key, who, stored = key[by], who[by], stored[by]
+                new = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(who[new]), pa.array(stored[new])], ["bucket", "id", "stored"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _angles(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of one length whose angle is at most ``most``; angles in parts of a radian, and cosines."""
     for batch in batches:
-        ka, kb = batch.column("va"), batch.column("vb")
-        same = np.flatnonzero(np.array([len(p) == len(q) for p, q in zip(ka.to_pylist(), kb.to_pylist())], bool))
-        batch = batch.take(pa.array(same))
-        cosine = np.zeros(batch.num_rows)
-        other = dict()
-        for rows, y in _vectors(batch.column("vb")):
-            other.update(zip(rows.tolist(), y))
-        for rows, x in _vectors(batch.column("va")):
-            for i, p in zip(rows.tolist(), x):
-                if i in other:
-                    cosine[i] = float(p @ other[i])
-        ok = pa.array(cosine >= threshold)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(np.round(cosine, 4)).filter(ok)], ["a", "b", "cosine"])
+        cosine = np.full(batch.num_rows, -2.0)
+        x, y = batch.column("pa"), batch.column("pb")
+        p, q = x.offsets.to_numpy().astype(np.int64), y.offsets.to_numpy().astype(np.int64)
+        size, other = np.diff(p), np.diff(q)
+        fx, fy = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+        for d in np.unique(size[size == other]).tolist():
+            for rows in np.array_split(at := np.flatnonzero((size == d) & (other == d)), max(1, len(at) * d // 2_000_000)):
+                cosine[rows] = np.einsum("ij,ij->i", fx[p[rows][:, None] + np.arange(d)], fy[q[rows][:, None] + np.arange(d)])
+        angle = np.arccos(np.clip(cosine, -1, 1)) * _PART
+        ok = pa.array((cosine > -1.5) & (angle <= most))
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(angle).filter(ok), pa.array(cosine).filter(ok)], ["a", "b", "apart", "cosine"])
 
 
 def near(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """Pairs (a < b) of vectors whose cosine is ``threshold`` or more, and the cosine to 4 decimals.
+    """One row per key: key, class_id and links. ``links`` is the number of other vectors found whose cosine with this one is ``threshold`` or more,
+    ``class_id`` the least key of all that links connect.
 
-    Every vector is a query. Each pair reported is verified; a pair at the threshold is missed with chance ``miss``, a nearer one less often.
-    Null, empty, zero and non-finite vectors, vectors with null elements and rows with a null key pair with nothing; vectors of
-    different lengths are never a pair. Of repeated rows of one key one counts. Other columns are not read. An empty table gives no rows.
+    Every vector is a query. Each link is verified; a pair at the threshold is missed with chance ``miss``, a nearer one less often. Cosines
+    equal to the threshold are links. Null, empty, zero and non-finite vectors and vectors with null elements have no links and are a class of their own;
+    vectors of different lengths are never linked. Rows with a null key have no row; of repeated rows of one key one counts, the one with the least
+    vector. Other columns are not read. An empty table gives no rows. Vectors may be of any length.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null")
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     tables = Tables(spark)
-    rows = tables.write("vectors", rows)
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    limit = float(np.arccos(threshold))
+    radius = RADIUS * limit
+    every = tables.write("vectors", rows.mapInArrow(lambda b: _families(b, radius), _OWN))
+    facts = every.agg(F.count("whole").alias("n"), F.max(F.size("unit")).alias("d")).first()
+    own = every.select(F.col("id").alias(key), "whole")
     if not facts["n"]:
-        return spark.createDataFrame([], "a long, b long, cosine double")
+        return own.select(key, F.col(key).alias("class_id"), F.lit(0).cast("long").alias("links"))
     k = max(1, int(np.ceil(np.log(max(2, facts["n"])) / np.log(2 * _width(facts["d"])))))
-    hashed = rows.mapInArrow(lambda b: _hash(b, k, threshold, miss), "bucket long, id long, stored boolean")
-    # one exchange: a bucket's stored vectors against those that look into it
-    probing = tables.write("buckets", hashed)
+    one = every.where("whole is not null").groupBy("whole").agg(F.min(F.struct("distance", "family")).alias("m"), F.count("*").alias("docs"), F.min("id").alias("least"), F.first("unit").alias("unit"))
+    sets_ = tables.write("sets", one.select("whole", F.lit(0).alias("size"), "m.family", "m.distance", "docs", "least", "unit"))
+    units = sets_.select("whole", F.col("unit").alias("value"))
+    # one exchange: the families stored in a bucket against those that look into it
+    probing = tables.write("buckets", sets_.select("family", "unit").mapInArrow(lambda b: _hash(b, k, threshold, miss), "bucket long, id long, stored boolean").groupBy("bucket", "id").agg(F.max("stored").alias("stored")))
     met = probing.where("stored").select("bucket", F.col("id").alias("p")).join(probing.select("bucket", F.col("id").alias("q")), "bucket").where("p != q")
     met = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    left, right = rows.select(F.col("id").alias("a"), F.col("v").alias("va")), rows.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return met.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(lambda b: _verify(b, threshold), "a long, b long, cosine double")
+    found = "a long, b long, apart double, cosine double"
+    apart = tables.write("apart", two(met, units).mapInArrow(lambda b: _angles(b, (limit + 2 * radius) * _PART + 3), found).select("a", "b", "apart"))
+    tables.drop("buckets")
+    derived, single = members(sets_, apart, tables, 0.0, limit * _PART - 1e-6)
+    pairs = two(single.select("a", "b"), units).mapInArrow(lambda b: _angles(b, 4 * _PART), found).where(F.col("cosine") >= threshold).select("a", "b")
+    return links(own, sets_.drop("unit"), derived, pairs, tables, key)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.llm.families import links, members, two
 from pageloom.llm.shared import Tables, text_id
 from pageloom.llm.tokens import mix, pieces, steps, strings, window_hash, words
 
@@ -328,31 +329,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(v).filter(ok)], ["a", "b", "apart"])
 
 
-_DERIVED = "a long, size int, distance int, b long, other_size int, other_distance int, n long"
-
-
-def _derive(batches: Iterator[pa.RecordBatch], c: float) -> Iterator[pa.RecordBatch]:
-    """From two pivots' distance, for the members of either by size and distance: how many documents of the other family are surely
-    answers (n), and which pairs of sizes and distances leave it open (n is null)."""
-    for batch in batches:
-        out: list[tuple] = []
-        for a, b, apart, p, q in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "apart", "pa", "pb"))):
-            x, y = (np.array([(r["size"], r["distance"], r["docs"]) for r in side], np.int64) for side in (p, q))
-            limit = c * (x[:, None, 0] + y[None, :, 0]) + 1e-9
-            spread = x[:, None, 1] + y[None, :, 1]
-            sure = apart + spread <= limit
-            for i in np.flatnonzero(sure.any(axis=1)).tolist():
-                out.append((a, x[i, 0], x[i, 1], b, None, None, int(y[sure[i], 2].sum())))
-            for j in np.flatnonzero(sure.any(axis=0)).tolist():
-                out.append((b, y[j, 0], y[j, 1], a, None, None, int(x[sure[:, j], 2].sum())))
-            least = np.maximum(apart - spread, np.abs(x[:, None, 0] - y[None, :, 0]))
-            for i, j in np.argwhere(~sure & (least <= limit) & (spread > 0)).tolist():
-                out.append((a, x[i, 0], x[i, 1], b, y[j, 0], y[j, 1], None))
-        columns = list(zip(*out)) or [()] * 7
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(columns, kinds)], [f.split()[0] for f in _DERIVED.split(", ")])
-
-
 def _fetch(corpus: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     """(whole, grams) of the sets wanted, found by a filter of fixed size; a few others too."""
     spark = corpus.sparkSession
@@ -365,26 +341,20 @@ def _fetch(corpus: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     return corpus.mapInArrow(lambda b: _chosen(b, n, sent.value), "whole long, grams binary").groupBy("whole").agg(F.first("grams").alias("grams"))
 
 
-def _two(pairs: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
-    """Pairs with facts of either side (whole, value) as pa and pb."""
-    left, right = facts.select(F.col("whole").alias("a"), F.col("value").alias("pa"), *[F.col(x).alias(f"{x}_a") for x in names]), facts.select(F.col("whole").alias("b"), F.col("value").alias("pb"), *[F.col(x).alias(f"{x}_b") for x in names])
-    return pairs.join(left, "a").join(right, "b")
-
-
 def _apart_of(pairs: DataFrame, facts: DataFrame, corpus: DataFrame, n: int, tables: Tables, name: str) -> DataFrame:
     """(a, b, apart) of the pairs of sets (a, b, most) whose distance is at most ``most``: bitmaps first, then the sets."""
-    left = tables.write(f"{name}_near", _two(pairs, facts.select("whole", F.col("bits").alias("value"))).mapInArrow(_near, "a long, b long, most double"))
+    left = tables.write(f"{name}_near", two(pairs, facts.select("whole", F.col("bits").alias("value"))).mapInArrow(_near, "a long, b long, most double"))
     tables.tidy()
     have = _fetch(corpus, n, left.select(F.col("a").alias("whole")).union(left.select("b")).distinct())
-    out = tables.write(name, _two(left, have.withColumnRenamed("grams", "value")).mapInArrow(_verify, "a long, b long, apart int"))
+    out = tables.write(name, two(left, have.withColumnRenamed("grams", "value")).mapInArrow(_verify, "a long, b long, apart int"))
     tables.drop(f"{name}_near")
     tables.tidy()
     return out
 
 
 def _base(docs: DataFrame, n: int, threshold: float, tables: Tables, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, whole, null without words; sets: whole, size, family, distance, docs, least; answers by class of members and
-    answers of single sets, both with the two families)."""
+    """(documents: doc_id, whole, null without words; sets: whole, size, family, distance, docs, least; answers by class of members;
+    answers of single sets)."""
     spark: SparkSession = docs.sparkSession
     c, _, _ = _reach(threshold)
     corpus = text_id(docs).where("doc_id is not null")
@@ -406,43 +376,14 @@ def _base(docs: DataFrame, n: int, threshold: float, tables: Tables, hot: int =
     bits = outline.where("doc_id is not null and size > 0").groupBy("whole").agg(F.first("bits").alias("bits"))
     reach = sets_.groupBy("family").agg(F.max(F.lit(c) * F.col("size") + F.col("distance")).alias("reach"))
     pairs = met.where("must >= 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("must").alias("must")).where("shared >= must").select("a", "b")
-    far = _two(pairs, reach.select(F.col("family").alias("whole"), F.col("reach").alias("value"))).select("a", "b", (F.col("pa") + F.col("pb") + 1e-6).alias("most"))
+    far = two(pairs, reach.select(F.col("family").alias("whole"), F.col("reach").alias("value"))).select("a", "b", (F.col("pa") + F.col("pb") + 1e-6).alias("most"))
     apart = _apart_of(far, bits, corpus, n, tables, "apart")
     tables.drop("met")
-    kinds = sets_.groupBy("family", "size", "distance").agg(F.sum("docs").alias("docs"))
-    profile = kinds.groupBy(F.col("family").alias("whole")).agg(F.collect_list(F.struct("size", "distance", "docs")).alias("value"))
-    derived = tables.write("derived", _two(apart, profile).mapInArrow(lambda b: _derive(b, c), _DERIVED))
-    open_ = derived.where("n is null")
-    side = sets_.select(F.col("family").alias("a"), "size", "distance", F.col("whole").alias("x"))
-    other = sets_.select(F.col("family").alias("b"), F.col("size").alias("other_size"), F.col("distance").alias("other_distance"), F.col("whole").alias("y"))
-    single = open_.join(side, ["a", "size", "distance"]).join(other, ["b", "other_size", "other_distance"])
-    single = single.select(F.col("x").alias("a"), F.col("y").alias("b"), (F.lit(c) * (F.col("size") + F.col("other_size")) + 1e-9).alias("most"))
+    derived, single = members(sets_, apart, tables, c)
+    single = single.select("a", "b", (F.lit(c) * (F.col("size") + F.col("other_size")) + 1e-9).alias("most"))
     verified = _apart_of(single, bits, corpus, n, tables, "verified")
     tables.drop("outline", "apart")
-    facts = sets_.select("whole", F.col("family").alias("value"), "docs")
-    answers = tables.write("answers", _two(verified.select("a", "b"), facts, "docs"))
-    tables.drop("verified")
-    return own, sets_, derived.where("n is not null").select("a", "size", "distance", "b", "n"), answers
-
-
-def _components(edges: DataFrame, tables: Tables) -> DataFrame:
-    """(v, g): the least family that each one is connected to. Labels spread over edges and jump along labels until none changes."""
-    pairs = tables.write("edges", edges.distinct())
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = tables.write("label0", both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("g")).select(F.col("a").alias("v"), "g"))
-    done = 0
-    while True:
-        near = both.join(label.select(F.col("v").alias("b"), "g"), "b").groupBy(F.col("a").alias("v")).agg(F.min("g").alias("o"))
-        spread = label.join(near, "v", "left").select("v", F.col("g").alias("was"), F.least("g", "o").alias("g"))
-        jump = label.select(F.col("v").alias("g"), F.col("g").alias("h"))
-        done += 1
-        new = tables.write(f"label{done}", spread.join(jump, "g", "left").select("v", "was", F.least("g", "h").alias("g")))
-        moved = new.where("g < was").limit(1).count()
-        label = new.select("v", "g")
-        tables.drop(f"label{done - 1}")
-        if not moved:
-            tables.drop("edges")
-            return label
+    return own, sets_, derived, verified.select("a", "b")
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
@@ -454,18 +395,7 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, hot: int = H
     not read. An empty table gives no rows. Sets are known by 64-bit sums of hashes.
     """
     tables = Tables(docs.sparkSession)
-    own, sets_, derived, answers = _base(docs, n, threshold, tables, hot)
-    edges = derived.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(answers.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))).where("a != b")
-    label = _components(edges, tables)
-    family = sets_.groupBy("family").agg(F.sum("docs").alias("all_docs"), F.min("least").alias("least")).join(label, F.col("family") == F.col("v"), "left").withColumn("g", F.coalesce("g", "family"))
-    family = family.join(family.groupBy("g").agg(F.min("least").alias("class_id")), "g").select("family", "all_docs", "class_id")
-    sure = derived.groupBy(F.col("a").alias("family"), "size", "distance").agg(F.sum("n").alias("sure"))
-    each = answers.select(F.col("a").alias("whole"), F.col("docs_b").alias("n")).unionAll(answers.select(F.col("b").alias("whole"), F.col("docs_a").alias("n"))).groupBy("whole").agg(F.sum("n").alias("single"))
-    found = sets_.join(family, "family").join(sure, ["family", "size", "distance"], "left").join(each, "whole", "left")
-    found = tables.write("found", found.select("whole", "class_id", (F.col("all_docs") - 1 + F.coalesce("sure", F.lit(0)) + F.coalesce("single", F.lit(0))).alias("links")))
-    tables.drop("derived", "answers", "sets")
-    out = own.join(found, "whole", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return out
+    return links(*_base(docs, n, threshold, tables, hot), tables, "doc_id")
 
 
 def dedup(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:

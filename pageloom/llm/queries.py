@@ -38,6 +38,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per vector: its class and how many vectors it is linked to; copies aren't expanded into pairs."""
     return embedding.near(table(spark, sf_dir, "embeddings"))
 
 
@@ -109,10 +110,11 @@ SELECT p.id AS conv_id, shared_turns, prompt, '{chat.OPEN}{chat.SPEAKER}' || chr
  '{len(chat.OPEN + chat.SPEAKER) + 1}:' || ({len(chat.OPEN + chat.SPEAKER + chat.CLOSE) + 1} + length(r)) AS rejected_mask
 FROM p JOIN s USING (id)""",
     "op6_embedding_near": f"""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.e, b.e) AS c FROM u a JOIN u b ON a.vec_id < b.vec_id)
-SELECT a, b, round(c, 4) AS cosine FROM p WHERE c >= {embedding.THRESHOLD}""",
+l AS (SELECT a.vec_id AS v, b.vec_id AS w FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= {embedding.THRESHOLD}),
+r AS (SELECT vec_id AS v, vec_id AS w FROM embeddings UNION SELECT r.v, l.w FROM r JOIN l ON l.v = r.w)
+SELECT r.v AS vec_id, min(r.w) AS class_id, (SELECT count(*) FROM l WHERE l.v = r.v) AS links FROM r GROUP BY r.v""",
     "op7_secret_scan": _secret_sql(),
     "op9_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),

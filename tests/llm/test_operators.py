@@ -249,17 +249,24 @@ def test_licenses_against_brute_force(spark):
     assert licenses.bands_for(0.5) >= np.log(1e-4) / np.log(0.75)
 
 
-def test_embeddings_recall(spark):
+def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(150, 48))
-    x = np.concatenate([base, base[:60] + 0.25 * rng.normal(size=(60, 48)), base[:10]])
-    rows = [(i, [float(a) for a in v], "extra") for i, v in enumerate(x)] + [(900, None, ""), (901, [], ""), (902, [0.0] * 48, ""), (903, [1.0, 2.0], ""), (904, [float("nan")] * 48, ""), (0, [float(a) for a in x[0]], "")]
+    x = np.concatenate([base, base[:60] + 0.25 * rng.normal(size=(60, 48)), base[:10], 3 * base[:5], base[7] + 0.2 * rng.normal(size=(80, 48)), base[9] + 0.02 * rng.normal(size=(80, 48))])
+    rows = [(i, [float(a) for a in v], "extra") for i, v in enumerate(x)] + [(900, None, ""), (901, [], ""), (902, [0.0] * 48, ""), (903, [1.0, 2.0], ""), (904, [float("nan")] * 48, ""), (0, [float(a) for a in x[0]], ""), (905, [None, 1.0], ""), (None, [1.0, 2.0], ""), (906, [1e300] * 5000, "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, bucket string")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    c = u @ u.T
-    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if c[i, j] >= embedding.THRESHOLD}
-    got = {(r["a"], r["b"]) for r in embedding.near(df).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 50
+    near = u @ u.T >= embedding.THRESHOLD - 1e-12
+    got = {r["vec_id"]: r for r in embedding.near(df).collect()}
+    assert set(got) == {*range(len(x)), *range(900, 907)}
+    assert all(got[i]["links"] == 0 and got[i]["class_id"] == i for i in range(900, 907))
+    found = sum(got[i]["links"] for i in range(len(x)))
+    assert all(got[i]["links"] <= near[i].sum() - 1 for i in range(len(x))) and found >= 0.99 * (near.sum() - len(x)) and near.sum() > 6000
+    group = list(range(len(x)))
+    for _ in range(5):
+        for i, j in np.argwhere(near):
+            group[i] = group[j] = min(group[i], group[j])
+    assert sum(got[i]["class_id"] != g for i, g in enumerate(group)) <= 2
     assert embedding.near(df.limit(0)).collect() == []
     h = embedding.hadamard(np.eye(8, dtype=np.float32))
     assert np.allclose(h @ h.T, np.eye(8), atol=1e-6)
