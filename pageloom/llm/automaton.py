@@ -1,19 +1,37 @@
-"""Regular expressions to one minimal automaton: parse, subset construction, partition refinement, transition array.
+"""Regular expressions to minimal automata: parse, subset construction, partition refinement, transition array.
 
-Syntax: literals, ``.``, classes, ``\\d \\w \\s`` and escaped signs, groups, ``|``, ``? * + {m} {m,} {m,n}``. Patterns and texts are
-bytes; a match is leftmost-longest.
+Syntax: literals, ``.``, classes, ``\\d \\w \\s`` and escaped signs, groups, ``|``, ``? * + {m} {m,} {m,n}``. Texts are UTF-8: ``.`` and a
+negated class take a whole character of it, whatever its number of bytes; cases are ignored for ASCII letters. A match is leftmost-longest.
+
+All rules are scanned in one pass over the bytes. Where one rule counts a long run, another may begin anywhere within, so an automaton of all rules
+would need the product of their counters; rules are joined to one automaton as long as it has at most ``MOST_STATES`` states, and the
+automata that result advance side by side.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 
+from pageloom.llm.tokens import mix
+
 _SETS = {"d": frozenset(range(48, 58)), "s": frozenset(b" \t\n\r\f\v")}
 _SETS["w"] = frozenset([*range(48, 58), *range(65, 91), 95, *range(97, 123)])
-_ALL = frozenset(range(256))
+_ASCII = frozenset(range(128))
+#: Rules share an automaton up to so many states.
+MOST_STATES = 20_000
+#: Bytes in a chunk of a text, and bytes before it from which its first state is guessed; a wrong guess is run again.
+CHUNK, WARM = 4096, 64
+
+
+def _bytes(low: int, high: int) -> tuple:
+    return ("set", frozenset(range(low, high + 1)))
+
+
+#: A character beyond ASCII.
+_WIDE = ("or", [("then", [_bytes(lead, last), *[_bytes(0x80, 0xBF)] * n]) for lead, last, n in ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3))])
 
 
 class _Parser:
@@ -27,10 +45,12 @@ class _Parser:
         self.i += 1
         return self.p[self.i - 1]
 
-    def chars(self, found: frozenset) -> tuple:
+    def chars(self, found: frozenset, others: frozenset = frozenset()) -> tuple:
+        """A class of ASCII characters and of some beyond."""
         if self.fold:
             found = found | {c ^ 32 for c in found if 65 <= c & ~32 <= 90}
-        return ("set", found)
+        wide = [("then", [_bytes(b, b) for b in c.encode()]) for c in sorted(others)]
+        return ("or", [("set", found), *wide]) if wide else ("set", found)
 
     def either(self) -> tuple:
         options = [self.chain()]
@@ -76,10 +96,18 @@ class _Parser:
                     self.take()
                     low = frozenset(range(min(low), ord(self.take()) + 1))
                 found |= low
-            return self.chars(_ALL - found if negated else frozenset(found))
+            others = {chr(c) for c in found if c > 127}
+            if len(others) > 1000 or negated and others:
+                raise ValueError(f"too many characters beyond ASCII in a class of {self.p!r}")
+            if negated:
+                folded = self.chars(frozenset(found))[1]
+                return ("or", [("set", _ASCII - folded), _WIDE])
+            return self.chars(frozenset(found) & _ASCII, frozenset(others))
         if c == ".":
-            return ("set", _ALL - {10})
-        return self.chars(self.escape() if c == "\\" else frozenset(c.encode()))
+            return ("or", [("set", _ASCII - {10}), _WIDE])
+        if c != "\\" and ord(c) > 127:
+            return ("then", [_bytes(b, b) for b in c.encode()])
+        return self.chars(self.escape() if c == "\\" else frozenset({ord(c)}))
 
 
 def parse(pattern: str, fold: bool = False) -> tuple:
@@ -152,7 +180,7 @@ class _Threads:
         return frozenset(seen)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Automaton:
     """Transition array ``next[state * classes + class]`` (states premultiplied), byte classes, and the rules that each state accepts.
 
@@ -171,8 +199,9 @@ class Automaton:
         return len(self.accepts)
 
 
-def build(trees: list[tuple], anywhere: bool, most_states: int = 60_000) -> Automaton:
-    """``anywhere``: a match may begin at each byte; else only at the first (a dead state then has no way on)."""
+def build(trees: list[tuple], anywhere: bool, first: bool = False, most_states: int = 60_000) -> Automaton:
+    """``anywhere``: a match may begin at each byte; else only at the first (a dead state then has no way on). ``first``: behind a
+    match it begins anew, which finds whether there is any with far fewer states than it takes to find all."""
     nfa = _Threads()
     root = nfa.state()
     ends = {}
@@ -188,8 +217,12 @@ def build(trees: list[tuple], anywhere: bool, most_states: int = 60_000) -> Auto
     number, order, rows = {begin: 0}, [begin], []
     while len(rows) < len(order):
         now, row = order[len(rows)], []
+        if first and any(s in ends for s in now):
+            now = begin
         for byte in sample:
             to = nfa.closure({m[1] for s in now if (m := nfa.moves[s]) and byte in m[0]} | ({root} if anywhere else set()))
+            if first and (met := to & ends.keys()):
+                to = frozenset(met)
             if to not in number:
                 if len(number) >= most_states:
                     raise ValueError("the rules need too many states")
@@ -197,107 +230,168 @@ def build(trees: list[tuple], anywhere: bool, most_states: int = 60_000) -> Auto
                 order.append(to)
             row.append(number[to])
         rows.append(row)
-    table = np.array(rows)
-    accepts = [tuple(sorted(ends[s] for s in states if s in ends)) for states in order]
-    # minimisation: refine by what is accepted, then by where each class leads
+    return _minimal(np.array(rows), of_byte, [tuple(sorted(ends[s] for s in states if s in ends)) for states in order], 0)
+
+
+def _minimal(table: np.ndarray, of_byte: np.ndarray, accepts: list[tuple[int, ...]], start: int) -> Automaton:
+    """Refines states by what they accept, then by where each class leads."""
+    n = table.shape[1]
     kinds = {a: i for i, a in enumerate(sorted(set(accepts)))}
     part = np.array([kinds[a] for a in accepts])
     while True:
-        _, refined = np.unique(np.column_stack([part, part[table]]), axis=0, return_inverse=True)
-        refined = refined.reshape(-1)
+        code = part.astype(np.uint64)
+        for k in range(n):
+            code = mix(code * np.uint64(0x9E3779B97F4A7C15) + part[table[:, k]].astype(np.uint64) + np.uint64(1))
+        _, refined = np.unique(code, return_inverse=True)
         if refined.max() == part.max():
             break
         part = refined
-    first = {int(p): i for i, p in reversed(list(enumerate(part)))}
-    parts = sorted(first, key=lambda p: (accepts[first[p]] != (), p))
-    new = {p: i for i, p in enumerate(parts)}
-    moves = np.array([[new[int(part[to])] for to in table[first[p]]] for p in parts], np.int32) * n
-    final = tuple(accepts[first[p]] for p in parts)
-    return Automaton(moves.reshape(-1), of_byte, n, new[int(part[0])] * n, sum(a == () for a in final) * n, final)
-
-
-#: Repetitions that the combined automaton counts; beyond it the rule's own automaton goes on.
-COUNTED = 2
-
-
-def opening(tree: tuple) -> tuple[tuple, bool]:
-    """A tree whose language holds a beginning of each string of ``tree``'s, and whether it is cut short.
-
-    It ends inside the first repetition that needs more than ``COUNTED`` rounds: counting several rules' long runs in one
-    automaton would multiply their states.
-    """
-    if tree[0] == "then":
-        parts = []
-        for part in tree[1]:
-            part, cut = opening(part)
-            parts.append(part)
-            if cut:
-                return ("then", parts), True
-        return tree, False
-    if tree[0] == "or":
-        options = [opening(option) for option in tree[1]]
-        return ("or", [option for option, _ in options]), any(cut for _, cut in options)
-    if tree[0] == "times" and tree[2] > COUNTED:
-        return ("times", opening(tree[1])[0], 1, 1) if opening(tree[1])[1] else ("times", tree[1], COUNTED, COUNTED), True
-    return tree, False
+    _, first = np.unique(part, return_index=True)
+    final = [accepts[i] for i in first]
+    order = np.array(sorted(range(len(first)), key=lambda p: (final[p] != (), p)))
+    new = np.empty(len(order), np.int64)
+    new[order] = np.arange(len(order))
+    moves = (new[part[table[first[order]]]] * n).astype(np.int32)
+    final = tuple(final[p] for p in order)
+    return Automaton(moves.reshape(-1), of_byte, n, int(new[part[start]]) * n, sum(a == () for a in final) * n, final)
+
+
+def joined(one: Automaton, two: Automaton, most_states: int) -> Automaton | None:
+    """The automaton that runs both, with the rules of either; None where it needs more than ``most_states``."""
+    pairs = one.of_byte.astype(np.int64) * two.classes + two.of_byte
+    names, of_byte = np.unique(pairs, return_inverse=True)
+    x = one.next.reshape(-1, one.classes)[:, names // two.classes] // one.classes
+    y = two.next.reshape(-1, two.classes)[:, names % two.classes] // two.classes
+    begin = np.array([one.start // one.classes * two.states + two.start // two.classes])
+    known, new, at = begin, begin, []
+    while len(new):
+        to = x[new // two.states].astype(np.int64) * two.states + y[new % two.states]
+        at.append((new, to))
+        new = np.setdiff1d(to.reshape(-1), known)
+        known = np.union1d(known, new)
+        if len(known) > 4 * most_states:
+            return None
+    table = np.empty((len(known), len(names)), np.int64)
+    for states, to in at:
+        table[np.searchsorted(known, states)] = np.searchsorted(known, to)
+    accepts = [tuple(sorted(one.accepts[k // two.states] + two.accepts[k % two.states])) for k in known.tolist()]
+    out = _minimal(table, of_byte.astype(np.uint8), accepts, int(np.searchsorted(known, begin[0])))
+    return out if out.states <= most_states else None
 
 
 @lru_cache(maxsize=8)
-def scanner(rules: tuple[tuple[str, str, bool], ...]) -> tuple[Automaton, tuple[Automaton, ...], tuple[Automaton, ...]]:
-    """For rules (name, pattern, ignore case): the combined automaton of their openings; per rule the one that reads an
-    opening backwards, and the whole rule's own."""
+def scanner(rules: tuple[tuple[str, str, bool], ...], most_states: int = MOST_STATES) -> tuple[tuple[Automaton, ...], tuple[Automaton, ...], tuple[Automaton, ...]]:
+    """For rules (name, pattern, ignore case): the automata that find all of them in one pass; per rule the one that reads backwards and
+    accepts where a match begins, and the one that accepts where a match from the first byte on ends."""
     trees = [parse(p, fold) for _, p, fold in rules]
-    openings = [opening(t)[0] for t in trees]
-    return build(openings, True), tuple(build([_backwards(t)], False) for t in openings), tuple(build([t], False) for t in trees)
+    machines: list[Automaton] = []
+    own = [replace(m := build([t], True, True), accepts=tuple((i,) if a else () for a in m.accepts)) for i, t in enumerate(trees)]
+    for machine in sorted(own, key=lambda m: m.states):
+        for k, other in enumerate(machines):
+            if both := joined(other, machine, most_states):
+                machines[k] = both
+                break
+        else:
+            machines.append(machine)
+    return tuple(machines), tuple(build([_backwards(t)], True) for t in trees), tuple(build([t], False) for t in trees)
+
+
+def _run(machine: Automaton, classes: np.ndarray, at: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Advances all chunks together. Gives each one's last state, and (chunk, state) wherever one enters an accepting state."""
+    order = np.argsort(-size, kind="stable")
+    by_size = size[order]
+    a, s = at[order].copy(), state[order].astype(np.int32)
+    who, states, done = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
+    if (entered := s >= machine.accepting).any():  # so that a state that is kept counts in its chunk too
+        who.append(order[entered])
+        states.append(s[entered])
+    for until in np.unique(size).tolist():
+        active = int(np.searchsorted(-by_size, -until, "right"))
+        x, y = a[:active], s[:active]
+        for _ in range(until - done):
+            to = np.take(machine.next, y + classes[x])
+            x += 1
+            if (found := to >= machine.accepting).any():
+                found = np.flatnonzero(found & (to != y))
+                if len(found):
+                    who.append(order[found])
+                    states.append(to[found])
+            y = to
+        s[:active] = y
+        done = until
+    last = np.empty_like(s)
+    last[order] = s
+    return last, np.concatenate(who), np.concatenate(states)
 
 
-def hits(machine: Automaton, data: np.ndarray, offsets: np.ndarray, few: int = 150) -> tuple[np.ndarray, np.ndarray]:
-    """Places just after which some rule accepts, with the state then. One pass: all texts advance byte by byte together."""
+def hits(machine: Automaton, data: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK, warm: int = WARM) -> set[tuple[int, int]]:
+    """(text, rule) of all that occurs. One pass: all chunks of all texts advance byte by byte together."""
+    classes = machine.of_byte[data].astype(np.int32)
     sizes = np.diff(offsets)
-    order = np.argsort(-sizes, kind="stable")
-    by_size = sizes[order]
-    classes = machine.of_byte[data]
-    at = offsets[:-1][order].copy()
-    state = np.full(len(order), machine.start, np.int32)
-    places, states = [], []
-    active = int(np.searchsorted(-by_size, 0, "left"))
-    done = 0
-    while active > few:
-        until = int(by_size[active - 1])
-        a, s = at[:active], state[:active]
-        for _ in range(until - done):
-            np.take(machine.next, s + classes[a], out=s)
-            a += 1
-            if (found := s >= machine.accepting).any():
-                places.append(a[found].copy())
-                states.append(s[found].copy())
-        done = until
-        active = int(np.searchsorted(-by_size, -done, "left"))
-    if active:  # the few longest: one by one
-        rows = machine.next.reshape(-1, machine.classes).tolist()
-        rows = [[x // machine.classes for x in row] for row in rows]
-        limit = machine.accepting // machine.classes
-        for k in range(active):
-            s, p = int(state[k]) // machine.classes, int(at[k])
-            for c in classes[p : offsets[order[k] + 1]].tobytes():
-                s = rows[s][c]
-                p += 1
-                if s >= limit:
-                    places.append(np.array([p]))
-                    states.append(np.array([s * machine.classes], np.int32))
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return np.concatenate(places), np.concatenate(states)
+    count = -(-sizes // chunk)
+    text = np.repeat(np.arange(len(sizes)), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    at = offsets[:-1][text] + number * chunk
+    size = np.minimum(chunk, offsets[1:][text] - at)
+    state = np.full(len(text), machine.start, np.int32)
+    later = np.flatnonzero(number > 0)
+    if len(later):
+        near = min(warm, chunk)
+        state[later] = _run(machine, classes, at[later] - near, np.full(len(later), near), state[later])[0]
+    todo, last = np.arange(len(text)), np.empty(len(text), np.int32)
+    who, states = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    while len(todo):
+        last[todo], w, s = _run(machine, classes, at[todo], size[todo], state[todo])
+        kept = ~np.isin(who, todo)
+        who, states = np.concatenate([who[kept], todo[w]]), np.concatenate([states[kept], s])
+        todo = later[state[later] != last[later - 1]]
+        state[todo] = last[todo - 1]
+    found = np.unique(text[who] * (machine.states + 1) + states // machine.classes)
+    return {(int(f // (machine.states + 1)), rule) for f in found for rule in machine.accepts[f % (machine.states + 1)]}
 
 
 def walk(machine: Automaton, data: np.ndarray, at: int, to: int) -> list[int]:
     """The places where the automaton accepts on its way from ``at`` to ``to`` (backwards where ``to`` is less), nearest first."""
-    ahead = 1 if to >= at else -1
-    found, s, n = [], machine.start, machine.classes
-    for p in range(at, to, ahead):
-        s = int(machine.next[s + int(machine.of_byte[data[p if ahead > 0 else p - 1]])])
-        if s >= machine.accepting:
-            found.append(p + ahead)
-        elif (machine.next[s : s + n] == s).all():
+    n = machine.classes
+    classes = machine.of_byte[data[at:to] if to >= at else data[to:at][::-1]].tobytes()
+    rows, limit = _rows(machine)
+    found, s, ahead = [], machine.start // n, 1 if to >= at else -1
+    for p, c in enumerate(classes, 1):
+        s = rows[s][c]
+        if s >= limit:
+            found.append(at + ahead * p)
+        elif rows[s] is None:
             break  # nothing can follow
     return found
+
+
+def last_end(machine: Automaton, data: np.ndarray, at: int, to: int) -> int | None:
+    """Where the longest match from ``at`` on ends; ``data`` is read a piece at a time, as far as a match can go."""
+    rows, limit = _rows(machine)
+    found, s, width = None, machine.start // machine.classes, 256
+    while at < to:
+        for p, c in enumerate(machine.of_byte[data[at : min(to, at + width)]].tobytes(), at + 1):
+            s = rows[s][c]
+            if s >= limit:
+                found = p
+            elif rows[s] is None:
+                return found
+        at, width = at + width, 4 * width
+    return found
+
+
+@lru_cache(maxsize=64)
+def _rows_of(next_: bytes, classes: int) -> list[list[int] | None]:
+    rows = (np.frombuffer(next_, np.int32).reshape(-1, classes) // classes).tolist()
+    return [None if all(x == i for x in row) else row for i, row in enumerate(rows)]
+
+
+_KEPT: dict[int, tuple] = {}
+
+
+def _rows(machine: Automaton) -> tuple[list[list[int] | None], int]:
+    """Transitions as lists (None: no way on), and the first accepting state."""
+    kept = _KEPT.get(id(machine))
+    if kept is None or kept[0] is not machine:
+        kept = _KEPT[id(machine)] = (machine, _rows_of(machine.next.tobytes(), machine.classes), machine.accepting // machine.classes)
+    return kept[1], kept[2]

@@ -1,7 +1,7 @@
-"""Secret scanning: all rules' openings in one minimal automaton, one pass over the bytes of each text.
+"""Secret scanning: minimal automata of all whole rules, which advance together in one pass over the bytes of each text.
 
-An opening is the rule as far as its first long counted run; where one is met, the rule's own automaton decides. A private key
-goes on from the line that the rule matches to its END line.
+Where a rule occurs in a text, its own automata tell where matches begin and end. A private key goes on from the line that the rule matches
+to its END line.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.automaton import hits, scanner, walk
+from pageloom.llm.automaton import hits, last_end, scanner, walk
 from pageloom.llm.shared import text_id
 from pageloom.llm.tokens import raw, steps, strings
 
@@ -49,36 +49,27 @@ STEP = 12 << 20
 SCHEMA = "doc_id long, rule string, ordinal int, secret string"
 
 
-def find(column: pa.Array, rules: tuple = EVERY) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+def find(column: pa.Array, rules: tuple = EVERY, found_by: tuple | None = None) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
     """(row, rule, begin, end, bytes of all rows) of each match: per rule leftmost-longest, with its tail, not overlapping, in order."""
-    machine, back, full = scanner(rules)
+    machines, back, full = found_by or scanner(rules)
     for a, z in steps(column, STEP):
         data, offsets = raw(column.slice(a, z - a))
-        places, states = hits(machine, data, offsets)
-        if not len(places):
-            continue
-        rows = np.searchsorted(offsets, places, "left") - 1  # a place is behind its last byte
-        per: dict[tuple[int, int], list[int]] = {}
-        for row, place, state in zip(rows.tolist(), places.tolist(), states.tolist()):
-            for rule in machine.accepts[state // machine.classes]:
-                per.setdefault((row, rule), []).append(place)
-        for (row, rule), ends in sorted(per.items()):
+        for row, rule in sorted(set().union(*(hits(machine, data, offsets) for machine in machines))):
             least, limit = int(offsets[row]), int(offsets[row + 1])
-            starts = {start for end in ends for start in walk(back[rule], data, end, least)}
-            for begin in sorted(starts):
-                if begin >= least and (ends := walk(full[rule], data, begin, limit)):
-                    least = ends[-1]
+            for begin in reversed(walk(back[rule], data, limit, least)):
+                if begin >= least and (end := last_end(full[rule], data, begin, limit)) is not None:
+                    least = end
                     if (tail := TAILS.get(rules[rule][0])) and (more := tail.match(data, least, limit)):
                         least = more.end()
                     yield a + row, rule, begin, least, data
 
 
-def _scan(batches: Iterator[pa.RecordBatch], rules: tuple) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], rules: tuple, found_by: tuple) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column("doc_id").to_pylist()
         out: list[tuple] = []
         before, n = None, 0
-        for row, rule, begin, end, data in find(strings(batch.column("text")), rules):
+        for row, rule, begin, end, data in find(strings(batch.column("text")), rules, found_by):
             n = n + 1 if before == (row, rule) else 0
             before = (row, rule)
             out.append((keys[row], rules[rule][0], n, data[begin:end].tobytes().decode("utf-8", "replace")))
@@ -91,12 +82,13 @@ def scan(docs: DataFrame, rules: tuple = EVERY) -> DataFrame:
     """One row per match: doc_id, rule, its number among the rule's matches in the text (from 0), and the text matched.
 
     Matches of one rule don't overlap (leftmost, then longest); that of a private key is all of it, its END line too; different rules may match the same place. Null and empty texts match nothing; a null
-    doc_id and repeated rows are scanned like others; other columns are not read. No exchange.
+    doc_id and repeated rows are scanned like others; other columns are not read; an empty table gives no rows. No exchange.
     """
-    return text_id(docs).mapInArrow(lambda batches: _scan(batches, rules), SCHEMA)
+    found_by = docs.sparkSession.sparkContext.broadcast(scanner(rules))  # compiled once, of a size that the rules alone decide
+    return text_id(docs).mapInArrow(lambda batches: _scan(batches, rules, found_by.value), SCHEMA)
 
 
-def _mask(batches: Iterator[pa.RecordBatch], rules: tuple) -> Iterator[pa.RecordBatch]:
+def _mask(batches: Iterator[pa.RecordBatch], rules: tuple, found_by: tuple) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(0)
         cuts: dict[int, list[tuple[int, int, int]]] = {}
@@ -105,7 +97,7 @@ def _mask(batches: Iterator[pa.RecordBatch], rules: tuple) -> Iterator[pa.Record
         for a, z in steps(kept, STEP):
             _, offsets = raw(kept.slice(a, z - a))
             bounds.update((a + i, int(o)) for i, o in enumerate(offsets[:-1]))
-        for row, rule, begin, end, _ in find(kept, rules):
+        for row, rule, begin, end, _ in find(kept, rules, found_by):
             cuts.setdefault(row, []).append((begin - bounds[row], end - bounds[row], rule))
         texts = None
         if cuts:
@@ -123,13 +115,14 @@ def _mask(batches: Iterator[pa.RecordBatch], rules: tuple) -> Iterator[pa.Record
 def mask(docs: DataFrame, rules: tuple = EVERY) -> DataFrame:
     """The documents, all rows and columns kept, with each match in ``text`` replaced by its rule's name in brackets.
 
-    Of overlapping matches the first counts, the rest of the others goes with it. A null text stays null. ``n_chars``, where
-    present, is the new text's length.
+    Of overlapping matches the first counts, the rest of the others goes with it. A null text stays null, an empty one empty; repeated rows
+    are masked each for itself; an empty table gives no rows. ``n_chars``, where present, is the new text's length.
     """
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select("text", F.struct(*rest).alias("rest")) if rest else docs
     fields = packed.schema
-    out = packed.mapInArrow(lambda batches: _mask(batches, rules), fields)
+    found_by = docs.sparkSession.sparkContext.broadcast(scanner(rules))
+    out = packed.mapInArrow(lambda batches: _mask(batches, rules, found_by.value), fields)
     if rest:
         out = out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:

@@ -3,7 +3,7 @@
 1. Screen (loses nothing): of every ``WORDS`` words on end one winnowed fingerprint is kept; a passage of so many words that occurs twice has
    the same fingerprint twice. Only the words around repeated fingerprints go on, and of equal documents one.
 2. Down: triples at places 1 and 2 modulo 3 are sorted across the cluster and named by rank; the names make two new strings
-   for each string, and so on. Names of the fourth level stand for 81 words, more than is compared in the end, so there the order is known.
+   for each string, and so on, until a name stands for as many words as are compared in the end: there the order is known.
 3. Up: with the sampled suffixes' order, the others are sorted by first word and next rank, and merged.
 4. Neighbours in the array are compared by their first ``WORDS`` words.
 
@@ -26,7 +26,6 @@ from pageloom.llm.tokens import mix, raw, steps, strings, whole, window_hash, wo
 WORDS = 50
 #: Words in a fingerprint.
 PRINT = 32
-LEVELS = 4
 
 U, LAST = np.uint64, np.uint64(2**64 - 1)
 _SPANS = "doc_id long, first_word int, words int, cut_words int"
@@ -294,7 +293,8 @@ def _array(text: DataFrame, tables: Tables, size: int, buckets: int) -> DataFram
     kinds = ["x binary", "y binary"]
     levels = [text]
     ranges = []
-    for k in range(LEVELS):
+    k, stands = 0, 1  # words that a letter of this level stands for
+    while stands < size:
         s = levels[k]
         total = (s.agg(F.sum(F.length("letters"))).first()[0] or 0) // 8
         every = max(61, total // (400 * buckets))
@@ -305,8 +305,9 @@ def _array(text: DataFrame, tables: Tables, size: int, buckets: int) -> DataFram
         named = triples.groupBy("bucket").applyInArrow(lambda t: _names(t, buckets), _BACK)
         levels.append(tables.write(f"level{k + 1}", named.groupBy("bucket").applyInArrow(lambda t: _assemble(t, True), "sid long, letters binary")))
         tables.tidy()
-    ranks = levels[LEVELS]
-    for k in reversed(range(LEVELS)):
+        k, stands = k + 1, 3 * stands
+    ranks = levels[k]
+    for k in reversed(range(k)):
         # a string's two children, found by its sid
         both = ranks.groupBy(F.shiftright("sid", 1).alias("sid")).agg(F.max(F.when(F.col("sid") % 2 == 0, F.col("letters"))).alias("r1"), F.max(F.when(F.col("sid") % 2 == 1, F.col("letters"))).alias("r2"))
         joined = levels[k].join(both, "sid", "left")
@@ -366,7 +367,7 @@ def _runs(docs: DataFrame, size: int) -> DataFrame:
     tables.drop("prints", "places")
     tables.tidy()
     runs = _array(strings_, tables, size, buckets)
-    tables.drop("level0", "level1", "ranks1", f"level{LEVELS}")
+    tables.drop("level0", "level1", "ranks1")
     tables.tidy()
     # equal documents: each repeats from its first to its last place, and all but the least are cut
     same = one.select("doc_id", F.lit(0).alias("first"), (F.col("n_words") - size).alias("last"), (F.col("doc_id") != F.col("rep")).alias("cut"))

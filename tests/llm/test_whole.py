@@ -1,10 +1,13 @@
 """Cases that the operators once left out."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from pageloom.llm import decontaminate, jaccard, pii, secrets, suffix
-from pageloom.llm.tokens import words
+from pageloom.llm import automaton, decontaminate, jaccard, pii, secrets, suffix
+from pageloom.llm.tokens import raw, words
 
 KIND = "doc_id long, text string"
 
@@ -93,3 +96,48 @@ def test_pii_messages_go_all_the_way():
         want /= want.sum(axis=1, keepdims=True)
         got = pii.marginals(field, pii.Model({}, np.zeros((0, k)), np.zeros((k, k)), agree))
         assert np.allclose(got, want, atol=1e-3) and (got.argmax(axis=1) == want.argmax(axis=1)).all() and (got.argmax(axis=1) == 2).sum() > 12
+
+
+@pytest.mark.parametrize("size", [20, 81, 150, 200])
+def test_suffix_order_is_as_deep_as_passages_are_long(spark, size):
+    rng = np.random.default_rng(size)
+    common, x, y = (rng.integers(0, 10**9, k).astype(str).tolist() for k in (size - 20, 30, 30))
+    texts = [common + x, common + y, ["zero"] + common + x, ["nought"] + common + y, common]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], KIND)
+    assert {tuple(r) for r in suffix.repeats(docs, size).collect()} == {(0, 0, size + 10, 0), (2, 1, size + 10, size + 10), (1, 0, size + 10, 0), (3, 1, size + 10, size + 10)}
+
+
+FRAGMENTS = ["AKIA", "ASIA", "A", "0" * 16, "ABCDEFGHIJKLMNOP", "ghp_", "a" * 36, "Bearer ", "x.y~z/" * 5, "AIza", "eyJ", "abcdefghij", ".", " ", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN ", "xoxb-", "1234567890", "http://", "u", ":", "éa", "é", "pass", "@", "host", "\n", "token", "=", '"', "secret", " : ", "日本", "/"]
+
+
+def test_each_rule_against_re():
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(FRAGMENTS, int(rng.integers(1, 60)))) for _ in range(600)] + ["".join(rng.choice(FRAGMENTS, 60_000)), "http://u:éa@host http://u:éab@host", ""]
+    found = {}
+    for row, rule, begin, end, data in secrets.find(pa.array(texts), secrets.RULES):
+        found.setdefault((row, rule), []).append(data[begin:end].tobytes().decode())
+    total = 0
+    for k, (name, pattern, fold) in enumerate(secrets.RULES):
+        for i, text in enumerate(texts):
+            if name not in secrets.TAILS:
+                want = [m.group() for m in re.finditer(pattern, text, re.A | re.I if fold else re.A)]
+                assert found.get((i, k), []) == want
+                total += len(want)
+    assert total > 1000
+
+
+def test_chunks_of_long_texts_are_one_pass():
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(FRAGMENTS, int(rng.integers(1, 900)))) for _ in range(80)] + ["AIza" + "x" * 5000, "http://" + "é" * 3000 + ":abc@", ""]
+    data, offsets = raw(pa.array(texts))
+    for machine in automaton.scanner(secrets.RULES)[0]:
+        whole = automaton.hits(machine, data, offsets, chunk=1 << 20)
+        assert whole and automaton.hits(machine, data, offsets, chunk=16, warm=4) == whole == automaton.hits(machine, data, offsets)
+
+
+def test_automata_know_characters():
+    for pattern, text in (("a.b", "aéb"), ("a[^x]{2}b", "aé日b"), ("é+", "éé"), ("[é-ë]b", "êb"), ("[^x]é", "yé")):
+        machine = automaton.build([automaton.parse(pattern)], False)
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert automaton.last_end(machine, data, 0, len(data)) == len(data), pattern
+    assert automaton.walk(automaton.build([automaton.parse("a.{3}")], False), np.frombuffer("aéé".encode(), np.uint8), 0, 5) == []
