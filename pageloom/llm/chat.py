@@ -11,8 +11,8 @@ OPEN, CLOSE = "<|turn|>", "<|end|>"
 SPEAKER = "assistant"
 
 
-def turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Conversations (id, turns: array of role and text in order of turn) from rows key, turn, role, text."""
+def turns(rows: DataFrame, key: str = "conv_id", *more: str) -> DataFrame:
+    """Conversations (id, turns: array of role and text in order of turn) from rows key, turn, role, text; ``more`` columns that depend on the key."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     for mark in (OPEN, CLOSE):
         text = F.replace(text, F.lit(mark), F.lit(mark.replace("|", "| ", 1)))
@@ -20,7 +20,7 @@ def turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     one = F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     kept = rows.where(F.col(key).isNotNull() & F.col("turn").isNotNull())
     order = F.array_sort(F.collect_set(one))
-    return kept.groupBy(F.col(key).alias("id")).agg(order.alias("turns")).select("id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    return kept.groupBy(*more, F.col(key).alias("id")).agg(order.alias("turns")).select(*more, "id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def common(a: Column, b: Column) -> Column:
@@ -55,9 +55,13 @@ def pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     the completion's characters that count for the loss. Conversations that are equal give no row, nor does an id that one side lacks.
     Where one conversation begins the other, its completion and mask are empty. Null texts are empty, null roles read "unknown", rows
     with a null id or turn are left out, repeated rows count once, and several texts of one turn follow each other by role and text. Columns other
-    than key, turn, role and text are not read. Empty tables give no rows.
+    than key, turn, role and text are not read. Texts may be of any length. Empty tables give no rows.
     """
-    both = chosen.select("id", F.col("turns").alias("c")).join(rejected.select("id", F.col("turns").alias("r")), "id")
+    return formatted(chosen.select("id", F.col("turns").alias("c")).join(rejected.select("id", F.col("turns").alias("r")), "id"))
+
+
+def formatted(both: DataFrame) -> DataFrame:
+    """``pairs`` of rows that hold both sides: id, c and r."""
     both = both.withColumn("shared_turns", common(F.col("c"), F.col("r")))
     rest = {x: F.slice(x, F.col("shared_turns") + 1, F.greatest(F.size(x) - F.col("shared_turns"), F.lit(0))) for x in "cr"}
     both = both.where((F.col("shared_turns") < F.size("c")) | (F.col("shared_turns") < F.size("r")))
@@ -68,20 +72,25 @@ def pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
-def lent(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A chosen and a rejected side from conversations without ratings: conversations 2k and 2k + 1 lend each other their last
-    reply (the last turn by the speaker), which takes the place of the own last reply and of what follows it. A conversation without a
-    reply, or without a partner that has one, is left out."""
-    all_ = turns(conversations.withColumn("conv_id", F.col("conv_id").cast("long")))
-    back = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"] == SPEAKER)), F.lit(True))
-    known = all_.withColumn("back", back).where("back > 0").withColumn("last", (F.size("turns") - F.col("back") + 1).cast("int"))
-    known = known.withColumn("reply", F.element_at("turns", F.col("last")))
-    # one exchange by pair, then both conversations of a pair are at hand
-    couple = known.groupBy(F.shiftright("id", 1).alias("pair")).agg(F.collect_list(F.struct("id", "turns", "last", "reply")).alias("m")).where("size(m) = 2")
-    each = couple.select(F.inline(F.array(*[F.struct(F.col("m")[i].alias("own"), F.col("m")[1 - i]["reply"].alias("other")) for i in (0, 1)])))
-    both = each.select(
-        F.col("own.id").alias("id"),
-        F.slice("own.turns", F.lit(1), F.col("own.last")).alias("c"),
-        F.concat(F.slice("own.turns", F.lit(1), F.col("own.last") - 1), F.array("other")).alias("r"),
-    )
-    return both.select("id", F.col("c").alias("turns")), both.select("id", F.col("r").alias("turns"))
+#: Conversations whose ids differ in so many of their last bits alone lend each other turns.
+NEIGHBOURS = 3
+
+
+def lent(conversations: DataFrame) -> DataFrame:
+    """Both sides (id, c, r) from conversations without ratings. The chosen side is the whole conversation; the rejected one departs from it at one
+    of the speaker's turns (the one numbered id modulo their number) and goes on with the turns of the next conversation, from that one's own
+    place on.
+
+    The next one is that of the same 2 ** ``NEIGHBOURS`` ids with a turn by the speaker, after the last the first again; without another one the rejected side
+    ends where it would depart. A conversation without a turn by the speaker has no row. Null ids and turns, repeated rows and other
+    columns are treated as in ``turns``; texts may be of any length; an empty table gives no rows. One exchange.
+    """
+    rows = conversations.withColumn("conv_id", F.col("conv_id").cast("long")).where("conv_id is not null").withColumn("block", F.shiftright("conv_id", NEIGHBOURS))
+    all_ = turns(rows.repartition("block"), "conv_id", "block")
+    at = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == SPEAKER)
+    known = all_.withColumn("at", at).where("size(at) > 0").withColumn("place", F.element_at("at", (F.pmod(F.col("id"), F.size("at")) + 1).cast("int")))
+    block = known.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "turns", "place"))).alias("m"))
+    each = block.select(F.inline(F.transform("m", lambda own, i: F.struct(own.alias("own"), F.when(F.size("m") > 1, F.get("m", (i + 1) % F.size("m"))).alias("other")))))
+    before = F.slice("own.turns", F.lit(1), F.col("own.place") - 1)
+    after = F.when(F.col("other").isNotNull(), F.concat(before, F.slice("other.turns", F.col("other.place"), F.size("other.turns")))).otherwise(before)
+    return each.select(F.col("own.id").alias("id"), F.col("own.turns").alias("c"), after.alias("r"))

@@ -2,7 +2,8 @@
 
 A byte n-gram model per language gives each word a likelihood under each language. Expectation-maximisation over a
 document's words estimates the languages' proportions; of the nested sets of its most frequent languages, the one with the best penalised
-likelihood is selected. A document that no set of languages explains better than random letters is rejected.
+likelihood is selected. A document that no set of languages explains better than random letters is rejected, and so is one of which runs of
+signs, a component of the mixture that no language explains, take too large a share.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ ROUNDS = 20
 PENALTY = 4.0
 #: Log-likelihood per byte of a word under random letters.
 RANDOM = float(np.log(1 / 40))
+#: Share of a document's bytes (without blanks) that runs of two or more signs may take, and bytes of such runs that any document may have.
+NOISE, FREE = 0.2, 8
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_SIGN = ~(IS_WORD | _BLANK)
 LETTERS = IS_WORD & ~np.isin(np.arange(256), [*range(48, 58), 95])
 
 SCHEMA = "doc_id long, languages array<string>, shares array<double>, gain double, accepted boolean"
@@ -129,6 +134,7 @@ def _mixture(x: np.ndarray, allowed: np.ndarray, ptr: np.ndarray) -> tuple[np.nd
 def infer(column: pa.Array, model: Model, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text: shares [text, language] of the selected languages (0 elsewhere), gain in log-likelihood over random letters, accepted."""
     n, k = len(column), len(model.names)
+    clear = noise(column) <= NOISE
     slot, _, start, end, ptr = _slots(column)
     shares, gain, accept = np.zeros((n, k)), np.zeros(n), np.zeros(n, bool)
     if not len(start) or not k:
@@ -166,10 +172,21 @@ def infer(column: pa.Array, model: Model, penalty: float = PENALTY) -> tuple[np.
         value[could[better]] = total[better]
         some[could[better]] = found[better]
     shares[has], gain[has] = some, value - size * RANDOM
-    accept[has] = gain[has] > 0
+    accept[has] = (gain[has] > 0) & clear[has]
     return shares, gain, accept
 
 
+def noise(column: pa.Array) -> np.ndarray:
+    """Per text the bytes in runs of two or more signs beyond ``FREE``, as a share of all bytes but blanks (0 for a text without any)."""
+    data, offsets = raw(column)
+    start, end = spans(data, offsets, _SIGN)
+    long = end - start > 1
+    upto = np.concatenate([[0], np.cumsum((end - start) * long)])
+    runs = upto[np.searchsorted(start, offsets)]
+    full = np.concatenate([[0], np.cumsum(~_BLANK[data])])[offsets]
+    return np.maximum(np.diff(runs) - FREE, 0) / np.maximum(np.diff(full), 1)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], model: Model, penalty: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = strings(batch.column("text"))
@@ -189,8 +206,8 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Model, penalty: float) -> It
 def identify(docs: DataFrame, model: Model | None = None, penalty: float = PENALTY) -> DataFrame:
     """One row per document: its languages, most frequent first, their shares of its words, and whether it is accepted.
 
-    ``gain`` is the penalised log-likelihood less that of random letters. A document is rejected, with no languages, where it isn't above 0: null and
-    empty texts and those without a word of letters too. Ties between languages go to the first by name. Without a model,
+    ``gain`` is the penalised log-likelihood less that of random letters. A document is rejected, with no languages, where it isn't above 0 (null and
+    empty texts and those without a word of letters too), and where ``noise`` is above ``NOISE``. Ties between languages go to the first by name. Without a model,
     one is fitted on ``sample(docs)``; where no row has a language, every document is rejected. A null doc_id and repeated
     rows are treated like others; other columns are not read. No exchange but the count of labels.
     """
@@ -206,7 +223,8 @@ def _accept(batches: Iterator[pa.RecordBatch], model: Model, penalty: float) ->
 
 
 def accepted(docs: DataFrame, model: Model | None = None, penalty: float = PENALTY) -> DataFrame:
-    """The documents that ``identify`` accepts, all columns kept."""
+    """The documents that ``identify`` accepts, all columns kept. Null and empty texts go; repeated rows, and rows with a null doc_id, are judged
+    each for itself; an empty table gives no rows."""
     model = model or fit(sample(docs))
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select("text", F.struct(*rest).alias("rest")) if rest else docs

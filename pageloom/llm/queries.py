@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no ratings: conversations lend each other their last replies. Masks are written as begin:end."""
-    out = chat.pairs(*chat.lent(table(spark, sf_dir, "conversations")))
+    """The table has no ratings: conversations lend each other turns, from different places on. Masks are written as begin:end."""
+    out = chat.formatted(chat.lent(table(spark, sf_dir, "conversations")))
     marks = {m: F.array_join(F.transform(m, lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string"))), " ") for m in ("chosen_mask", "rejected_mask")}
     return out.withColumnRenamed("id", "conv_id").withColumns(marks)
 
@@ -74,7 +75,39 @@ def _secret_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
-_N = decontaminate.MIN_WORDS
+def _shown(side: str) -> str:
+    return f"array_to_string(list_transform({side}, lambda t: '{chat.OPEN}' || t.role || chr(10) || t.text || '{chat.CLOSE}' || chr(10)), '')"
+
+
+def _marked(side: str) -> str:
+    """Spans of the speaker's turns: each begins behind all turns before it and its own head."""
+    size = f"length(u.role) + length(u.text) + {len(chat.OPEN + chat.CLOSE) + 2}"
+    begin = f"coalesce(list_sum(list_transform({side}[1 : i - 1], lambda u: {size})), 0)::INT + {len(chat.OPEN) + 1} + length({side}[i].role)"
+    spans = f"list_transform(list_filter(range(1, len({side}) + 1), lambda i: {side}[i].role = '{chat.SPEAKER}'), lambda i: ({begin}) || ':' || ({begin} + length({side}[i].text) + {len(chat.CLOSE)}))"
+    return f"array_to_string({spans}, ' ')"
+
+
+def _license_sql() -> str:
+    """All windows of all texts, by brute force over the places of templates' shingles."""
+    rows, size = [], licenses.SHINGLE
+    for k, (name, text) in enumerate(licenses.TEMPLATES):
+        w = re.findall("[0-9a-z_]+", text.lower())
+        grams = {" ".join(w[p : p + size]) for p in range(len(w) - size + 1)}
+        n = len(grams)
+        rows += [f"({k}, '{name}', {n}, {licenses.Index.window(n)}, {licenses.Index.stride(n)}, '{g}')" for g in sorted(grams)]
+    return f"""
+WITH t(k, license, n, width, stride, gram) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + {size}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(len(w) - {size - 1})) AS p FROM d)),
+m AS (SELECT doc_id, k, license, n, p, width, stride, gram FROM g JOIN t USING (gram)),
+e AS (SELECT doc_id, k FROM m GROUP BY doc_id, k, n HAVING count(DISTINCT gram) >= {licenses.CONTAINMENT} * n),
+s AS (SELECT m.*, unnest(range(greatest(0, ((p - width) // stride + 1) * stride), p + 1, stride)) AS start FROM m JOIN e USING (doc_id, k)),
+c AS (SELECT doc_id, license, start, count(DISTINCT gram) / n::DOUBLE AS share FROM s WHERE start + width > p GROUP BY doc_id, k, license, n, start)
+SELECT doc_id, license, round(share, 6) AS containment, start::INT AS first_word FROM c WHERE share >= {licenses.CONTAINMENT} - 1e-9
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY share DESC, start) = 1"""
+
+
+_N, _LEAST = decontaminate.MIN_WORDS, decontaminate.LEAST_WORDS
 SQL: dict[str, str] = {
     "op1_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
@@ -83,9 +116,10 @@ dn AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + {_N}], ' ') AS gram FROM
 bn AS (SELECT item_id, p, array_to_string(w[p + 1 : p + {_N}], ' ') AS gram FROM (SELECT item_id, w, unnest(range(len(w) - {_N - 1})) AS p FROM b)),
 hit AS (SELECT doc_id, item_id, dn.p AS x, bn.p AS y FROM dn JOIN bn USING (gram)),
 island AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, item_id, x - y ORDER BY x) AS run FROM hit),
-best AS (SELECT doc_id, item_id, count(*) + {_N - 1} AS n, min(x) AS x, min(y) AS y FROM island GROUP BY doc_id, item_id, x - y, run)
-SELECT doc_id, item_id, n::INT AS match_words, x::INT AS doc_word, y::INT AS item_word FROM best
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, x, y) = 1""",
+short AS (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS gram FROM b WHERE len(w) >= {_LEAST} AND len(w) < {_N}),
+sn AS (SELECT doc_id, p, n, array_to_string(w[p + 1 : p + n], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS p FROM d, (SELECT DISTINCT n FROM short)))
+SELECT doc_id, item_id, (count(*) + {_N - 1})::INT AS match_words, min(x)::INT AS doc_word, min(y)::INT AS item_word FROM island GROUP BY doc_id, item_id, x - y, run
+UNION SELECT doc_id, item_id, n::INT, p::INT, 0 FROM sn JOIN short USING (gram, n)""",
     "op2_suffix_dedup": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM documents),
 g AS (SELECT doc_id, p, md5(array_to_string(w[p + 1 : p + {suffix.WORDS}], ' ')) AS gram
@@ -99,16 +133,16 @@ SELECT doc_id, min(word)::INT AS first_word, count(*)::INT AS words, count(*) FI
     "op4_preference": f"""
 WITH t AS (SELECT DISTINCT conv_id AS id, turn, coalesce(role, 'unknown') AS role,
  replace(replace(coalesce(text, ''), '{chat.OPEN}', '<| turn|>'), '{chat.CLOSE}', '<| end|>') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-l AS (SELECT id, max(turn) AS last, arg_max(text, turn) AS reply FROM t WHERE role = '{chat.SPEAKER}' GROUP BY id),
-p AS (SELECT x.id, x.last, x.reply AS c, y.reply AS r FROM l x JOIN l y ON y.id = xor(x.id, 1) WHERE x.reply <> y.reply),
-s AS (SELECT p.id, count(t.id)::INT AS shared_turns,
- coalesce(string_agg('{chat.OPEN}' || t.role || chr(10) || t.text || '{chat.CLOSE}' || chr(10), '' ORDER BY t.turn), '') AS prompt
- FROM p LEFT JOIN t ON t.id = p.id AND t.turn < p.last GROUP BY p.id)
-SELECT p.id AS conv_id, shared_turns, prompt, '{chat.OPEN}{chat.SPEAKER}' || chr(10) || c || '{chat.CLOSE}' || chr(10) AS chosen,
- '{len(chat.OPEN + chat.SPEAKER) + 1}:' || ({len(chat.OPEN + chat.SPEAKER + chat.CLOSE) + 1} + length(c)) AS chosen_mask,
- '{chat.OPEN}{chat.SPEAKER}' || chr(10) || r || '{chat.CLOSE}' || chr(10) AS rejected,
- '{len(chat.OPEN + chat.SPEAKER) + 1}:' || ({len(chat.OPEN + chat.SPEAKER + chat.CLOSE) + 1} + length(r)) AS rejected_mask
-FROM p JOIN s USING (id)""",
+v AS (SELECT id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS m FROM t GROUP BY id),
+a AS (SELECT id, m, list_filter(range(1, len(m) + 1), lambda i: m[i].role = '{chat.SPEAKER}') AS own FROM v),
+k AS (SELECT id, m, own[id % len(own) + 1] AS place FROM a WHERE len(own) > 0),
+p AS (SELECT id, m, place, count(*) OVER (PARTITION BY id >> {chat.NEIGHBOURS}) AS n,
+ coalesce(lead(m[place:]) OVER w, first_value(m[place:]) OVER w) AS other FROM k WINDOW w AS (PARTITION BY id >> {chat.NEIGHBOURS} ORDER BY id)),
+s AS (SELECT id, m AS c, CASE WHEN n > 1 THEN list_concat(m[1 : place - 1], other) ELSE m[1 : place - 1] END AS r FROM p),
+x AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])) - 1, least(len(c), len(r))) AS shared FROM s),
+y AS (SELECT id, shared, c[1 : shared] AS b, c[shared + 1 :] AS c, r[shared + 1 :] AS r FROM x WHERE shared < len(c) OR shared < len(r))
+SELECT id AS conv_id, shared::INT AS shared_turns, {_shown("b")} AS prompt, {_shown("c")} AS chosen, {_marked("c")} AS chosen_mask, {_shown("r")} AS rejected, {_marked("r")} AS rejected_mask FROM y""",
+    "op5_license_scan": _license_sql(),
     "op6_embedding_near": f"""
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0),

@@ -150,20 +150,42 @@ def test_suffix_repeats_against_brute_force(spark):
         assert len(r["text"].split()) == len(texts[r["doc_id"]].split()) - n
 
 
+def runs_in_common(x, y, least, short):
+    """All (words, place in x, place in y) of longest runs of ``least`` words, or of the whole of a shorter ``y``."""
+    out = set()
+    for p, q in itertools.product(range(len(x)), range(len(y))):
+        if x[p] == y[q] and not (p and q and x[p - 1] == y[q - 1]):
+            n = 0
+            while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                n += 1
+            if n >= least or (short <= n == len(y)):
+                out.add((n, p, q))
+    return out
+
+
 def test_leaks_against_brute_force(spark):
     rng = np.random.default_rng(8)
-    items = [prose(int(rng.integers(8, 60)), rng) for _ in range(12)]
-    texts = [f"{prose(20, rng)} {' '.join(items[i % 12].split()[i % 5 :])} {prose(10, rng)}" for i in range(30)]
-    want = {}
-    for (i, t), (k, b) in itertools.product(enumerate(texts), enumerate(items)):
-        x, y = t.split(), b.split()
-        best = max((n for p in range(len(x)) for q in range(len(y)) for n in [next((m for m in range(min(len(x) - p, len(y) - q) + 1) if m == min(len(x) - p, len(y) - q) or x[p + m] != y[q + m]), 0)]), default=0)
-        if best >= decontaminate.MIN_WORDS:
-            want[i, k] = best
+    items = [prose(int(rng.integers(8, 60)), rng) for _ in range(12)] + [prose(9, rng), "a b " * 12]
+    texts = [f"{prose(20, rng)} {' '.join(items[i % 14].split()[i % 5 :])} {prose(10, rng)}" for i in range(30)]
+    texts += [f"{items[0]} x {items[0]}", f"{items[12]} and {items[12]}", "a b " * 20, items[3] + " " + prose(900, rng), items[3] + " " + prose(900, rng)]
+    texts.append(texts[-1])
+    want = {(i, k, *run) for (i, t), (k, b) in itertools.product(enumerate(texts), enumerate(items)) for run in runs_in_common(t.split(), b.split(), decontaminate.MIN_WORDS, decontaminate.LEAST_WORDS)}
     docs = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"]): r["match_words"] for r in decontaminate.leaks(docs, bench).collect()} == want
-    assert decontaminate.leaks(docs, bench, chunk_chars=600, shard_words=500).count() == len(want)
+    assert {tuple(r) for r in decontaminate.leaks(docs, bench).collect()} == want
+    assert {tuple(r) for r in decontaminate.leaks(docs, bench, chunk_chars=600, shard_words=500).collect()} == want
+    for kept in (decontaminate.decontaminate(docs, bench), decontaminate.decontaminate(docs, bench, chunk_chars=600, shard_words=500)):
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(range(len(texts))) - {x[0] for x in want})
+
+
+def test_suffix_array_is_sorted_to_the_end():
+    rng = np.random.default_rng(2)
+    part = [rng.integers(1, 4, int(rng.integers(0, 60))).tolist() for _ in range(40)]
+    ids = np.array([x for t in part + part[:9] + [[1] * 70] for x in [*t, 0]], np.int32)
+    for size in (4, 2**20, 2**40):
+        array = decontaminate.SuffixArray(ids, size)
+        key = [(ids[p : p + list(ids[p:]).index(0)].tolist(), p) for p in range(len(ids))]
+        assert array.at.tolist() == sorted(range(len(ids)), key=lambda p: key[p])
 
 
 def test_automaton_against_re():
@@ -196,6 +218,47 @@ def test_language_held_out(spark):
     assert abs(shares[-2][0] - 2 / 3) < 0.08 and accepted[:-1].all() and not accepted[-1]
 
 
+def test_language_against_brute_force():
+    """Likelihoods by a loop over bytes, shares by a grid over all mixtures, sets by comparing all of them."""
+    rng = np.random.default_rng(21)
+    speech = {"aa": ["banto", "cello", "diro", "fanto", "gello"], "bb": ["schung", "pfeit", "kach", "pfung"], "cc": ["zoum", "yax", "woux", "vym"]}
+    model = language.fit([(lang, " ".join(rng.choice(w, 30))) for lang, w in speech.items() for _ in range(10)])
+    texts = [" ".join(rng.choice(speech[x]) for x in rng.permutation(np.repeat(["aa", "bb", "cc"], counts))) for counts in ((9, 0, 0), (0, 7, 0), (12, 12, 0), (20, 0, 10), (8, 8, 8), (1, 0, 15))]
+    grid = np.array([(a, b, 100 - a - b) for a in range(101) for b in range(101 - a)]) / 100
+    shares, gain, accepted = language.infer(pa.array(texts), model)
+    for text, got, value in zip(texts, shares, gain):
+        words_ = text.split()
+        like = np.zeros((len(words_), 3))
+        size = 0
+        for i, w in enumerate(words_):
+            padded = b"\0" * (language.ORDER - 1) + w.encode() + b"\0"
+            size += len(w) + 1
+            for p in range(language.ORDER - 1, len(padded)):
+                d = padded[p]
+                before = [padded[p - k] for k in range(1, language.ORDER)]
+                while 0 in before and any(before[before.index(0) :]):
+                    before = before[: before.index(0)] + [0] * (len(before) - before.index(0))
+                context = sum(c << 8 * (k + 1) for k, c in enumerate(before))
+                slot = (((context | d) * 0x9E3779B1 & 0xFFFFFFFF) ^ ((d << 5) * 0x85EBCA6B & 0xFFFFFFFF)) >> (32 - language.BITS)
+                like[i] += model.scores[:, slot]
+        cost = language.PENALTY * 0.5 * np.log(len(words_))
+        total = np.log(np.exp(like) @ grid.T).sum(axis=0) - cost * (grid > 0).sum(axis=1)
+        best = grid[total.argmax()]
+        assert ((got > 0) == (best > 0)).all() and np.abs(got - best).max() < 0.02
+        assert abs(value - (total.max() - size * language.RANDOM)) < 0.1
+    assert accepted.all()
+
+
+def test_language_rejects_noise(spark):
+    rng = np.random.default_rng(3)
+    model = language.fit([("aa", " ".join(rng.choice(["banto", "cello", "diro"], 40)))])
+    clean = " ".join(rng.choice(["banto", "cello", "diro,", "fanto."], 60))
+    texts = [clean, " ".join(f"{w}!!" for w in clean.split()), " ".join(f"{w}%%%" for w in clean.split()), " | ".join(clean.split()), "Diro...", clean + " !!! ???", clean + " " + "#" * 5000, "", "!!!!", "*" * 300_000]
+    assert language.infer(pa.array(texts), model)[2].tolist() == [True, False, False, True, True, True, False, False, False, False]
+    docs = table(spark, [(i, t, "aa", "s") for i, t in enumerate(texts)])
+    assert sorted(r["doc_id"] for r in language.accepted(docs, model).collect()) == [0, 3, 4, 5]
+
+
 def test_pii_finds_and_spreads():
     text = "mail bob.12@site.example.com or +1 (017) 555-7713 soon and later 0175557713 too; card 4785380592391139 then 192.168.10.7 and 123-45-6789 but 1234 v1.2 2024-01-02 stay"
     found = {(label, value.decode()) for _, label, _, _, value in pii.entities(pa.array([text]), MODEL)}
@@ -286,6 +349,23 @@ def test_preferences(spark):
     assert chat.pairs(chat.turns(chosen.limit(0)), chat.turns(other)).collect() == []
 
 
+def test_lent_turns(spark):
+    kind = "conv_id long, turn long, role string, text string, block int, id string"
+    said = {0: "uaua", 1: "ua", 2: "uuaau", 3: "u", 5: "aua", 9: "ua", 17: "u"}
+    long = prose(30_000)
+    rows = [(c, t, {"u": "user", "a": "assistant"}[x], f"{c}.{t}" if c != 5 else long + str(t), 1, "x") for c, turns in said.items() for t, x in enumerate(turns)]
+    rows += [rows[0], (None, 0, "user", "x", 1, "x"), (4, None, "assistant", "x", 1, "x"), (6, 0, None, None, 1, "x"), (7, 0, "assistant", None, 1, "x")]
+    got = {r["id"]: r for r in chat.formatted(chat.lent(spark.createDataFrame(rows, kind))).collect()}
+    assert set(got) == {0, 1, 2, 5, 7, 9}
+    # id modulo the number of replies says which one is left: 0 at its first, 1 at its only, 2 at its first, 5 at its second one
+    assert {i: r["shared_turns"] for i, r in got.items()} == {0: 1, 1: 1, 2: 2, 5: 2, 7: 0, 9: 1}
+    assert got[0]["rejected"] == "<|turn|>assistant\n1.1<|end|>\n" and got[0]["chosen"].count("<|turn|>") == 3 and len(got[0]["chosen_mask"]) == 2
+    assert got[9]["rejected"] == "" and got[9]["rejected_mask"] == []  # none to lend
+    assert got[7]["rejected"].startswith("<|turn|>assistant\n0.1<|end|>") and got[7]["chosen"] == "<|turn|>assistant\n<|end|>\n"
+    assert long + "2" in got[5]["chosen"] and all(got[5]["chosen"][s["begin"] : s["end"]].endswith("<|end|>") for s in got[5]["chosen_mask"])
+    assert chat.formatted(chat.lent(spark.createDataFrame([], kind))).collect() == []
+
+
 def test_mixing_rates(spark):
     docs = table(spark, [(i, "w " * 10, "en", "a" if i < 300 else "b") for i in range(400)])
     rows = mixing.mix(docs, {"a": 1.0, "b": 2.0}).groupBy("source").agg(F.sum(mixing.tokens(F.col("text"))).alias("n")).collect()
