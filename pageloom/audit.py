@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import importlib.util
 import json
 import sys
 from pathlib import Path
@@ -15,16 +16,31 @@ from pageloom.scan import Site, scan_source
 from pageloom.spec import PageObject
 
 
+def _loaded(module: str) -> Any:
+    """A module by its name, or by the path of its file."""
+    if not module.endswith(".py"):
+        return importlib.import_module(module)
+    path = Path(module)
+    spec = importlib.util.spec_from_file_location(f"audited_{path.stem}", path)
+    if spec is None or spec.loader is None or not path.exists():
+        raise ImportError(f"no file {module!r}")
+    loaded = importlib.util.module_from_spec(spec)
+    sys.modules[spec.name] = loaded  # dataclasses and the like look their module up
+    spec.loader.exec_module(loaded)
+    return loaded
+
+
 def schemas(target: str) -> dict[str, SchemaReport]:
-    """Reports of the Page objects and page classes of ``module``, or of those in ``module:NAME`` (one of them, or a list or mapping)."""
-    module, _, name = target.partition(":")
-    loaded = importlib.import_module(module)
+    """Reports of the Page objects and page classes of ``module`` (or of a file; names with an underscore and second names of one object are left out), or of those in ``module:NAME`` (one of them, or a list or mapping)."""
+    module, _, name = target.rpartition(":") if ".py:" in target else (target, "", "") if target.endswith(".py") else target.partition(":")
+    loaded = _loaded(module)
     found: dict[str, Any] = {}
     if name:
         held = getattr(loaded, name)
         found = dict(held) if isinstance(held, dict) else {f"{name}[{i}]": x for i, x in enumerate(held)} if isinstance(held, (list, tuple)) else {name: held}
     else:
-        found = {k: v for k, v in vars(loaded).items() if isinstance(v, Page) or (isinstance(v, type) and issubclass(v, PageObject) and v is not PageObject and v.__module__ == loaded.__name__)}
+        seen: set[int] = set()
+        found = {k: v for k, v in vars(loaded).items() if not k.startswith("_") and id(v) not in seen and not seen.add(id(v)) and (isinstance(v, Page) or (isinstance(v, type) and issubclass(v, PageObject) and v is not PageObject and v.__module__ == loaded.__name__))}
     return {k: v.check() for k, v in found.items()}
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import lru_cache
 from typing import Any
+from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +17,7 @@ from pageloom.plans.verdict import check, groups_of, node_identity, terminals
 from pageloom.sources import encoding as enc
 from pageloom.sources.encoding import detect_encoding, resolve_label
 
-__all__ = ["check", "detect_encoding", "detect_encoding_column", "extract", "extract_column", "extract_grouped", "node_identity", "register", "resolve_label", "terminals", "Plan"]
+__all__ = ["absolute", "check", "detect_encoding", "detect_encoding_column", "extract", "extract_column", "extract_grouped", "node_identity", "register", "resolve_label", "terminals", "to_absolute", "Plan"]
 
 
 def _list(queries: Any) -> list[str]:
@@ -75,6 +76,30 @@ def detect_encoding_column(html: Column | str, label: Column | str | None = None
     return _detect(html, F.lit(None).cast("string") if label is None else F.col(label) if isinstance(label, str) else label)
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _joined(links: pa.Array, bases: pa.Array) -> pa.Array:
+    def one(base: str | None, link: str | None) -> str | None:
+        if link is None or base is None:
+            return link
+        try:
+            return urljoin(base, link.strip(" \t\n\f\r"))
+        except ValueError:
+            return link
+
+    return pa.array([None if row is None else [one(base, link) for link in row] for row, base in zip(links.to_pylist(), bases.to_pylist())], pa.list_(pa.string()))
+
+
+def absolute(links: Column | str, base: Column | str, many: bool = False) -> Column:
+    """Links of a page made absolute by its address: a column of strings, or of arrays of them with ``many``. What can't be joined stays as it is."""
+    links, base = (F.col(x) if isinstance(x, str) else x for x in (links, base))
+    return _joined(links, base) if many else F.when(links.isNotNull(), F.get(_joined(F.array(links), base), F.lit(0)))
+
+
+def to_absolute(base: Column | str, many: bool = False) -> Callable[[Column], Column]:
+    """``absolute`` as a field's transformation; ``base`` is a column that is kept."""
+    return lambda links: absolute(links, base, many)
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions: page_extract(html, selector), page_first(html, selector), detect_encoding(html, label), resolve_label(label),
     selector_supported(selector), and the table functions html_nodes(html), html_texts(html), scan_selectors(path, source)."""
@@ -121,6 +146,3 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("html_texts", Texts)
     spark.udtf.register("scan_selectors", Sites)
 
-
-def pages_of(df: DataFrame, page: Page, html: str = "html", encoding: str | None = None) -> DataFrame:
-    return page.select(df, html, encoding)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pageloom.operators.tree import Tree, fold, parse
 from pageloom.plans.ir import ADJACENT, CHILD, DESCENDANT, Attr, Compound, Member, Query
@@ -62,11 +64,23 @@ def compound(c: Compound, tag_known: bool = False) -> Test:
         any_of = [compound(m) for m in members]
         tests.append(lambda t, i, any_of=any_of: any(m(t, i) for m in any_of))
     if c.has is not None:
-        inside = [compound(m) for m in c.has.members]
+        inside = [(m.tag, compound(m, m.tag is not None)) for m in c.has.members]
+
+        def marked(t: Tree) -> tuple[set[int], list[int]]:
+            """Parents of elements that match, and how many match before each place; made once for a page."""
+            found = t.cache.get(id(inside))
+            if found is None:
+                hit = {j for tag, m in inside for j in (t.by_tag(tag) if tag is not None else range(len(t.tag))) if m(t, j)}
+                upto = [0]
+                for j in range(len(t.tag)):
+                    upto.append(upto[-1] + (j in hit))
+                found = t.cache[id(inside)] = ({t.parent[j] for j in hit}, upto)
+            return found
+
         if c.has.child:
-            tests.append(lambda t, i: any(t.parent[j] == i and m(t, j) for j in range(i + 1, t.last[i] + 1) for m in inside))
+            tests.append(lambda t, i: i in marked(t)[0])
         else:
-            tests.append(lambda t, i: any(m(t, j) for j in range(i + 1, t.last[i] + 1) for m in inside))
+            tests.append(lambda t, i: (upto := marked(t)[1])[t.last[i] + 1] > upto[i + 1])
     if c.text is not None:
         x = c.text
         if not x.direct:
@@ -88,14 +102,27 @@ class Plan:
     def __init__(self, m: Member) -> None:
         self.member = m
         self.tests = [compound(c) for c in m.compounds]
-        self.last = m.compounds[-1].tag
-        self.subject = compound(m.compounds[-1], True)
+        c = m.compounds[-1]
+        # the rarest kind of index that the subject allows; what it tells isn't tested again
+        if c.ids:
+            self.index, self.name = Tree.by_id, c.ids[0]
+            c = replace(c, ids=c.ids[1:] if len(set(c.ids)) > 1 else ())
+            self.subject = compound(replace(c, ids=()) if not c.ids else m.compounds[-1])
+        elif c.classes:
+            self.index, self.name = Tree.by_class, c.classes[0]
+            self.subject = compound(replace(c, classes=c.classes[1:]))
+        elif c.tag is not None:
+            self.index, self.name = Tree.by_tag, c.tag
+            self.subject = compound(c, True)
+        else:
+            self.index, self.name = None, ""
+            self.subject = compound(c)
 
     def elements(self, t: Tree, scope: int = -1) -> list[int]:
-        found: Iterable[int] = t.by_tag(self.last) if self.last is not None else range(len(t.tag))
+        found: Iterable[int] = self.index(t, self.name) if self.index is not None else range(len(t.tag))
         if scope >= 0:
             end = t.last[scope]
-            found = [i for i in found if scope <= i <= end] if self.last is not None else range(scope, end + 1)
+            found = found[bisect_left(found, scope) : bisect_right(found, end)] if self.index is not None else range(scope, end + 1)
         simple = len(self.tests) == 1
         memo: dict = {}
         return [i for i in found if self.subject(t, i) and (self._first(t, i, scope) if simple else self._behind(t, i, len(self.tests) - 1, scope, memo))]
@@ -200,6 +227,21 @@ class Column:
             every.update(nodes(t, plan.member, plan.elements(t, scope)))
         return [every[k] for k in sorted(every)]
 
+    def first(self, t: Tree) -> list[str]:
+        """The first value, in a list, or nothing; an element that is still open has none yet, nor has anything behind it."""
+        best: tuple | None = None
+        for plan in self.plans:
+            found = plan.elements(t)
+            if found:
+                # the first in document order is a value of one of the first elements, unless these hold none
+                for place, value in sorted(nodes(t, plan.member, found)) if plan.member.terminal.kind != "outer" else nodes(t, plan.member, found[:1]):
+                    if plan.member.terminal.kind == "outer" and t.end[found[0]] < 0:
+                        return []
+                    if best is None or place < best[0]:
+                        best = (place, value)
+                    break
+        return [best[1]] if best else []
+
     def _space(self, t: Tree) -> str:
         plan = self.plans[0]
         found = plan.elements(t)
@@ -221,13 +263,38 @@ class Group:
         return [[f.values(t, i) for f in self.fields] for i in self.holder.elements(t)]
 
 
+def _early(q: Query | None) -> bool:
+    """Whether a query's first value is final as soon as it is found."""
+    return q is None or not any(m.terminal.scalar or any(_waits(c) for c in m.compounds) for m in q.members)
+
+
+def _waits(c: Compound) -> bool:
+    return c.late or any(_waits(x) for x in c.nots) or any(_waits(x) for xs in c.either for x in xs)
+
+
 class Schema:
-    """Compiled once, applied to every page."""
+    """Compiled once, applied to every page. ``first_only``: one value of each column is wanted, so a page is read no further than it takes to
+    find them all; not where there are groups, or tests that wait for an element's or its parent's end."""
 
-    def __init__(self, columns: list[Query | None], groups: list[tuple[Member | None, list[tuple[str, Member | None]]]]) -> None:
+    def __init__(self, columns: list[Query | None], groups: list[tuple[Member | None, list[tuple[str, Member | None]]]], first_only: bool = False) -> None:
         self.columns = [Column(q) for q in columns]
         self.groups = [Group(*g) for g in groups]
+        self.early = first_only and bool(columns) and not groups and all(map(_early, columns))
+
+    def _first(self, text: str) -> list[list[str]]:
+        found: list[list[str]] = [[] for _ in self.columns]
+
+        def enough(t: Tree) -> bool:
+            for k, column in enumerate(self.columns):
+                if not found[k]:
+                    found[k] = column.first(t)
+            return all(found)
+
+        enough(parse(text, enough))
+        return found
 
     def apply(self, text: str) -> tuple[list[list[str]], list[list[list[list[str]]]]]:
+        if self.early:
+            return self._first(text), []
         t = parse(text)
         return [c.values(t) for c in self.columns], [g.rows(t) for g in self.groups]

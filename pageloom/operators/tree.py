@@ -6,6 +6,7 @@ The tokens are those of HTML5; which start tags end open elements, and which end
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.entities import html5
 
 _FONT = "abbr acronym bdo br cite code dfn em iframe img kbd map q samp strong sub sup var"
@@ -56,6 +57,8 @@ MINIMIZED = frozenset("checked compact declare defer disabled ismap multiple noh
 LEGACY = {name: value for name, value in html5.items() if not name.endswith(";")}
 
 _SPACE = " \t\n\f\r"
+_TOKENS = re.compile(r"[^ \t\n\f\r]+")
+_NAMED = re.compile("class|id", re.IGNORECASE)
 _NAME = re.compile(r"[^ \t\n\f\r/>]+")
 _SKIP = re.compile(r"[ \t\n\f\r/]*")
 _BLANK = re.compile(r"[ \t\n\f\r]*")
@@ -148,13 +151,18 @@ def _attributes(text: str, at: int) -> tuple[list | None, bool, int]:
             found.append((fold(name), None))
 
 
+def _plain(text: str, at: int, to: int) -> list:
+    """Attributes of the common case, between a tag's name and its end."""
+    return [(fold(p), q if q else r if r else s if s else ("" if q is not None or r is not None else None)) for p, q, r, s in (x.groups() for x in _PAIR.finditer(text, at, to))]
+
+
 class Tree:
     """Elements and text nodes in document order, as columns.
 
     ``at`` of elements and texts is their common order. An element's descendants are the elements id + 1 .. last.
     """
 
-    __slots__ = ("text", "tag", "parent", "last", "attrs", "begin", "end", "at", "child", "kind", "before", "made", "children", "owner", "value", "text_at", "_total", "_kinds", "_by_tag", "_texts", "_strings", "_parsed")
+    __slots__ = ("text", "tag", "parent", "last", "attrs", "begin", "end", "at", "child", "kind", "before", "made", "children", "owner", "value", "text_at", "_by_tag", "_by_class", "_by_id", "_texts", "_parsed", "cache")
 
     def __init__(self, text: str) -> None:
         self.text = text
@@ -173,15 +181,21 @@ class Tree:
         self.owner: list[int] = []
         self.value: list[str] = []
         self.text_at: list[int] = []
-        self._total = self._kinds = self._by_tag = self._texts = self._strings = None
         self._parsed: dict[int, dict] = {}
+        self.renew()
+
+    def renew(self) -> None:
+        """Forgets what was derived from the columns, as they have grown."""
+        self._by_tag = self._by_class = self._by_id = self._texts = None
+        #: What selectors' tests keep about this tree.
+        self.cache: dict = {}
 
     def attributes(self, i: int) -> dict[str, str]:
         """Decoded attributes in source order, the first of each name."""
         found = self._parsed.get(i)
         if found is None:
             found = {}
-            for name, value in self.attrs[i] or ():
+            for name, value in _plain(self.text, *held) if type(held := self.attrs[i]) is tuple else held or ():
                 if name not in found:
                     found[name] = (name if name in MINIMIZED else "") if value is None else decode(value, True)
             self._parsed[i] = found
@@ -198,6 +212,27 @@ class Tree:
                 self._by_tag.setdefault(name, []).append(i)
         return self._by_tag.get(tag, [])
 
+    def _index(self) -> None:
+        self._by_class, self._by_id = {}, {}
+        for i, attrs in enumerate(self.attrs):
+            if attrs and (type(attrs) is not tuple or _NAMED.search(self.text, *attrs)):
+                own = self.attributes(i)
+                if (names := own.get("class")) is not None:
+                    for name in dict.fromkeys(_TOKENS.findall(names)):
+                        self._by_class.setdefault(name, []).append(i)
+                if (name := own.get("id")) is not None:
+                    self._by_id.setdefault(name, []).append(i)
+
+    def by_class(self, name: str) -> list[int]:
+        if self._by_class is None:
+            self._index()
+        return self._by_class.get(name, [])
+
+    def by_id(self, name: str) -> list[int]:
+        if self._by_id is None:
+            self._index()
+        return self._by_id.get(name, [])
+
     def texts(self, i: int) -> list[int]:
         """Direct text nodes of an element."""
         if self._texts is None:
@@ -228,6 +263,7 @@ class _Builder:
     def __init__(self, text: str) -> None:
         self.tree, self.text = Tree(text), text
         self.stack: list[int] = []
+        self.open_names: dict[str, int] = {}
         self.runs: list[str] = []
         self.clock = 0
         self.run_owner = self.run_at = -1
@@ -265,6 +301,7 @@ class _Builder:
         t.children.append({"": 0})
         self.last_child.append(-1)
         self.stack.append(i)
+        self.open_names[name] = self.open_names.get(name, 0) + 1
         if name == "head":
             self.head_seen = True
         elif name == "body":
@@ -272,13 +309,13 @@ class _Builder:
         return i
 
     def close(self, at: int) -> None:
-        i = self.stack.pop()
-        self.tree.end[i] = at
-        self.tree.last[i] = len(self.tree.tag) - 1
+        i, t = self.stack.pop(), self.tree
+        t.end[i] = at
+        t.last[i] = len(t.tag) - 1
+        self.open_names[t.tag[i]] -= 1
 
     def is_open(self, name: str) -> bool:
-        tag = self.tree.tag
-        return any(tag[i] == name for i in self.stack)
+        return self.open_names.get(name, 0) > 0
 
     def top(self) -> str:
         return self.tree.tag[self.stack[-1]] if self.stack else ""
@@ -346,6 +383,8 @@ class _Builder:
         if name in FRAME and self.phantoms:
             self.phantoms -= 1
             return
+        if not self.open_names.get(name):
+            return
         tag, stack = self.tree.tag, self.stack
         k = len(stack) - 1
         rank, free, above = RANK.get(name, 0), name in FRAME, 0
@@ -431,14 +470,26 @@ def _script_end(text: str, at: int) -> int:
             state = 2
 
 
-def parse(text: str) -> Tree:
-    """The tree of one page."""
+#: Characters after which ``parse`` asks for the first time whether it may stop; then after twice as many each time.
+FIRST_LOOK = 2048
+
+
+def parse(text: str, enough: Callable[[Tree], bool] | None = None) -> Tree:
+    """The tree of one page, or of its beginning if that is ``enough``. A beginning's last text node is left out, as it may go on."""
     text = prepare(text)
     b = _Builder(text)
     n, at, begin = len(text), 0, 0
     find, match_plain, match_name = text.find, _PLAIN.match, _NAME.match
     ends: dict[str, re.Pattern] = {}
+    look = FIRST_LOOK if enough is not None else n
     while at < n:
+        if at >= look:
+            look = 2 * at
+            b.tree.renew()
+            for i in b.stack:
+                b.tree.last[i] = len(b.tree.tag) - 1
+            if enough(b.tree):
+                return b.tree
         lt = find("<", at)
         if lt < 0 or lt + 1 >= n:
             b.put(text[begin:], begin)
@@ -455,7 +506,7 @@ def parse(text: str) -> Tree:
             elif (m := match_plain(text, name_end)) is not None:
                 attrs, closed, at = None, bool(m[1]), m.end()
                 if m.end() - name_end > 2:
-                    attrs = [(fold(p), q if q is not None and q != "" else r if r is not None and r != "" else s if s is not None and s != "" else ("" if q is not None or r is not None else None)) for p, q, r, s in (x.groups() for x in _PAIR.finditer(text, name_end, m.end()))]
+                    attrs = (name_end, m.end())  # read when they are asked for
             else:
                 attrs, closed, at = _attributes(text, name_end)
                 if at < 0:
@@ -528,5 +579,6 @@ def parse(text: str) -> Tree:
     while b.stack:
         b.close(n)
     tree = b.tree
+    tree.renew()
     tree.children.append(b.roots)  # found by parent -1
     return tree

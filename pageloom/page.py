@@ -18,14 +18,15 @@ from pyspark.sql import types as T
 from pageloom.operators.fused import Schema
 from pageloom.plans import verdict
 from pageloom.plans.ir import Unsupported
-from pageloom.sources.encoding import caller_label, resolve_label, text_of
+from pageloom.sources.encoding import caller_label, column_label, text_of
 
 Card = tuple[str, str]  # first, all or join; separator
 _STRINGS = T.ArrayType(T.StringType(), False)
 
 
-def compile_schema(columns: list[str], groups: list[tuple[str, list[tuple[str, str]]]], strict: bool = True) -> Schema:
-    """The compiled schema; with ``strict`` an error where anything in it is unsupported, else empty columns for that."""
+def compile_schema(columns: list[str], groups: list[tuple[str, list[tuple[str, str]]]], strict: bool = True, first_only: bool = False) -> Schema:
+    """The compiled schema; with ``strict`` an error where anything in it is unsupported, else empty columns for that. ``first_only``: columns
+    give their first value alone."""
     report = verdict.check([(q, q) for q in columns], [(f"group{k}", c, fields) for k, (c, fields) in enumerate(groups)])
     if strict:
         report.raise_for_status()
@@ -38,7 +39,7 @@ def compile_schema(columns: list[str], groups: list[tuple[str, list[tuple[str, s
         except (Unsupported, RecursionError):
             return None
 
-    return Schema([attempt(verdict.flat, q) for q in columns], [(attempt(verdict.container, c), [(n, attempt(verdict.subfield, s)) for n, s in fields]) for c, fields in groups])
+    return Schema([attempt(verdict.flat, q) for q in columns], [(attempt(verdict.container, c), [(n, attempt(verdict.subfield, s)) for n, s in fields]) for c, fields in groups], first_only)
 
 
 def _shape(values: list[str], card: Card) -> Any:
@@ -104,11 +105,12 @@ class Page:
         self._fields: list[tuple[str, str, Card, tuple]] = []
         self._groups: list[tuple[str, str, list[tuple[str, str, Card]], bool]] = []
         self._compiled: Schema | None = None
+        self._compiled_first: Schema | None = None
 
     def _new(self, name: str) -> None:
         if name in self.field_names():
             raise ValueError(f"there is a field {name!r} already")
-        self._compiled = None
+        self._compiled = self._compiled_first = None
 
     def _add(self, name: str, selector: str, card: Card, fn: Any) -> "Page":
         self._new(name)
@@ -154,6 +156,14 @@ class Page:
             self._compiled = compile_schema([s for _, s, _, _ in self._fields], [(c, [(n, s) for n, s, _ in fs]) for _, c, fs, _ in self._groups], self.strict)
         return self._compiled
 
+    def compiled_first(self) -> Schema:
+        """As ``compiled``, for the first value of each field if that is all that the fields take; else the same."""
+        if self._groups or any(card[0] != "first" for _, _, card, _ in self._fields):
+            return self.compiled()
+        if self._compiled_first is None:
+            self._compiled_first = compile_schema([s for _, s, _, _ in self._fields], [], self.strict, True)
+        return self._compiled_first
+
     # one page
 
     def extract(self, html: bytes | str, encoding: str | None = None) -> Item:
@@ -175,8 +185,9 @@ class Page:
         return T.StructType(fields)
 
     def parse(self, html: Column | str, encoding: Column | str | None = None) -> Column:
-        """A column of ``raw_type``. A null page has no matches; a label that nobody knows is passed over."""
-        page, kind = self.compiled(), self.raw_type()
+        """A column of ``raw_type``. A null page has no matches; a label that nobody knows, or that stands beside a page of text, is passed over.
+        Where all fields take their first value only that is given, and pages are read no further than it takes."""
+        page, kind = self.compiled_first(), self.raw_type()
         names = [n for n, *_ in self._fields]
         groups = [(n, [s for s, _, _ in subs]) for n, _, subs, _ in self._groups]
         html = F.col(html) if isinstance(html, str) else html
@@ -184,22 +195,27 @@ class Page:
 
         @F.arrow_udf(kind)
         def run(pages: pa.Array, labels: pa.Array) -> pa.Array:
-            return to_arrow([page.apply(text_of(h, None if isinstance(h, str) else resolve_label(c))) for h, c in zip(pages.to_pylist(), labels.to_pylist())], names, groups)
+            return to_arrow([page.apply(text_of(h, None if isinstance(h, str) else column_label(c))) for h, c in zip(pages.to_pylist(), labels.to_pylist())], names, groups)
 
         return run(html, encoding)
 
     def select(self, df: DataFrame, html: str | Column = "html", encoding: str | Column | None = None, keep: list[str] | None = None) -> DataFrame:
-        """``keep`` (by default all columns but the page's own) and a column for each field and group."""
+        """``keep`` (by default all columns but the page's own) and a column for each field and group; names must differ."""
         keep = [c for c in df.columns if c != html] if keep is None else keep
-        held = df.select(*[F.col(c) for c in keep], self.parse(html, encoding).alias("__page"))
-        out = [F.col(c) for c in keep]
+        if both := {c.lower() for c in keep} & {n.lower() for n in self.field_names()}:
+            raise ValueError(f"columns that are kept and fields have the same names: {sorted(both)}")
+        page = "page"
+        while page.lower() in {c.lower() for c in keep}:
+            page += "_"
+        held = df.select(*[F.col(_quoted(c)) for c in keep], self.parse(html, encoding).alias(page))
+        out = [F.col(_quoted(c)) for c in keep]
         for name, _, card, maps in self._fields:
-            column = shape(F.col("__page").getField(name), card)
+            column = shape(F.col(page).getField(name), card)
             for fn in maps:
                 column = fn(column)
             out.append(column.alias(name))
         for name, _, subs, one in self._groups:
-            rows = F.transform(F.col("__page").getField(name), _row_of(subs))
+            rows = F.transform(F.col(page).getField(name), _row_of(subs))
             out.append((F.get(rows, F.lit(0)) if one else rows).alias(name))
         return held.select(*out)
 
@@ -215,6 +231,10 @@ class Page:
         return F.filter(F.array(*[F.when(F.size(F.col("page").getField(n)) == 0, F.lit(n)) for n in names]), lambda x: x.isNotNull())
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shape(values: Column, card: Card) -> Column:
     kind, separator = card
     return F.get(values, F.lit(0)) if kind == "first" else values if kind == "all" else F.array_join(values, separator)

@@ -105,8 +105,12 @@ def terminals(query: str) -> str | None:
 
 
 def node_identity(query: str) -> tuple[str | None, bool]:
-    """(tag that every result has or None, whether a result may be a part of the document's frame that the page left out)."""
-    q = flat(query)
+    """(tag that every result has or None, whether a result may be a part of the document's frame that the page left out); (None, True), which
+    promises nothing, for a query that isn't supported."""
+    try:
+        q = flat(query)
+    except (Unsupported, RecursionError):
+        return None, True
     tags = {m.compounds[-1].tag for m in q.members}
     tag = tags.pop() if len(tags) == 1 else None
     return tag, any(m.compounds[-1].tag in (None, "html", "head", "body") and not (m.compounds[-1].attrs or m.compounds[-1].ids or m.compounds[-1].classes) for m in q.members)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,4 +19,6 @@ def corpus(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, dict[st
     pages = html_files(spark, path)
     parts = F.split("path", "/")
     pages = pages.where(F.element_at(parts, -2) == "pages").select(F.element_at(parts, -3).alias("page_object"), F.element_at(parts, -1).alias("page"), "body")
-    return pages, {f.parent.name: json.loads(f.read_text(encoding="utf-8")) for f in sorted(Path(path).glob("*/selectors.json"))}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "selectors.json").load(path)
+    schemas = files.select("path", "content").collect()  # one small file for each page object
+    return pages, {r["path"].rstrip("/").split("/")[-2]: json.loads(bytes(r["content"]).decode("utf-8")) for r in sorted(schemas, key=lambda r: r["path"])}

@@ -85,6 +85,14 @@ def caller_label(label: str | None) -> str | None:
     return resolve_label(name) or resolve_label(name.replace("_", "-")) or resolve_label(name.replace("iso8859", "iso-8859"))
 
 
+def column_label(label: str | None) -> str | None:
+    """As ``caller_label``, but a label that nobody knows is passed over: one bad row doesn't end a job."""
+    try:
+        return caller_label(label)
+    except ValueError:
+        return None
+
+
 def _declared(label: str) -> str | None:
     found = resolve_label(label)
     return {"UTF-16LE": "UTF-8", "UTF-16BE": "UTF-8", "x-user-defined": "windows-1252"}.get(found, found)
