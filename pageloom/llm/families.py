@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,25 @@ DERIVED = "a long, size int, distance int, b long, other_size int, other_distanc
 def derive(batches: Iterator[pa.RecordBatch], c: float, most: float = 0.0) -> Iterator[pa.RecordBatch]:
     """From two pivots' distance, for the members of either by size and distance: how many of the other family are surely linked
     (n), and which pairs of sizes and distances leave it open (n is null). Members x and y are linked if they are at most c * (sizes of both) + most apart."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names = [f.split()[0] for f in DERIVED.split(", ")]
     for batch in batches:
+        sides = [batch.column(k) for k in ("pa", "pb")]
+        count = [pc.list_value_length(x).to_numpy() for x in sides]
+        one = (count[0] == 1) & (count[1] == 1)
+        if one.any():  # two families of one size and distance each: all at once
+            a, b, apart = (batch.column(k).to_numpy()[one] for k in ("a", "b", "apart"))
+            flat = [pc.list_flatten(x.filter(pa.array(one))) for x in sides]
+            (sx, dx, nx), (sy, dy, ny) = ([x.field(k).to_numpy() for k in range(3)] for x in flat)
+            limit = c * (sx.astype(float) + sy) + most + 1e-9
+            spread = dx + dy
+            sure = apart + spread <= limit
+            left = ~sure & (np.maximum(apart - spread, np.abs(sx - sy)) <= limit) & (spread > 0)
+            none = np.zeros(2 * int(sure.sum()), np.int32)
+            empty = pa.array(none, mask=np.ones(len(none), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[sure], b[sure]])), pa.array(np.concatenate([sx[sure], sy[sure]])), pa.array(np.concatenate([dx[sure], dy[sure]])), pa.array(np.concatenate([b[sure], a[sure]])), empty, empty, pa.array(np.concatenate([ny[sure], nx[sure]]))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[left]) for x in (a, sx, dx, b, sy, dy)] + [pa.nulls(int(left.sum()), pa.int64())], names)
+            batch = batch.filter(pa.array(~one))
         out: list[tuple] = []
         for a, b, apart, p, q in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "apart", "pa", "pb"))):
             x, y = (np.array([(r["size"], r["distance"], r["docs"]) for r in side], np.int64) for side in (p, q))
@@ -38,8 +57,7 @@ def derive(batches: Iterator[pa.RecordBatch], c: float, most: float = 0.0) -> It
             for i, j in np.argwhere(~sure & (least <= limit) & (spread > 0)).tolist():
                 out.append((a, x[i, 0], x[i, 1], b, y[j, 0], y[j, 1], None))
         columns = list(zip(*out)) or [()] * 7
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(columns, kinds)], [f.split()[0] for f in DERIVED.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(columns, kinds)], names)
 
 
 def two(pairs: DataFrame, facts: DataFrame, *names: str) -> DataFrame:

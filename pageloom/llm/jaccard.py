@@ -1,9 +1,9 @@
 """Exact Jaccard self-join of documents' n-gram sets, with set relations deciding what can be skipped.
 
 1. Equal sets are one set with several documents.
-2. Families: as sets are read, one that lies within ``RADIUS`` of a set met before (the pivot) becomes its member and keeps only its distance
-   from it. Only pivots are indexed; each knows how far its members' answers may reach beyond its own.
-3. Pivots' pairs come from lists of prefix n-grams. A list is ordered by the overlap that its sets need at least; each posting's position in its
+2. Families: sets that are read together and lie within ``RADIUS`` of one of them (the pivot) are its family, known by their distance from it. The
+   lists hold families: of all members' postings of an n-gram one is kept, with the widest bounds, so a large family is skipped as one block.
+3. Pairs of families come from lists of prefix n-grams. A list is ordered by the overlap that its sets need at least; each posting's position in its
    set says up to which need a partner can still reach the threshold, so all of the list behind that is skipped as one block. Prefixes are so
    long that a pair shares ``SHARED`` n-grams of them, or all that it needs; pairs that share fewer are dropped before anything else is fetched. A
    bitmap of each set's parities bounds the difference of the pairs left; those that pass are verified on the whole sets.
@@ -11,7 +11,8 @@
    distance. Most answers are settled by this, for all members of the same size and distance at once; the others are verified on the whole sets.
    Members of one family are so near to their pivot that all of them are answers of each other.
 
-Which families there are affects the work alone. N-grams are ordered by hash, with those seen often last; any order is exact.
+Which families there are affects the work alone. N-grams are ordered by how often they occur in the whole corpus, rare ones first: by their own
+counts, where these are known, or by those of their words; any order is exact.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ from pageloom.llm.tokens import mix, pieces, steps, strings, window_hash, words
 N = 3
 THRESHOLD = 0.55
 #: A member's distance from its pivot (n-grams that only one of them has), as a share of its size.
-RADIUS = 0.1
-#: N-grams that are ordered last: a bound on what is broadcast, not on answers.
-MOST_FREQUENT = 500_000
+RADIUS = 0.28
+#: Words and n-grams whose counts are known: bounds on what is broadcast, not on answers.
+MOST_WORDS, MOST_SHARED = 200_000, 500_000
+#: N-grams that are counted together; those met three times or more among them are made known.
+COUNTED = 4_000_000
 #: N-grams that the prefixes of a pair must share.
 SHARED = 6
 #: N-grams of the sets among which a task forms families at a time.
@@ -47,18 +50,25 @@ BUCKET = 3_000_000
 _PART = 8
 
 
-def sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
-    """Each text's n-grams of words as sorted distinct hashes; a shorter text is one n-gram, one without words has none."""
+def sets(column: pa.Array, n: int = N, order: "_Order | None" = None) -> Iterator:
+    """Each text's n-grams of words as sorted distinct hashes; a shorter text is one n-gram, one without words has none. With an order, also
+    each n-gram's place in it."""
     for a, z in steps(column):
         w = words(column.slice(a, z - a))
         grams = window_hash(w.hash, n)
+        weight = order.weights(w.hash) if order else None
         for i in range(z - a):
             p, q = int(w.ptr[i]), int(w.ptr[i + 1])
-            if q - p >= n:
-                s = np.sort(grams[p : q - n + 1])
-                yield s[np.r_[True, s[1:] != s[:-1]]]
+            size = min(n, q - p)
+            s = grams[p : q - n + 1] if size == n else window_hash(w.hash[p:q], size) if size else w.hash[:0]
+            by = np.argsort(s, kind="stable")
+            by = by[np.r_[True, s[by][1:] != s[by][:-1]][: len(by)]]
+            s = s[by]
+            if order is None:
+                yield s
             else:
-                yield window_hash(w.hash[p:q], q - p) if q > p else w.hash[:0]
+                total = np.concatenate([[0], np.cumsum(weight[p:q])])
+                yield s, order.ranks(s, (total[size:] - total[: len(total) - size])[by] if size else by)
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -77,14 +87,10 @@ def _apart(p: bytes, q: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _reach(threshold: float) -> tuple[float, float, float]:
-    """(c, radius, a): sets of sizes x and y are answers if their distance is at most c (x + y); the radius of families; a partner of
-    size y needs an overlap of at least a * y on its side."""
+def _reach(threshold: float) -> tuple[float, float]:
+    """(c, radius): sets of sizes x and y are answers if their distance is at most c (x + y); members within c times their size are answers of each other."""
     c = (1 - threshold) / (1 + threshold)
-    radius = min(RADIUS, c / 2)
-    while radius and (1 - (c + radius) / (1 - radius)) / 2 < 0.02:
-        radius = radius / 2 if radius > 1e-3 else 0.0
-    return c, radius, (1 - (c + radius) / (1 - radius)) / 2
+    return c, min(RADIUS, c)
 
 
 def whole_of(s: np.ndarray) -> int:
@@ -93,101 +99,164 @@ def whole_of(s: np.ndarray) -> int:
 
 
 def _outline(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Per document its set's identity, size (0 without words) and bitmap; per batch also the n-grams met three times or more (with doc_id null)."""
+    """Per document its set's identity, size (0 without words) and bitmap; now and then also (with doc_id null) the words met three times or more,
+    and (with bits empty) such n-grams."""
+    told = ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
+    count = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for values, mark in zip(told, (None, b"")):
+            h, n_ = _counted(np.concatenate(values), 3)
+            for a in range(0, len(h), 100_000):
+                k = len(h[a : a + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(h[a : a + k]), pa.array(n_[a : a + k].astype(np.int32)), pa.array([mark] * k, pa.binary())], ["doc_id", "whole", "size", "bits"])
+            del values[1:]
+
     for batch in pieces(batches):
-        whole, size, bits, grams = [], [], [], []
-        for s in sets(strings(batch.column("text")), n):
+        column = strings(batch.column("text"))
+        whole, size, bits = [], [], []
+        for s in sets(column, n):
             whole.append(whole_of(s) if len(s) else 0)
             size.append(len(s))
             bits.append(_bitmap(s) if len(s) else None)
-            grams.append(s)
-        every = np.sort(np.concatenate([np.zeros(0, np.uint64), *grams]))
-        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
-        count = np.diff(np.append(first, len(every)))
-        often = count >= 3
-        frequent = every[first[often]].view(np.int64)
-        f = len(frequent)
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([batch.column("doc_id"), pa.nulls(f, pa.int64())]), pa.array(np.r_[np.array(whole, np.int64), frequent]), pa.array(np.r_[size, count[often]].astype(np.int32)), pa.array([*bits, *[None] * f], pa.binary())],
-            ["doc_id", "whole", "size", "bits"],
-        )
+            told[1].append(s)
+            count += len(s)
+        told[0].extend(words(column.slice(a, z - a)).hash for a, z in steps(column))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(whole, np.int64)), pa.array(np.array(size, np.int32)), pa.array(bits, pa.binary())], ["doc_id", "whole", "size", "bits"])
+        if count >= COUNTED:
+            yield from flush()
+            count = 0
+    yield from flush()
+
+
+def _counted(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur so many times or more, and their counts."""
+    every = np.sort(values)
+    first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+    count = np.diff(np.append(first, len(every)))
+    return every[first[count >= least]].view(np.int64), count[count >= least]
 
 
 class _Order:
-    """N-grams that come last in the common order, and in how many places each occurs."""
-
-    def __init__(self, frequent: pa.Table) -> None:
-        grams = frequent.column("whole").to_numpy().astype(np.int64).view(np.uint64)
-        count = frequent.column("n").to_numpy().astype(np.int64)
-        place = np.empty(len(grams), np.int64)
-        place[np.lexsort((grams, count))] = np.arange(len(grams))
-        order = np.argsort(grams)
-        self.grams, self.place, self.count = grams[order], place[order], count[order]
-
-    def arrange(self, grams: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The n-grams of each row (rows in order, n-grams ascending) in the common order, and how often each was counted."""
-        if not len(self.grams):
-            return grams, np.zeros(len(grams), np.int64)
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        late = self.grams[at] == grams
-        rank = np.where(late, self.place[at] + 1, 0)
-        by = np.lexsort((rank, row))  # stable: those that aren't late stay in order of hash
-        return grams[by], np.where(late, self.count[at], 0)[by]
-
-
-def _families(held: list[tuple[int, np.ndarray]], first: list[np.ndarray], radius: float, c: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per set its pivot's number and its distance; and per set how far its family's answers reach (the largest c * size + distance)."""
+    """How often n-grams occur, as far as their own counts are known, or by their words' counts (of ``total`` words in groups of ``n``)."""
+
+    def __init__(self, words_: pa.Table, shared: pa.Table, total: int, n: int) -> None:
+        self.words, count = self._by_hash(words_)
+        self.weight = np.floor(4 * np.log2(np.maximum(count, 1))).astype(np.int64)
+        self.shared, self.count = self._by_hash(shared)
+        self.less = int(4 * (n - 1) * np.log2(max(2, total)))
+
+    @staticmethod
+    def _by_hash(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        h = table.column("whole").to_numpy().astype(np.int64).view(np.uint64)
+        by = np.argsort(h)
+        return h[by], table.column("n").to_numpy().astype(np.int64)[by]
+
+    @staticmethod
+    def _look(known: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return np.where(known[at] == h, values[at], 0)
+
+    def weights(self, h: np.ndarray) -> np.ndarray:
+        """Four times the logarithm of each word's count (0 where it isn't known)."""
+        return self._look(self.words, self.weight, h)
+
+    def often(self, s: np.ndarray) -> np.ndarray:
+        return self._look(self.shared, self.count, s)
+
+    def ranks(self, s: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Four times the logarithm of how often each n-gram is known or expected to occur. Ties go by hash."""
+        return np.maximum(weight - self.less, 4 * np.log2(np.maximum(self.often(s), 1))).astype(np.int32)
+
+
+#: N-grams by which a set's pivot is looked for, and pivots that are tried for each: more of them find more members, answers don't depend on it.
+KEYS, TRIED = 6, 8
+
+
+def _families(held: list[np.ndarray], radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per set its pivot's number and its distance. Sets most of whose n-grams others have too are pivots first: they lie in the middle."""
+    size = np.array([len(s) for s in held])
+    every = np.concatenate(held)
+    order = np.argsort(every, kind="stable")
+    new = np.r_[True, every[order][1:] != every[order][:-1]]
+    count = np.diff(np.append(np.flatnonzero(new), len(every)))[np.cumsum(new) - 1]
+    common = np.empty(len(every))
+    common[order] = count > 1
+    share = np.add.reduceat(common, np.cumsum(size) - size) / size
     pivot, distance = np.arange(len(held)), np.zeros(len(held), np.int64)
-    reach = np.array([c * len(s) for _, s in held])
-    known: dict[int, int] = {}
-    for i, (_, s) in enumerate(held):
-        keys = first[i].tolist()
+    known: dict[int, list[int]] = {}
+    for i in np.argsort(-share, kind="stable").tolist():
+        if not share[i]:
+            break  # no other set has anything of this one and of those to come
+        s = held[i]
+        keys = s[:KEYS].tolist()
         tried = set()
-        for key in keys:
-            p = known.get(key)
-            if p is None or p in tried:
+        for p in (p for key in keys for p in known.get(key, ())):
+            if p in tried:
                 continue
             tried.add(p)
-            other = held[p][1]
+            other = held[p]
             if abs(len(other) - len(s)) > radius * len(s):
                 continue
             both = int((other[np.minimum(np.searchsorted(other, s), len(other) - 1)] == s).sum())
             d = len(s) + len(other) - 2 * both
             if d <= radius * len(s):
                 pivot[i], distance[i] = p, d
-                reach[p] = max(reach[p], c * len(s) + d)
                 break
         else:
             for key in keys:
-                known.setdefault(key, i)
-    return pivot, distance, reach
+                if len(have := known.setdefault(key, [])) < TRIED:
+                    have.append(i)
+    return pivot, distance
+
+
+_POSTINGS = "bucket int, keys binary, cans binary, sides binary, counts binary, ids binary, needs binary"
 
 
-_POSTINGS = "bucket int, keys binary, places binary, sides binary, counts binary, ids binary, sizes binary, needs binary"
+def _short(key: np.ndarray) -> bytes:
+    """48 bits of each n-gram tell it apart within its bucket."""
+    return key.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _upward(can: np.ndarray) -> np.ndarray:
+    """Bounds in 16 bits, rounded up on a scale of thousandths."""
+    return np.ceil(np.log(np.maximum(can, 1)) * 1000).astype(np.uint16)
 
 
 def _postings(batches: Iterator[pa.RecordBatch], n: int, threshold: float, order: _Order, buckets: int, hot: int) -> Iterator[pa.RecordBatch]:
-    """Postings of pivots by bucket; in buckets beyond ``buckets`` the members (ids), their pivots (keys), distances (places) and sizes."""
-    c, radius, a = _reach(threshold)
+    """Postings of families by bucket: n-gram, most that a partner may need (in eighths), side of a split list; per family of the bucket the number
+    of its postings and the least need. In buckets beyond ``buckets`` the members (ids), their pivots (keys), and distances (cans)."""
+    _, radius = _reach(threshold)
     seen: set[int] = set()
-    held: list[tuple[int, np.ndarray]] = []
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
     total = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        size = np.array([len(s) for _, s in held], np.int64)
+        size = np.array([len(s) for _, s, _ in held], np.int64)
         begin = np.cumsum(size) - size
         row = np.repeat(np.arange(len(held)), size)
-        key, often = order.arrange(np.concatenate([s for _, s in held]), row)
-        pivot, distance, reach = _families(held, [key[b : b + min(4, s)] for b, s in zip(begin, size)], radius, c)
-        ids = np.array([w for w, _ in held], np.int64)
-        own = pivot == np.arange(len(held))
-        need = (size - reach) / 2
-        length = np.where(own, np.minimum(size, size - np.ceil(need / (1 - a) - 1e-9).astype(np.int64) + SHARED), 0)
+        pivot, distance = _families([s for _, s, _ in held], radius)
+        ids = np.array([w for w, _, _ in held], np.int64)
+        need = np.floor(threshold / (1 + threshold) * size * _PART - 1e-6).astype(np.int64)
+        length = np.minimum(size, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + SHARED)
+        by = np.lexsort((np.concatenate([r for _, _, r in held]), row))  # stable: ties stay in order of hash
+        key = np.concatenate([s for _, s, _ in held])[by]
         place = np.arange(len(key)) - begin[row]
         used = place < length[row]
-        key, row, place, often = key[used], row[used], place[used].astype(np.int32), often[used]
+        key, row, place = key[used], row[used], place[used]
+        often = order.often(key)
+        can = _PART * (SHARED + size[row] - place - 1) - need[row]
+        least = need.copy()
+        np.minimum.at(least, pivot, need)
+        row = pivot[row]
+        if (pivot != np.arange(len(pivot))).any():  # of a family's postings of one n-gram the one with the widest bound
+            by = np.lexsort((-can, key, row))
+            by = by[np.r_[True, (key[by][1:] != key[by][:-1]) | (row[by][1:] != row[by][:-1])]]
+            key, row, can, often = key[by], row[by], can[by], often[by]
         side = np.full(len(key), 2, np.uint8)
         if (often > hot).any():  # blocks x <= y of a long list: each posting goes to all pairs of blocks with its own
             long = np.flatnonzero(often > hot)
@@ -199,29 +268,28 @@ def _postings(batches: Iterator[pa.RecordBatch], n: int, threshold: float, order
             split = mix(key[who] ^ mix((x * (1 << 31) + y + 1).astype(np.uint64)))
             rest = np.flatnonzero(often <= hot)
             side = np.concatenate([side[rest], np.where(x == y, 2, mine == y).astype(np.uint8)])
-            key, row, place = np.concatenate([key[rest], split]), np.concatenate([row[rest], row[who]]), np.concatenate([place[rest], place[who]])
+            key, row, can = np.concatenate([key[rest], split]), np.concatenate([row[rest], row[who]]), np.concatenate([can[rest], can[who]])
         bucket = (mix(key) % np.uint64(buckets)).astype(np.int32)
         by = np.lexsort((row, bucket))
-        key, row, place, side, bucket = key[by], row[by], place[by], side[by], bucket[by]
+        key, row, can, side, bucket = key[by], row[by], can[by].astype(np.int32), side[by], bucket[by]
         edges = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket))
-        eighths = np.floor(need * _PART - 1e-6).astype(np.int64)
         out = []
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            new = np.flatnonzero(np.r_[True, row[x + 1 : y] != row[x : y - 1]])  # each set's facts are sent once
+            new = np.flatnonzero(np.r_[True, row[x + 1 : y] != row[x : y - 1]])  # each family's facts are sent once
             r = row[x:y][new]
-            out.append((int(bucket[x]), key[x:y].tobytes(), place[x:y].tobytes(), side[x:y].tobytes(), np.diff(np.append(new, y - x)).astype(np.int32).tobytes(), ids[r].tobytes(), size[r].astype(np.int32).tobytes(), eighths[r].tobytes()))
-        m = np.flatnonzero(~own)
+            out.append((int(bucket[x]), _short(key[x:y]), _upward(can[x:y]).tobytes(), side[x:y].tobytes(), np.diff(np.append(new, y - x)).astype(np.int32).tobytes(), ids[r].tobytes(), least[r].tobytes()))
+        m = np.flatnonzero(pivot != np.arange(len(pivot)))
         if len(m):
-            out.append((buckets + int(ids[m[0]] % buckets), ids[pivot[m]].tobytes(), distance[m].astype(np.int32).tobytes(), b"", b"", ids[m].tobytes(), size[m].astype(np.int32).tobytes(), b""))
+            out.append((buckets + int(ids[m[0]] % buckets), ids[pivot[m]].tobytes(), distance[m].astype(np.int32).tobytes(), b"", b"", ids[m].tobytes(), b""))
         columns = list(zip(*out))
         for z in range(0, len(out), 256):
             yield pa.RecordBatch.from_arrays([pa.array(columns[0][z : z + 256], pa.int32()), *(pa.array(col[z : z + 256], pa.binary()) for col in columns[1:])], [f.split()[0] for f in _POSTINGS.split(", ")])
 
     for batch in pieces(batches):
-        for s in sets(strings(batch.column("text")), n):
+        for s, ranks in sets(strings(batch.column("text")), n, order):
             if len(s) and (w := whole_of(s)) not in seen:
                 seen.add(w)
-                held.append((w, s))
+                held.append((w, s, ranks))
                 total += len(s)
                 if total >= ROUND:
                     yield from flush()
@@ -233,28 +301,31 @@ _MET = "a long, b long, shared int, must int"
 
 
 def _candidates(table: pa.Table, buckets: int) -> pa.Table:
-    """Pairs of pivots, with how many n-grams they share from which the overlap needed can still be reached, and how many they must.
-    Members pass: (set, pivot, distance, -size)."""
+    """Pairs of families, with how many n-grams they share from which the overlap needed can still be reached, and how many they must.
+    Members pass: (set, pivot, distance, -1)."""
     def col(name: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
 
     if table.column("bucket")[0].as_py() >= buckets:
-        return pa.table({"a": col("ids", np.int64), "b": col("keys", np.int64), "shared": col("places", np.int32), "must": -col("sizes", np.int32)})
-    key, place, side, count = col("keys", np.uint64), col("places", np.int32), col("sides", np.uint8), col("counts", np.int32)
-    ids, sizes, needs = col("ids", np.int64), col("sizes", np.int32).astype(np.int64), col("needs", np.int64)
-    names, row = np.unique(ids, return_inverse=True)
-    size, need = np.zeros(len(names), np.int64), np.full(len(names), 2**62)
-    size[row] = sizes
-    np.minimum.at(need, row, needs)  # a set may be a pivot in several tasks: the farthest reach counts
+        ids = col("ids", np.int64)
+        return pa.table({"a": ids, "b": col("keys", np.int64), "shared": col("cans", np.int32), "must": np.full(len(ids), -1, np.int32)})
+    six = col("keys", np.uint8).reshape(-1, 6)
+    key = np.zeros((len(six), 8), np.uint8)
+    key[:, :6] = six
+    key = key.view(np.uint64)[:, 0]
+    can, side, count = np.ceil(np.exp(col("cans", np.uint16) / 1000)).astype(np.int64), col("sides", np.uint8), col("counts", np.int32)
+    names, row = np.unique(col("ids", np.int64), return_inverse=True)
+    need = np.full(len(names), 2**62)
+    np.minimum.at(need, row, col("needs", np.int64))  # a set may be a pivot in several tasks
     row = np.repeat(row.astype(np.int32), count)
     by = np.argsort(key, kind="stable")
     new = np.r_[True, key[by][1:] != key[by][:-1]]
     by = by[~(new & np.r_[new[1:], True])]  # a list of one posting pairs with nothing
-    key, place, side, row = key[by], place[by], side[by], row[by]
-    by = np.lexsort((row, need[row], key))
-    key, place, side, row = key[by], place[by].astype(np.int64), side[by], row[by]
+    key, can, side, row = key[by], can[by], side[by], row[by]
+    by = np.lexsort((-can, row, need[row], key))
+    key, can, side, row = key[by], can[by], side[by], row[by]
     once = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])][: len(key)]
-    key, place, side, row = key[once], place[once], side[once], row[once]
+    key, can, side, row = key[once], can[once], side[once], row[once]
     n = len(key)
     codes, counts, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
@@ -264,7 +335,6 @@ def _candidates(table: pa.Table, buckets: int) -> pa.Table:
 
     if n:
         own = need[row]
-        can = _PART * (SHARED + size[row] - place - 1) - own  # the most that a partner may need
         group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
         at_need = group * (1 << 40) + own + (1 << 20)
         # the list from here to where needs are out of reach; the block behind it is skipped
@@ -356,12 +426,15 @@ def _base(docs: DataFrame, n: int, threshold: float, tables: Tables, hot: int =
     """(documents: doc_id, whole, null without words; sets: whole, size, family, distance, docs, least; answers by class of members;
     answers of single sets)."""
     spark: SparkSession = docs.sparkSession
-    c, _, _ = _reach(threshold)
+    c, _ = _reach(threshold)
     corpus = text_id(docs).where("doc_id is not null")
     outline = tables.write("outline", corpus.mapInArrow(lambda b: _outline(b, n), "doc_id long, whole long, size int, bits binary"))
     total = outline.where("doc_id is not null").agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
-    frequent = outline.where("doc_id is null").groupBy("whole").agg(F.sum("size").alias("n")).where("n >= 16").orderBy(F.desc("n"), "whole").limit(MOST_FREQUENT).toArrow()
-    order = spark.sparkContext.broadcast(_Order(frequent))
+    known = outline.where("doc_id is null").groupBy("whole", F.col("bits").isNull().alias("word")).agg(F.sum(F.col("size").cast("long")).alias("n"))
+    known = tables.write("known", known.where("n >= 16"))
+    most = [known.where(kind).orderBy(F.desc("n"), "whole").limit(limit).select("whole", "n").toArrow() for kind, limit in (("word", MOST_WORDS), ("not word", MOST_SHARED))]
+    tables.drop("known")
+    order = spark.sparkContext.broadcast(_Order(*most, int(total), n))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // (2 * BUCKET)))
     postings = corpus.mapInArrow(lambda b: _postings(b, n, threshold, order.value, buckets, hot), _POSTINGS)
     tables.tidy()
