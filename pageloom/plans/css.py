@@ -283,8 +283,12 @@ def _terminal(text: str) -> tuple[str, Terminal | None, bool]:
         name = r.argument()
         if r.i < len(r.s):
             return text, None, False
-        name = unescape(name.strip(_SPACE))
-        if not name or any(c in _SPACE + "\"'()[]" for c in name):
+        name = name.strip(_SPACE)
+        if len(name) > 1 and name[0] in "\"'" and name[-1] in "\"'":
+            name = name[1:-1]
+        name = unescape(name)
+        first = name.removeprefix("-")[:1]
+        if not first or first in "-0123456789" or any(c in _SPACE + "\"'()[]" for c in name):
             raise Unsupported("::attr() takes the name of an attribute")
         head, found = text[:at], Terminal("attr", name.translate({c: c + 32 for c in range(65, 91)}))
     return head, found, bool(head) and head[-1] in _SPACE

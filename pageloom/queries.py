@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom import cases
 from pageloom.functions import detect_encoding_column
 from pageloom.operators.relational import Relational, html_nodes, html_texts
 from pageloom.page import Page, re_first
@@ -208,3 +209,5 @@ SQL |= {
     "h02_re_first": "SELECT l_orderkey AS page_id, l_orderkey AS number, NULL::VARCHAR AS absent FROM lineitem GROUP BY l_orderkey",
     "b06_detect_encoding": "SELECT page_id, 'UTF-8' AS encoding, 'UTF-16BE' AS wide_encoding, true AS same FROM pages",
 }
+QUERIES |= cases.QUERIES
+SQL |= cases.SQL
