@@ -1,5 +1,6 @@
 """Cases that the operators once left out."""
 
+import itertools
 import re
 
 import numpy as np
@@ -141,3 +142,76 @@ def test_automata_know_characters():
         data = np.frombuffer(text.encode(), np.uint8)
         assert automaton.last_end(machine, data, 0, len(data)) == len(data), pattern
     assert automaton.walk(automaton.build([automaton.parse("a.{3}")], False), np.frombuffer("aéé".encode(), np.uint8), 0, 5) == []
+
+
+def enumerated(text, model):
+    """Exact marginals of every token of a text, plain words too, from the scores of all labelings; and which tokens are nodes."""
+    column = pa.array([text])
+    data, start, end, _, nodes, apart = pii.tokens_of(column)
+    tokens = [data[a:b].tobytes().decode() for a, b in zip(start, end)]
+    n, k = len(tokens), len(pii.LABELS)
+    unary = np.tile(model.plain, (n, 1))
+    for i in nodes:
+        unary[i] = sum((model.unary[model.index[f]] for f in pii._around(tokens, apart, i) if f in model.index), np.zeros(k))
+    left, right, skip, _ = pii.edges(np.zeros(len(nodes), int), nodes, [tokens[i] for i in nodes])
+    every = np.array(list(itertools.product(range(k), repeat=n)))
+    score = sum(unary[i][every[:, i]] for i in range(n)) + sum(model.chain[every[:, i], every[:, i + 1]] for i in range(n - 1))
+    for a, b in zip(nodes[left[skip]], nodes[right[skip]]):
+        score = score + model.agree * (every[:, a] == every[:, b])
+    weight = np.exp(score - score.max())
+    out = np.stack([np.bincount(every[:, i], weight, k) for i in range(n)])
+    return out / out.sum(axis=1, keepdims=True), nodes, tokens
+
+
+def test_pii_whole_field_against_enumeration():
+    model = pii.fit()
+    assert pii.plain_is_o(model) and np.allclose(model.gaps()[-1] - model.gaps()[-1].max(), model.gaps()[-2] - model.gaps()[-2].max(), atol=1e-9)
+    for text in ("mail bo.7@site.org to us", "ring (017) 555-7713 or not", "pay 4785380592391139 with v1.2", "Dr Anna Miller met us", "at 12 Baker Street we", "the old red cat sat", "192.168.1.9 and then 10.0.0.1", "7 a b c d 8", "5557713 said 017-555-7713 twice", "Mr Bell told Bell all"):
+        want, nodes, tokens = enumerated(text, model)
+        left, right, skip, gap = pii.edges(np.zeros(len(nodes), int), nodes, [tokens[i] for i in nodes])
+        plain = np.setdiff1d(np.arange(len(tokens)), nodes)
+        assert (want[plain].argmax(axis=1) == 0).all()
+        if len(nodes):
+            unary = np.zeros((len(nodes), len(pii.LABELS)))
+            at = np.flatnonzero(np.isin(np.arange(len(tokens)), nodes))
+            _, _, _, _, _, apart = pii.tokens_of(pa.array([text]))
+            for r, i in enumerate(at):
+                for f in pii._around(tokens, apart, i):
+                    unary[r] += model.unary[model.index[f]] if f in model.index else 0
+            unary = pii.with_ends(unary, np.zeros(len(nodes), int), nodes, np.array([0]), np.array([len(tokens) - 1]), model)
+            got = pii.marginals(pii.Field(unary, left, right, skip, gap), model)
+            assert np.allclose(got, want[nodes], atol=0.08 if skip.any() else 1e-3) and (got.argmax(axis=1) == want[nodes].argmax(axis=1)).all(), text
+            found = {v.decode() for _, _, _, _, v in pii.entities(pa.array([text]), model)}
+            labelled = [tokens[i] for i in nodes if want[i].argmax() and (pii.LABELS[want[i].argmax()] != "ADDRESS" or "Street" in text)]  # a lone number is no address
+            assert all(any(t.strip(".") in v for v in found) for t in labelled) and bool(found) == bool(labelled), text
+
+
+def test_pii_loops_against_enumeration():
+    rng = np.random.default_rng(6)
+    k = len(pii.LABELS)
+    for _ in range(5):
+        left, right, skip = np.array([0, 1, 2, 0, 1]), np.array([1, 2, 3, 2, 3]), np.array([False, False, False, True, True])
+        field = pii.Field(rng.normal(size=(4, k)), left, right, skip)
+        model = pii.Model({}, np.zeros((0, k)), 0.4 * rng.normal(size=(k, k)), 1.2)
+        every = np.array(list(itertools.product(range(k), repeat=4)))
+        score = sum(field.unary[i][every[:, i]] for i in range(4)) + sum(model.agree * (every[:, a] == every[:, b]) if s else model.chain[every[:, a], every[:, b]] for a, b, s in zip(left, right, skip))
+        want = np.stack([np.bincount(every[:, i], np.exp(score), k) for i in range(4)])
+        want /= want.sum(axis=1, keepdims=True)
+        got = pii.marginals(field, model)
+        assert np.abs(got - want).max() < 0.06
+
+
+def test_pii_kinds_and_their_bounds(spark):
+    model = pii.fit()
+    cases = {
+        "call 0175 5577 13 now": set(), "order 1234 5678 shipped": set(), "The big Tower stands. Every Day we walk the street.": set(), "at 12:30:45 we met": set(),
+        "ring +49 30 901820 today": {("PHONE", "+49 30 901820")}, "+44 20 7946 0958 or +33 1 23 45 67 89": {("PHONE", "+44 20 7946 0958"), ("PHONE", "+33 1 23 45 67 89")},
+        "card 4785 3805 9239 1139 ok": {("CARD", "4785 3805 9239 1139")}, "pay DE89 3704 0044 0532 0130 00 please": {("IBAN", "DE89 3704 0044 0532 0130 00")},
+        "IBAN: DE89370400440532013000": {("IBAN", "DE89370400440532013000")}, "host 2001:db8:85a3::8a2e:370:7334 or fe80::1": {("IP", "2001:db8:85a3::8a2e:370:7334"), ("IP", "fe80::1")},
+        "Dear Anna Schmidt, we met. The Schmidt house at 12 Baker Street is near Hauptstraße 5.": {("PERSON", "Anna Schmidt"), ("PERSON", "Schmidt"), ("ADDRESS", "12 Baker Street"), ("ADDRESS", "Hauptstraße 5")},
+    }
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate([*cases, "x " * 200_000 + "bo@site.org " + "y " * 200_000])], KIND)
+    found = {}
+    for r in pii.scan(docs, model).collect():
+        found.setdefault(r["doc_id"], set()).add((r["label"], r["value"]))
+    assert [found.get(i, set()) for i in range(len(cases))] == list(cases.values()) and found[len(cases)] == {("EMAIL", "bo@site.org")}
