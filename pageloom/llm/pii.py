@@ -201,6 +201,7 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     opens = np.flatnonzero(data[:-4] == 40)
     opens = opens[data[opens + 4] == 41]
     opens = opens[((data[opens[:, None] + np.arange(1, 4)] - 48).astype(np.uint8) < 10).all(axis=1)]
+    opens = opens[np.searchsorted(offsets, opens, "right") == np.searchsorted(offsets, opens + 4, "right")]
     marked[opens] = marked[opens + 4] = 48
     colons = np.flatnonzero(data == 58)
     close = np.flatnonzero(np.diff(colons) <= 5)
@@ -208,8 +209,9 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         upto = -1
         for p in colons[close].tolist():
             if p >= upto:
-                begin = max(0, p - 45)
-                for m in _V6.finditer(data[begin : p + 45].tobytes()):
+                text = int(np.searchsorted(offsets, p, "right"))
+                begin = max(int(offsets[text - 1]), p - 45)
+                for m in _V6.finditer(data[begin : min(int(offsets[text]), p + 45)].tobytes()):
                     if m.end() - m.start() > 2 and begin + m.end() > p:
                         marked[begin + m.start() : begin + m.end()] = 48
                         upto = begin + m.end()
