@@ -46,7 +46,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """Each document floor(rate) times, and once more if its seeded draw lies below the fraction of the rate.
 
     Adds ``copy`` (0, 1, ...); an input column of that name is replaced. All other columns are kept. A null or empty text
-    counts no tokens but is copied at its source's rate; repeated rows of one doc_id share their draw, a null doc_id never gets the extra copy.
+    counts no tokens but is copied at its source's rate; repeated rows of one doc_id share their draw; where it is null the text decides the draw.
     An empty table gives no rows. Only the token counts are exchanged; texts stay where they are read.
     """
     spark = docs.sparkSession
@@ -57,7 +57,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         per = rates(docs, weights, alpha, budget).select("source", "rate")
     per = per.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     whole = F.floor("__rate").cast("int")
-    extra = F.coalesce((draw(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("int"), F.lit(0))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))  # without a number, by its words
+    extra = F.coalesce((draw(key, seed) < F.col("__rate") - F.floor("__rate")).cast("int"), F.lit(0))
     copies = F.sequence(F.lit(0), F.col("__n") - 1)
     out = docs.drop("copy").join(per, docs["source"].eqNullSafe(per["__source"])).withColumn("__n", whole + extra).where("__n > 0")
     return out.withColumn("copy", F.explode(copies)).drop("__source", "__rate", "__n")

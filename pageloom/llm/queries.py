@@ -164,7 +164,7 @@ SELECT r.v AS doc_id, min(r.w) AS class_id, (SELECT count(*) FROM e WHERE e.v =
 WITH per AS (SELECT source, sum(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')))::BIGINT AS tokens FROM documents GROUP BY source),
 raw AS (SELECT *, CASE WHEN tokens > 0 THEN pow(tokens::DOUBLE, {mixing.ALPHA}) ELSE 0 END AS raw FROM per),
 rates AS (SELECT source, (sum(tokens) OVER ())::DOUBLE * (raw / sum(raw) OVER ()) / tokens AS rate FROM raw WHERE tokens > 0),
-n AS (SELECT d.*, floor(rate)::INT + (('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 8))::BIGINT / 4294967296.0 < rate - floor(rate))::INT AS n
+n AS (SELECT d.*, floor(rate)::INT + (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 8))::BIGINT / 4294967296.0 < rate - floor(rate))::INT AS n
  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INT AS copy FROM n""",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -11,22 +13,26 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pageloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 class Tables:
-    """Written tables that cut lineage: they outlive any executor, and go when ``drop`` is called."""
+    """Written tables that cut lineage: they outlive any executor, and go when ``drop`` is called. Those that a result is read from stay until the
+    driver ends."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.at = spark, f"{folder(spark)}/tables-{uuid.uuid4().hex}"
+        atexit.register(_remove, self.at)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.at}/{name}")
@@ -44,6 +50,20 @@ class Tables:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def _remove(at: str) -> None:
+    """Deletes a folder when the driver ends, if it still has a session or the folder is its own machine's."""
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            return
+    except Exception:  # noqa: BLE001  the gateway may be gone
+        pass
+    if at.startswith(("file:", "/")):
+        shutil.rmtree(at.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
