@@ -1,7 +1,7 @@
 """Pages as relations of elements and text nodes, and selectors as joins over them.
 
 A combinator is a semi-join: on the parent's id, on the sibling before, or on the interval of ids that an ancestor spans. All joins are
-within a page, on its key, so a page's nodes are exchanged once at most and then stay where they are.
+within a page, on its key; pages are parsed and exchanged once, and the relations kept.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.operators.tree import parse
 from pageloom.plans import verdict
 from pageloom.plans.ir import ADJACENT, CHILD, DESCENDANT, Attr, Compound, Member, Position
-from pageloom.sources.encoding import resolve_label, text_of
+from pageloom.sources.encoding import column_label, text_of
 
 NODE_TYPE = (
     "id int, at int, parent int, last int, depth int, tag string, attrs array<struct<name:string,value:string>>, classes array<string>, "
@@ -56,7 +57,7 @@ def _relation(df: DataFrame, key: str, html: str, encoding: str | None, kind: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, h, label in zip(batch.column("page"), batch.column("html").to_pylist(), batch.column("label").to_pylist()):
-                found = list(rows(text_of(h, None if isinstance(h, str) else resolve_label(label))))  # type: ignore[operator]
+                found = list(rows(text_of(h, None if isinstance(h, str) else column_label(label))))  # type: ignore[operator]
                 if found:
                     arrays = [pa.array(c, f.type) for c, f in zip(zip(*found), schema)]
                     yield pa.RecordBatch.from_arrays([pa.repeat(page, len(found)), *arrays], ["page", *schema.names])
@@ -127,10 +128,18 @@ def local(c: Compound) -> Column:
 
 
 class Relational:
-    """Selectors over the two relations of a set of pages."""
+    """Selectors over the two relations of a set of pages.
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame) -> None:
-        self.nodes, self.texts = nodes, texts
+    Pages are parsed once: both relations are kept, by page, until ``close`` (or ``spark.catalog.clearCache()``); what an executor held that is
+    lost is parsed again. ``keep=False`` reads them anew for each use.
+    """
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame, keep: bool = True) -> None:
+        self.nodes, self.texts = (x.repartition("page").persist(StorageLevel.MEMORY_AND_DISK) for x in (nodes, texts)) if keep else (nodes, texts)
+
+    def close(self) -> None:
+        self.nodes.unpersist()
+        self.texts.unpersist()
 
     def _strings(self, nodes: DataFrame) -> DataFrame:
         """page, id and the text of the element and its descendants in order."""
