@@ -243,6 +243,8 @@ class Base(PageObject):
 class Derived(Base):
     price = field("b::text", out=[])
     box = field("div.box").as_node()
+    frame = field("body").as_node()
+    items = field("li", all=True).as_node()
     link = field("a::attr(href)", out=[lambda c: to_absolute(F.lit("http://host/dir/page"))(c)])
     rows = Many("li", name=field("i::text").map(F.upper), all=field("i::text", all=True))
     first = One("li", name="i::text")
@@ -283,16 +285,21 @@ _TOLD: dict[str, tuple[Callable[[], list[tuple[str, object]]], list[tuple[str, s
         lambda: [(kind.__name__, extract(kind("<p>é".encode()), ["p::text"])[0][0]) for kind in (bytes, bytearray, memoryview)],
         [("bytes", "é"), ("bytearray", "é"), ("memoryview", "é")],
     ),
-    "h09_schema": (lambda: [("fields", ",".join(n for n, _ in Derived.schema()["fields"])), ("groups", ",".join(n for n, *_ in Derived.schema()["groups"]))], [("fields", "title,price,box,link"), ("groups", "rows,first")]),
+    "h09_schema": (lambda: [("fields", ",".join(n for n, _ in Derived.schema()["fields"])), ("groups", ",".join(n for n, *_ in Derived.schema()["groups"]))], [("fields", "title,price,box,frame,items,link"), ("groups", "rows,first")]),
     "h05_guards": (
         lambda: [
             ("joined", _raises(TypeError, lambda: field("p", join=",").as_node())),
             ("value", _raises(TypeError, lambda: field("p::text").as_node())),
             ("element", _raises(TypeError, lambda: field("p").as_node())),
             ("in a group", _raises(TypeError, lambda: Many("li", x=field("p").as_node()))),
+            ("frame", _raises(TypeError, lambda: field("*").as_node())),
+            ("frame by name", _raises(TypeError, lambda: field("body").as_node())),
+            ("mapped", _raises(TypeError, lambda: type("Mapped", (PageObject,), {"x": field("p").as_node().map(F.upper)}))),
+            ("undecided", _raises(TypeError, lambda: type("Undecided", (PageObject,), {"x": field("p", out=[F.upper])}))),
+            ("decided", _raises(TypeError, lambda: type("Decided", (PageObject,), {"x": field("p", out=[F.upper]).as_value()}))),
             ("re_first of a list", _raises(TypeError, lambda: field("p::text", all=True).re_first("x"))),
         ],
-        [("joined", "refused"), ("value", "refused"), ("element", "taken"), ("in a group", "refused"), ("re_first of a list", "refused")],
+        [("joined", "refused"), ("value", "refused"), ("element", "taken"), ("in a group", "refused"), ("frame", "refused"), ("frame by name", "taken"), ("mapped", "refused"), ("undecided", "refused"), ("decided", "taken"), ("re_first of a list", "refused")],
     ),
     "i01_check": (
         lambda: [
@@ -419,7 +426,7 @@ _OBJECTS = {
     "h03_typed": (Base, ["title=title", "tags=array_join(tags, '+')"], ["K", "t1+t2"]),
     "h04_processors": (Derived, ["own=price", "inherited=title"], ["7", "K"]),
     "h01_map": (Base, ["price=price"], ["12!"]),
-    "h05_node": (Derived, ["tag=box.tag", "id=box.attrs['id']", "string=box.string", "source=box.source"], ["div", "z", "inside", '<div class="box" id=z>'.replace('"', "") + "in<i>side</i></div>"]),
+    "h05_node": (Derived, ["tag=box.tag", "id=box.attrs['id']", "string=box.string", "frame=frame.tag", "items=array_join(transform(items, x -> x.attrs['id']), '+')", "source=box.source"], ["div", "z", "inside", "body", "l1+l2", '<div class="box" id=z>'.replace('"', "") + "in<i>side</i></div>"]),
     "h07_inheritance": (Derived, ["title=title", "price=price"], ["K", "7"]),
     "h08_groups": (Derived, ["n=size(rows)", "name=rows[0].name", "all=array_join(rows[0].all, '+')", "missing=rows[1].name", "first=first.name"], ["2", "X", "x+y", "NULL", "x"]),
     "h08_item": (Typed, ["columns=to_json(rows[0])"], ['{"b":"l1","a":"x"}']),

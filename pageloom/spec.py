@@ -6,11 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field as data_field, fields as data_fields, is_dataclass, replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.operators.tree import Tree, parse
+from pageloom.operators.tree import FRAME, Tree, parse
 from pageloom.page import Page, re_first
 from pageloom.plans import verdict
 
@@ -27,7 +28,7 @@ class Field:
     meta: dict = data_field(default_factory=dict)
     maps: tuple = ()
     type: Any = None
-    node: bool = False
+    node: bool | None = None  # None: neither as_node() nor as_value() was said
 
     def map(self, fn: Callable[[Column], Column]) -> "Field":
         return replace(self, maps=(*self.maps, fn))
@@ -42,11 +43,13 @@ class Field:
         return replace(self, type=kind)
 
     def as_node(self) -> "Field":
-        """The element itself as a struct: tag, attributes, string, source."""
+        """The element itself as a struct: tag, attributes, string, source. Further functions on it belong into ``out``."""
         if self.join is not None:
             raise TypeError("as_node() of joined text")
         if verdict.terminals(self.selector) != "outer":
             raise TypeError("as_node() takes a selector of elements")
+        if verdict.node_identity(self.selector) == (None, True):
+            raise TypeError("as_node() of what may be a part of the document's frame that the page left out, which has no source of its own: name the element")
         return replace(self, node=True)
 
     def as_value(self) -> "Field":
@@ -111,17 +114,24 @@ def _mapped(g: Many, maps: dict[str, tuple]) -> Callable[[Column], Column]:
 NODE = T.StructType([T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("string", T.StringType()), T.StructField("source", T.StringType())])
 
 
-def _node(source: str | None) -> dict | None:
-    """The element that a source slice begins with."""
+_ARROW_NODE = pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("string", pa.string()), ("source", pa.string())])
+
+
+def _node(source: str | None, tag: str | None = None) -> dict | None:
+    """The element of a source slice: the one named ``tag``, which a part of the frame that the page left out doesn't begin with, or the first."""
     if source is None:
         return None
-    t: Tree = parse(source)
-    i = next((k for k, made in enumerate(t.made) if not made), None)
-    return None if i is None else {"tag": t.tag[i], "attrs": t.attributes(i), "string": t.string(i), "source": source}
+    t: Tree = parse(source if tag in FRAME else f"<html><body>{source}")
+    found = (k for k, made in enumerate(t.made) if (t.tag[k] == tag if tag is not None else not made and t.tag[k] not in FRAME))
+    i = next(found, None)
+    return None if i is None else {"tag": t.tag[i], "attrs": list(t.attributes(i).items()), "string": t.string(i), "source": source}
 
 
-def _nodes(sources: list[str]) -> list[dict | None]:
-    return [_node(s) for s in sources]
+def _node_column(tag: str | None, many: bool) -> Callable[[Column], Column]:
+    """Sources to elements, a batch at a time."""
+    if many:
+        return F.arrow_udf(lambda rows: pa.array([None if r is None else [_node(s, tag) for s in r] for r in rows.to_pylist()], pa.list_(_ARROW_NODE)), T.ArrayType(NODE))
+    return F.arrow_udf(lambda rows: pa.array([_node(s, tag) for s in rows.to_pylist()], _ARROW_NODE), NODE)
 
 
 class PageObject:
@@ -150,11 +160,16 @@ class PageObject:
         cls._fields, cls._groups = fields, groups
         page = Page(strict=strict)
         for name, (base, f) in fields.items():
-            maps = (*f.maps, *cls._processors(name, base, f))
+            processors = cls._processors(name, base, f)
+            maps = (*f.maps, *processors)
+            if f.node and f.maps:
+                raise TypeError(f"{name}: what is done to an element behind as_node() belongs into out")
+            if f.node is None and processors and verdict.terminals(f.selector) == "outer":
+                raise TypeError(f"{name} selects an element and has processors: say as_node() or as_value(), or decline them with out=[]")
             if f.type is not None and isinstance(f.type, (T.DataType, str)):
                 maps = (*maps, lambda c, kind=f.type: c.cast(kind))
             if f.node:
-                maps = (F.udf(_nodes, T.ArrayType(NODE)) if f.all else F.udf(_node, NODE), *maps)
+                maps = (_node_column(verdict.node_identity(f.selector)[0], f.all), *maps)
             if f.join is not None:
                 page.field_join(name, f.selector, f.join, map=list(maps))
             elif f.all:
