@@ -7,7 +7,9 @@
 3. Up: with the sampled suffixes' order, the others are sorted by first word and next rank, and merged.
 4. Neighbours in the array are compared by their first ``WORDS`` words.
 
-Rows that travel are packed arrays, partitioned by ranges of the first two letters, whose limits are sampled at each level.
+Strings stay where they are, in packs. What travels are a pack's distinct triples (suffixes, passages), once each, and what comes back is their names (ranks,
+documents). So a passage that a third of all documents hold costs an entry in each pack, not in each document. Entries are partitioned by ranges of
+their first three letters, whose limits are sampled at each level and whose number follows from the letters.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pageloom.llm.tokens import mix, raw, steps, strings, whole, window_hash, wo
 WORDS = 50
 #: Words in a fingerprint.
 PRINT = 32
+#: Letters in a pack, about; and entries in a range.
+PACK, RANGE = 200_000, 2_000_000
 
 U, LAST = np.uint64, np.uint64(2**64 - 1)
 _SPANS = "doc_id long, first_word int, words int, cut_words int"
@@ -96,28 +100,56 @@ def _regions(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 
 
 class _Ranges:
-    """Ranges of the order by first and second letter."""
+    """Ranges of the order by the first three letters."""
 
     def __init__(self, rows: list, count: int) -> None:
-        pairs = np.array([(r["x"], r["y"]) for r in rows], np.int64).reshape(-1, 2).view(U)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        cut = np.unique(pairs[(np.arange(1, count) * len(pairs)) // count], axis=0) if len(pairs) else pairs
-        self.x, self.y = cut[:, 0], cut[:, 1]
-
-    def of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        lo, hi = np.zeros(len(x), np.int64), np.full(len(x), len(self.x), np.int64)
-        for _ in range(int(len(self.x)).bit_length()):
-            mid = np.minimum((lo + hi) // 2, max(0, len(self.x) - 1))
-            before = (lo < hi) & ((self.x[mid] < x) | ((self.x[mid] == x) & (self.y[mid] <= y)))
+        keys = np.array([(r["x"], r["y"], r["z"]) for r in rows], np.int64).reshape(-1, 3).view(U)
+        keys = keys[np.lexsort(keys.T[::-1])]
+        self.cut = np.unique(keys[(np.arange(1, count) * len(keys)) // count], axis=0) if len(keys) else keys
+        self.count = len(self.cut) + 1
+
+    def of(self, *letters: np.ndarray) -> np.ndarray:
+        lo, hi = np.zeros(len(letters[0]), np.int64), np.full(len(letters[0]), len(self.cut), np.int64)
+        for _ in range(len(self.cut).bit_length()):
+            mid = np.minimum((lo + hi) // 2, max(0, len(self.cut) - 1))
+            before, tie = np.zeros(len(lo), bool), np.ones(len(lo), bool)
+            for k, x in enumerate(letters):
+                c = self.cut[mid, k]
+                before |= tie & (c < x)
+                tie &= c == x
+            before = (lo < hi) & (before | tie)
             hi = np.where((lo < hi) & ~before, mid, hi)
             lo = np.where(before, mid + 1, lo)
         return lo
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of letters on end, and their lengths."""
-    parts = [np.frombuffer(x, U) for x in column.to_pylist()]
-    return np.concatenate([np.zeros(0, U), *parts]), np.array([len(p) for p in parts], np.int64)
+def _packs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Regions put together to packs; a pack's number tells the task and its place in it."""
+    from pyspark import TaskContext
+
+    task, number = TaskContext.get().partitionId(), 0
+    held: list[tuple[int, int, bytes]] = []
+    total = 0
+
+    def flush() -> pa.RecordBatch:
+        docs, firsts, letters = zip(*held)
+        row = [task << 32 | number, b"".join(letters), np.array([len(x) // 8 for x in letters], np.int32).tobytes(), np.array(docs, np.int64).tobytes(), np.array(firsts, np.int32).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["pack", "letters", "lengths", "docs", "firsts"])
+
+    for batch in _regions(batches, size):
+        for doc, first, letters in zip(*(c.to_pylist() for c in batch.columns)):
+            held.append((doc, first, letters))
+            total += len(letters) // 8
+            if total >= PACK:
+                yield flush()
+                held, total, number = [], 0, number + 1
+    if held:
+        yield flush()
+
+
+def _pack(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of all strings of a pack on end, and the strings' lengths."""
+    return np.frombuffer(batch.column("letters")[i].as_py(), U), np.frombuffer(batch.column("lengths")[i].as_py(), np.int32).astype(np.int64)
 
 
 def _ahead(letters: np.ndarray, length: np.ndarray, by: int) -> np.ndarray:
@@ -130,107 +162,142 @@ def _ahead(letters: np.ndarray, length: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def _places(n: np.ndarray) -> np.ndarray:
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each distinct row, the distinct row's number of each row)."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    by = np.lexsort(columns)
+    new = np.zeros(n, bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[by][1:] != c[by][:-1]
+    inverse = np.empty(n, np.int64)
+    inverse[by] = np.cumsum(new) - 1
+    return by[new], inverse
+
+
 def _sample(batches: Iterator[pa.RecordBatch], every: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        c, n = _flat(batch.column("letters"))
-        if len(c):
-            yield pa.RecordBatch.from_arrays([pa.array(c[::every].view(np.int64)), pa.array(_ahead(c, n, 1)[::every].view(np.int64))], ["x", "y"])
+        for i in range(batch.num_rows):
+            c, n = _pack(batch, i)
+            if len(c):
+                x = [c, _ahead(c, n, 1), _ahead(c, n, 2)]
+                at = _distinct(x)[0][::every]
+                yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)) for v in x], ["x", "y", "z"])
 
 
-def _packed(bucket: np.ndarray, columns: list[np.ndarray], buckets: int, names: list[str]) -> pa.RecordBatch | None:
+def _sent(pack: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A pack's entries by bucket, with the numbers that they have in the pack."""
     by = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    used = np.flatnonzero(np.diff(edge))
-    if not len(used):
-        return None
-    arrays = [pa.array(used.astype(np.int32))]
-    for c in columns:
-        c = c[by]
-        arrays.append(pa.array([c[edge[b] : edge[b + 1]].tobytes() for b in used], pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", *names])
+    bucket = bucket[by]
+    edge = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)]), len(bucket))
+    arrays = {k: c[by] for k, c in {**columns, "number": np.arange(len(bucket), dtype=np.int32)}.items()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(np.full(len(edge) - 1, pack, np.int64)), *(pa.array([c[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])], pa.binary()) for c in arrays.values())],
+        ["bucket", "pack", *arrays],
+    )
+
+
+def _kind(*names: str) -> str:
+    return ", ".join(["bucket int", "pack long", *(f"{n} binary" for n in (*names, "number"))])
 
 
 def _unpack(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
 
 
-def _places(n: np.ndarray) -> np.ndarray:
-    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+_BACK = "pack long, number binary, value binary, other binary"
 
 
-def _triples(batches: Iterator[pa.RecordBatch], ranges: _Ranges) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        c, n = _flat(batch.column("letters"))
-        sid, place = np.repeat(batch.column("sid").to_numpy(), n), _places(n)
-        y, z = _ahead(c, n, 1), _ahead(c, n, 2)
-        at = np.flatnonzero(place % 3)
-        out = _packed(ranges.of(c[at], y[at]), [c[at], y[at], z[at], sid[at], place[at].astype(np.int32)], len(ranges.x) + 1, ["x", "y", "z", "sid", "place"])
-        if out is not None:
-            yield out
+def _back(table: pa.Table, values: np.ndarray, other: np.ndarray | None = None) -> pa.Table:
+    """Values of a bucket's entries, in their order, as they go back to their packs."""
+    count = np.cumsum([0] + [len(x) // 4 for x in table.column("number").to_pylist()])
+    cut = lambda v: pa.array([v[a:z].tobytes() for a, z in zip(count[:-1], count[1:])], pa.binary())
+    return pa.table({"pack": table.column("pack"), "number": table.column("number"), "value": cut(values), "other": cut(other) if other is not None else pa.nulls(table.num_rows, pa.binary())})
+
+
+def _returned(table: pa.Table) -> pa.Table:
+    """All values of one pack, by number."""
+    number = _unpack(table, "number", np.int32)
+    out = []
+    for name in ("value", "other"):
+        if table.column(name)[0].as_py() is None:
+            out.append(None)
+            continue
+        v = _unpack(table, name, np.int64)
+        full = np.empty(len(v), np.int64)
+        full[number] = v
+        out.append(full.tobytes())
+    return pa.table({"pack": pa.array([table.column("pack")[0].as_py()], pa.int64()), "value": pa.array([out[0]], pa.binary()), "other": pa.array([out[1]], pa.binary())})
 
 
-def _back(sid: np.ndarray, place: np.ndarray, value: np.ndarray, buckets: int) -> pa.Table:
-    """Values on their way back to the strings that they belong to."""
-    by = np.lexsort((place, sid))
-    sid, place, value = sid[by], place[by], value[by]
-    out = _packed((mix(sid.view(U)) % U(buckets)).astype(np.int64), [sid, place, value], buckets, ["sid", "place", "value"])
-    kind = pa.schema([("bucket", pa.int32()), ("sid", pa.binary()), ("place", pa.binary()), ("value", pa.binary())])
-    return pa.Table.from_batches([out]) if out is not None else kind.empty_table()
+def _home(back: DataFrame) -> DataFrame:
+    return back.groupBy("pack").applyInArrow(_returned, "pack long, value binary, other binary")
 
 
-_BACK = "bucket int, sid binary, place binary, value binary"
+def _sampled(c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places 1 and 2 modulo 3, and their triples."""
+    at = np.flatnonzero(_places(n) % 3)
+    return at, [c[at], _ahead(c, n, 1)[at], _ahead(c, n, 2)[at]]
 
 
-def _names(table: pa.Table, buckets: int) -> pa.Table:
+def _triples(batches: Iterator[pa.RecordBatch], ranges: _Ranges) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, pack in enumerate(batch.column("pack").to_pylist()):
+            _, x = _sampled(*_pack(batch, i))
+            first, _ = _distinct(x)
+            x = [v[first] for v in x]
+            yield _sent(pack, ranges.of(*x), dict(zip("xyz", x)))
+
+
+def _names(table: pa.Table) -> pa.Table:
     """Names of sorted triples: the range's number, then the rank in it."""
-    x, y, z = (_unpack(table, k, U) for k in "xyz")
-    sid, place = _unpack(table, "sid", np.int64), _unpack(table, "place", np.int32)
-    by = np.lexsort((z, y, x))
-    x, y, z = x[by], y[by], z[by]
-    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])]
-    name = (U(table.column("bucket")[0].as_py() + 1) << U(40)) | np.cumsum(new).astype(U)
-    return _back(sid[by], place[by], name, buckets)
-
-
-def _assemble(table: pa.Table, children: bool) -> pa.Table:
-    """Values in order of place: one string per sid, or two (places 1 and 2 modulo 3) under the sids of the next level."""
-    sid, place, value = _unpack(table, "sid", np.int64), _unpack(table, "place", np.int32), _unpack(table, "value", U)
-    if children:
-        sid = sid * 2 + (place % 3 - 1)
-    by = np.lexsort((place, sid))
-    sid, value = sid[by], value[by]
-    first = np.append(np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]]), len(sid))
-    return pa.table({"sid": sid[first[:-1]], "letters": pa.array([value[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())})
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch], ranges: _Ranges, size: int) -> Iterator[pa.RecordBatch]:
-    """Every suffix with its first two letters and the ranks of what follows; with ``size``, the hash of its first words too."""
+    columns = [_unpack(table, k, U) for k in "zyx"]
+    _, rank = _distinct(columns)
+    return _back(table, (U(table.column("bucket")[0].as_py() + 1) << U(40)) | (rank + 1).astype(U))
+
+
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each string two: the names at places 1 and those at places 2 modulo 3."""
     for batch in batches:
-        c, n = _flat(batch.column("letters"))
-        place = _places(n)
-        rank = np.zeros(len(c), U)
-        for k, name in ((1, "r1"), (2, "r2")):
-            column = batch.column(name)
-            rank[place % 3 == k] = np.concatenate([np.zeros(0, U), *(np.frombuffer(x, U) for x in column.to_pylist() if x is not None)])
-        y, one, two = _ahead(c, n, 1), _ahead(rank, n, 1), _ahead(rank, n, 2)
-        kind = place % 3
-        own = np.where(kind == 0, one, rank)  # rank of the next suffix, or of the suffix itself
-        other = np.where(kind == 1, one, two)
-        columns, names = [c, y, own, other, place.astype(np.int32)], ["x", "y", "own", "other", "place"]
-        if size:
-            start = np.zeros(len(c), U)
-            ptr = np.concatenate([[0], np.cumsum(n)])
-            h = window_hash(c, size)
-            ok = np.flatnonzero(whole(ptr, size))
-            start[ok] = h[ok] | U(1)
-            doc = np.repeat(batch.column("doc_id").to_numpy(), n)
-            word = place + np.repeat(batch.column("first").to_numpy(), n)
-            columns, names = [*columns, start, doc, word.astype(np.int32)], [*names, "start", "doc", "word"]
-        else:
-            columns, names = [*columns, np.repeat(batch.column("sid").to_numpy(), n)], [*names, "sid"]
-        out = _packed(ranges.of(c, y), columns, len(ranges.x) + 1, names)
-        if out is not None:
-            yield out
+        for i, pack in enumerate(batch.column("pack").to_pylist()):
+            c, n = _pack(batch, i)
+            at, x = _sampled(c, n)
+            value = batch.column("value")[i].as_py()
+            name = np.frombuffer(value, U)[_distinct(x)[1]] if value is not None else c[:0]
+            place, string = _places(n), np.repeat(np.arange(len(n)), n)
+            by = np.lexsort((place[at], place[at] % 3, string[at]))
+            lengths = np.column_stack([(n + 1) // 3, n // 3]).reshape(-1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([name[by].tobytes()]), pa.array([lengths.tobytes()])], ["pack", "letters", "lengths"])
+
+
+def _tuples(c: np.ndarray, n: np.ndarray, below: np.ndarray) -> list[np.ndarray]:
+    """What decides each suffix's place: its first letters, the ranks of sampled suffixes in it, and which these are."""
+    place = _places(n)
+    rank = np.zeros(len(c), U)
+    string = np.repeat(np.arange(len(n)), n)
+    start = np.concatenate([[0], np.cumsum(np.column_stack([(n + 1) // 3, n // 3]).reshape(-1))])
+    at = np.flatnonzero(place % 3)
+    rank[at] = below[start[2 * string[at] + place[at] % 3 - 1] + place[at] // 3]
+    y, one, two = _ahead(c, n, 1), _ahead(rank, n, 1), _ahead(rank, n, 2)
+    kind = place % 3
+    own = np.where(kind == 0, one, rank)  # rank of the next suffix, or of the suffix itself
+    other = np.where(kind == 1, one, two)
+    return [c, y, own, other, kind.astype(U)]
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], ranges: _Ranges) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, pack in enumerate(batch.column("pack").to_pylist()):
+            c, n = _pack(batch, i)
+            columns = _tuples(c, n, np.frombuffer(batch.column("ranks")[i].as_py(), U))
+            first, _ = _distinct(columns)
+            yield _sent(pack, ranges.of(c[first], columns[1][first], _ahead(c, n, 2)[first]), {k: v[first] for k, v in zip(("x", "y", "own", "rest", "kind"), columns)})
 
 
 def _merged(x: np.ndarray, y: np.ndarray, own: np.ndarray, other: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -258,67 +325,120 @@ def _merged(x: np.ndarray, y: np.ndarray, own: np.ndarray, other: np.ndarray, ki
     return order
 
 
-def _ranks(table: pa.Table, buckets: int) -> pa.Table:
-    x, y, own, other = (_unpack(table, k, U) for k in ("x", "y", "own", "other"))
-    place, sid = _unpack(table, "place", np.int32), _unpack(table, "sid", np.int64)
-    order = _merged(x, y, own, other, place % 3)
-    rank = (U(table.column("bucket")[0].as_py() + 1) << U(40)) | np.arange(1, len(order) + 1, dtype=U)
-    return _back(sid[order], place[order], rank, buckets)
+def _order_of(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    columns = [_unpack(table, k, U) for k in ("x", "y", "own", "rest", "kind")]
+    return _merged(*columns), columns
+
+
+def _ranks(table: pa.Table) -> pa.Table:
+    """Ranks in the merged order; entries of several packs that are equal in all that decides share one."""
+    order, columns = _order_of(table)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k, c in enumerate(columns):
+        if k != 3:  # ``rest`` follows from the others
+            new[1:] |= c[order][1:] != c[order][:-1]
+    rank = np.empty(len(order), U)
+    rank[order] = (U(table.column("bucket")[0].as_py() + 1) << U(40)) | np.cumsum(new).astype(U)
+    return _back(table, rank)
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks of all suffixes of a pack, letter by letter."""
+    for batch in batches:
+        for i, pack in enumerate(batch.column("pack").to_pylist()):
+            c, n = _pack(batch, i)
+            _, inverse = _distinct(_tuples(c, n, np.frombuffer(batch.column("ranks")[i].as_py(), U)))
+            value = batch.column("value")[i].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([np.frombuffer(value, U)[inverse].tobytes() if value is not None else b""])], ["pack", "ranks"])
+
+
+def _starts(batch: pa.RecordBatch, i: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places from which ``size`` words lie in one string: the words' hash, document and word number."""
+    c, n = _pack(batch, i)
+    h = window_hash(c, size)
+    at = np.flatnonzero(whole(np.concatenate([[0], np.cumsum(n)]), size))
+    doc = np.repeat(np.frombuffer(batch.column("docs")[i].as_py(), np.int64), n)[at]
+    word = (_places(n) + np.repeat(np.frombuffer(batch.column("firsts")[i].as_py(), np.int32), n))[at]
+    return at, h[at], doc, word
+
+
+def _passages(batches: Iterator[pa.RecordBatch], ranges: _Ranges, size: int) -> Iterator[pa.RecordBatch]:
+    """A pack's passages of ``size`` words, each once, with one of its suffixes and the least and greatest document that has it."""
+    for batch in batches:
+        for i, pack in enumerate(batch.column("pack").to_pylist()):
+            c, n = _pack(batch, i)
+            at, h, doc, _ = _starts(batch, i, size)
+            first, inverse = _distinct([h])
+            least, most = np.full(len(first), 2**63 - 1), np.full(len(first), -(2**63))
+            np.minimum.at(least, inverse, doc)
+            np.maximum.at(most, inverse, doc)
+            chosen = at[first]
+            columns = [v[chosen] for v in _tuples(c, n, np.frombuffer(batch.column("ranks")[i].as_py(), U))]
+            yield _sent(pack, ranges.of(columns[0], columns[1], _ahead(c, n, 2)[chosen]), {**dict(zip(("x", "y", "own", "rest", "kind"), columns)), "start": h[first], "least": least, "most": most})
 
 
 def _neighbours(table: pa.Table) -> pa.Table:
-    """Places whose first words equal a neighbour's, if more than one document has them; ``cut``: not in the least of these documents."""
-    x, y, own, other = (_unpack(table, k, U) for k in ("x", "y", "own", "other"))
-    order = _merged(x, y, own, other, _unpack(table, "place", np.int32) % 3)
-    start, doc, word = _unpack(table, "start", U)[order], _unpack(table, "doc", np.int64)[order], _unpack(table, "word", np.int32)[order]
-    full = np.flatnonzero(start)
-    start, doc, word = start[full], doc[full], word[full]
-    first = np.flatnonzero(np.r_[True, start[1:] != start[:-1]]) if len(start) else np.zeros(0, np.int64)
+    """Passages that equal their neighbours in the array: the least and greatest document of all that are equal."""
+    order, _ = _order_of(table)
+    start, least, most = _unpack(table, "start", U)[order], _unpack(table, "least", np.int64)[order], _unpack(table, "most", np.int64)[order]
+    first = np.flatnonzero(np.r_[True, start[1:] != start[:-1]][: len(start)])
     size = np.diff(np.append(first, len(start)))
-    least = np.repeat(np.minimum.reduceat(doc, first), size) if len(first) else doc
-    most = np.repeat(np.maximum.reduceat(doc, first), size) if len(first) else doc
-    found = least != most
-    doc, word, cut = doc[found], word[found], doc[found] != least[found]
-    by = np.lexsort((word, doc))
-    doc, word, cut = doc[by], word[by], cut[by]
-    # runs of places in a row travel as one
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] > word[:-1] + 1) | (cut[1:] != cut[:-1])][: len(doc)]
-    at = np.append(np.flatnonzero(new), len(doc))
-    return pa.table({"doc_id": doc[at[:-1]], "first": word[at[:-1]], "last": word[at[1:] - 1], "cut": cut[at[:-1]]})
-
-
-def _array(text: DataFrame, tables: Tables, size: int, buckets: int) -> DataFrame:
+    low, high = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    low[order] = np.repeat(np.minimum.reduceat(least, first), size)
+    high[order] = np.repeat(np.maximum.reduceat(most, first), size)
+    return _back(table, low, high)
+
+
+def _found(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of places whose passages more than one document has; ``cut``: not in the least of these documents."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            if batch.column("value")[i].as_py() is None:
+                continue
+            _, h, doc, word = _starts(batch, i, size)
+            _, inverse = _distinct([h])
+            least, most = (np.frombuffer(batch.column(k)[i].as_py(), np.int64)[inverse] for k in ("value", "other"))
+            found = least != most
+            doc, word, cut = doc[found], word[found], doc[found] != least[found]
+            by = np.lexsort((word, doc))
+            doc, word, cut = doc[by], word[by], cut[by]
+            # runs of places in a row travel as one
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] > word[:-1] + 1) | (cut[1:] != cut[:-1])][: len(doc)]
+            at = np.append(np.flatnonzero(new), len(doc))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at[:-1]]), pa.array(word[at[:-1]].astype(np.int32)), pa.array(word[at[1:] - 1].astype(np.int32)), pa.array(cut[at[:-1]])], ["doc_id", "first", "last", "cut"])
+
+
+def _array(text: DataFrame, tables: Tables, size: int, partitions: int) -> DataFrame:
     """Runs of places (doc_id, first, last, cut) at which passages begin that other documents hold too."""
     spark = text.sparkSession
-    kinds = ["x binary", "y binary"]
-    levels = [text]
-    ranges = []
+    levels, ranges = [text], []
     k, stands = 0, 1  # words that a letter of this level stands for
     while stands < size:
-        s = levels[k]
-        total = (s.agg(F.sum(F.length("letters"))).first()[0] or 0) // 8
-        every = max(61, total // (400 * buckets))
-        rows = s.select("letters").mapInArrow(lambda b, every=every: _sample(b, every), "x long, y long").collect()
-        r = _Ranges(rows, buckets)
-        ranges.append(spark.sparkContext.broadcast(r))
-        triples = s.select("sid", "letters").mapInArrow(lambda b, r=ranges[k]: _triples(b, r.value), f"bucket int, {', '.join(kinds)}, z binary, sid binary, place binary")
-        named = triples.groupBy("bucket").applyInArrow(lambda t: _names(t, buckets), _BACK)
-        levels.append(tables.write(f"level{k + 1}", named.groupBy("bucket").applyInArrow(lambda t: _assemble(t, True), "sid long, letters binary")))
+        level = levels[k]
+        total = (level.agg(F.sum(F.length("letters"))).first()[0] or 0) // 8
+        buckets = int(max(partitions, total // RANGE))
+        rows = level.mapInArrow(lambda b, every=max(61, total // (400 * buckets)): _sample(b, every), "x long, y long, z long").collect()
+        r = spark.sparkContext.broadcast(_Ranges(rows, buckets))
+        ranges.append(r)
+        named = level.select("pack", "letters", "lengths").mapInArrow(lambda b, r=r: _triples(b, r.value), _kind("x", "y", "z")).groupBy("bucket").applyInArrow(_names, _BACK)
+        both = level.select("pack", "letters", "lengths").join(_home(named), "pack", "left")
+        levels.append(tables.write(f"level{k + 1}", both.mapInArrow(_children, "pack long, letters binary, lengths binary")))
         tables.tidy()
         k, stands = k + 1, 3 * stands
-    ranks = levels[k]
+    ranks = levels[k].select("pack", F.col("letters").alias("ranks"))
+    entry = ("x", "y", "own", "rest", "kind")
     for k in reversed(range(k)):
-        # a string's two children, found by its sid
-        both = ranks.groupBy(F.shiftright("sid", 1).alias("sid")).agg(F.max(F.when(F.col("sid") % 2 == 0, F.col("letters"))).alias("r1"), F.max(F.when(F.col("sid") % 2 == 1, F.col("letters"))).alias("r2"))
-        joined = levels[k].join(both, "sid", "left")
-        packed = f"bucket int, {', '.join(kinds)}, own binary, other binary, place binary"
-        own = size if k == 0 else 0
-        packed += ", start binary, doc binary, word binary" if k == 0 else ", sid binary"
-        suffixes = joined.mapInArrow(lambda b, r=ranges[k], own=own: _suffixes(b, r.value, own), packed).groupBy("bucket")
+        level = levels[k].join(ranks, "pack")
+        r = ranges[k]
         if k == 0:
-            return tables.write("runs", suffixes.applyInArrow(_neighbours, "doc_id long, first int, last int, cut boolean"))
-        ranked = suffixes.applyInArrow(lambda t: _ranks(t, buckets), _BACK)
-        ranks = tables.write(f"ranks{k}", ranked.groupBy("bucket").applyInArrow(lambda t: _assemble(t, False), "sid long, letters binary"))
+            passages = level.mapInArrow(lambda b: _passages(b, r.value, size), _kind(*entry, "start", "least", "most"))
+            home = _home(passages.groupBy("bucket").applyInArrow(_neighbours, _BACK))
+            runs = tables.write("runs", text.join(home, "pack").mapInArrow(lambda b: _found(b, size), "doc_id long, first int, last int, cut boolean"))
+            tables.drop("level1", "ranks1")
+            return runs
+        home = _home(level.mapInArrow(lambda b, r=r: _suffixes(b, r.value), _kind(*entry)).groupBy("bucket").applyInArrow(_ranks, _BACK))
+        ranks = tables.write(f"ranks{k}", level.join(home, "pack", "left").mapInArrow(_ranked, "pack long, ranks binary"))
         tables.drop(f"level{k + 1}", f"ranks{k + 1}")
         tables.tidy()
     raise AssertionError
@@ -362,12 +482,12 @@ def _runs(docs: DataFrame, size: int) -> DataFrame:
     each = left.select("doc_id", F.inline(F.arrays_zip(F.col("prints").alias("h"), F.col("places").alias("p")))).toDF("doc_id", "h", "p")
     often = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     places = tables.write("places", each.join(often, "h").groupBy("doc_id").agg(F.collect_list("p").alias("places")))
-    region = corpus.dropDuplicates(["doc_id"]).join(places, "doc_id").mapInArrow(lambda b: _regions(b, size), "doc_id long, first int, letters binary")
-    strings_ = tables.write("level0", region.withColumn("sid", F.monotonically_increasing_id()))
+    region = corpus.dropDuplicates(["doc_id"]).join(places, "doc_id").select("text", "doc_id", "places")
+    strings_ = tables.write("level0", region.mapInArrow(lambda b: _packs(b, size), "pack long, letters binary, lengths binary, docs binary, firsts binary"))
     tables.drop("prints", "places")
     tables.tidy()
     runs = _array(strings_, tables, size, buckets)
-    tables.drop("level0", "level1", "ranks1")
+    tables.drop("level0")
     tables.tidy()
     # equal documents: each repeats from its first to its last place, and all but the least are cut
     same = one.select("doc_id", F.lit(0).alias("first"), (F.col("n_words") - size).alias("last"), (F.col("doc_id") != F.col("rep")).alias("cut"))
