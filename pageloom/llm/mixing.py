@@ -26,7 +26,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     """One row per source: tokens, weight (they sum to 1 over all sources) and rate = budget * weight / tokens.
 
     ``budget`` is the number of tokens wanted in all, by default as many as there are. A source without tokens, or one
-    that ``weights`` doesn't name, has rate 0. The null source is a source like any other (named by None in weights).
+    that ``weights`` doesn't name, has rate 0. The null source is a source like any other (named by None in weights). Null and empty texts have no
+    tokens, repeated rows count each, long texts are read whole; other columns than source and text are not read, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     per = docs.groupBy("source").agg(F.sum(tokens(F.col("text"))).alias("tokens"))
