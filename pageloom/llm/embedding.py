@@ -5,9 +5,9 @@ the result lies nearest to, with its sign. ``k`` functions make a table's bucket
 query looks into that bucket and into those where one function takes its second nearest axis. ``k`` follows from the number of vectors, so
 that buckets stay small however many there are; the number of tables follows from the measured chance that a pair at the threshold meets in one.
 
-Equal vectors are one, and vectors that are read together and lie within ``RADIUS`` of a pivot are its family. All vectors are hashed, but buckets
-hold families: a large group of near copies is a few entries of each. Angles between pivots settle most pairs of members, the rest are
-computed one by one.
+Equal vectors are one, and vectors that are read together and lie within ``RADIUS`` of a pivot are its family; pivots that share a bucket are brought together
+and form families again, which take their members along. All vectors are hashed, but buckets hold families: a large group of near copies is a few
+entries of each. Angles between pivots settle most pairs of members, the rest are computed one by one.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pageloom.llm.tokens import mix
 THRESHOLD = 0.9
 #: Chance that a pair at the threshold is missed by all tables.
 MISS = 0.002
-#: A member's angle from its pivot, as a share of the threshold's; below a half all members of a family are linked.
-RADIUS = 0.3
+#: A member's angle from its pivot, and a pivot's from the one that takes its members, as a share of the threshold's: together less than a half,
+#: so that all members of a family are linked.
+RADIUS = 0.24
 #: Vectors among which a task forms families at a time.
 ROUND = 2048
 #: Angles are counted in these parts of a radian, rounded up where they are members'.
@@ -126,6 +127,19 @@ def _width(d: int) -> int:
 _OWN = "id long, whole long, family long, distance int, unit array<double>"
 
 
+def _greedy(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit vector's pivot (the first one not taken that lies within the radius), and its angle from it in parts of a radian, rounded up."""
+    cosine = x @ x.T
+    pivot, taken = np.arange(len(x)), np.zeros(len(x), bool)
+    for i in range(len(x)):
+        if not taken[i]:
+            near = np.flatnonzero((cosine[i, i + 1 :] >= np.cos(radius)) & ~taken[i + 1 :]) + i + 1
+            taken[near] = True
+            pivot[near] = i
+    angle = np.arccos(np.clip(cosine[np.arange(len(x)), pivot], -1, 1))
+    return pivot, np.where(pivot == np.arange(len(x)), 0, np.ceil(angle * _PART + 1e-3)).astype(np.int32)
+
+
 def _families(batches: Iterator[pa.RecordBatch], radius: float) -> Iterator[pa.RecordBatch]:
     """Each vector with its identity, its pivot's, and its angle from it; vectors that can't be compared without."""
     for batch in batches:
@@ -137,23 +151,36 @@ def _families(batches: Iterator[pa.RecordBatch], radius: float) -> Iterator[pa.R
             for rows, x in _vectors(part.column("v")):
                 known[rows] = True
                 own = np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in x], np.uint64).view(np.int64)
-                cosine = x @ x.T
-                pivot = np.arange(len(x))
-                taken = np.zeros(len(x), bool)
-                for i in range(len(x)):
-                    if not taken[i]:
-                        near = np.flatnonzero((cosine[i, i + 1 :] >= np.cos(radius)) & ~taken[i + 1 :]) + i + 1
-                        taken[near] = True
-                        pivot[near] = i
-                angle = np.arccos(np.clip(cosine[np.arange(len(x)), pivot], -1, 1))
+                pivot, distance[rows] = _greedy(x, radius)
                 whole[rows], family[rows] = own, own[pivot]
-                distance[rows] = np.where(own == own[pivot], 1, np.ceil(angle * _PART + 1e-3))  # 1: what lies on the threshold is left open
                 for r, v in zip(rows.tolist(), x):
                     units[r] = v
             arrays = [pa.array(v, mask=~known) for v in (whole, family, distance)]
             yield pa.RecordBatch.from_arrays([part.column("id"), *arrays, pa.array(units, pa.list_(pa.float64()))], ["id", "whole", "family", "distance", "unit"])
 
 
+def _coarse(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Pivots with the bucket of one table."""
+    for batch in batches:
+        key = np.zeros(batch.num_rows, np.int64)
+        for rows, x in _vectors(batch.column("unit")):
+            wide = np.zeros((len(x), _width(x.shape[1])), np.float32)
+            wide[:, : x.shape[1]] = x
+            key[rows] = next(buckets(wide, k, 1, x.shape[1]))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("whole"), batch.column("unit")], ["bucket", "whole", "unit"])
+
+
+def _tops(batches: Iterator[pa.RecordBatch], radius: float) -> Iterator[pa.RecordBatch]:
+    """Pivots, in order of bucket, and those that take their members."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROUND):
+            part = batch.slice(at, ROUND)
+            ids = part.column("whole").to_numpy()
+            for rows, x in _vectors(part.column("unit")):
+                pivot, distance = _greedy(x, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(ids[rows][pivot]), pa.array(distance)], ["family", "top", "more"])
+
+
 def _hash(batches: Iterator[pa.RecordBatch], k: int, threshold: float, miss: float) -> Iterator[pa.RecordBatch]:
     """Buckets of each batch's families, without repetition: those that a member is stored in, and those that one looks into."""
     for batch in batches:
@@ -207,7 +234,11 @@ def near(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", thr
     if not facts["n"]:
         return own.select(key, F.col(key).alias("class_id"), F.lit(0).cast("long").alias("links"))
     k = max(1, int(np.ceil(np.log(max(2, facts["n"])) / np.log(2 * _width(facts["d"])))))
-    one = every.where("whole is not null").groupBy("whole").agg(F.min(F.struct("distance", "family")).alias("m"), F.count("*").alias("docs"), F.min("id").alias("least"), F.first("unit").alias("unit"))
+    pivots = every.where("whole = family").groupBy(F.col("whole")).agg(F.first("unit").alias("unit")).mapInArrow(lambda b: _coarse(b, k), "bucket long, whole long, unit array<double>")
+    tops = tables.write("tops", pivots.repartition("bucket").sortWithinPartitions("bucket", "whole").mapInArrow(lambda b: _tops(b, radius), "family long, top long, more int"))
+    # 1 at least: what lies on the threshold is left open
+    taken = every.where("whole is not null").join(tops, "family").select("id", "whole", "unit", F.col("top").alias("family"), F.greatest(F.col("distance") + F.col("more"), F.lit(1)).alias("distance"))
+    one = taken.groupBy("whole").agg(F.min(F.struct("distance", "family")).alias("m"), F.count("*").alias("docs"), F.min("id").alias("least"), F.first("unit").alias("unit"))
     sets_ = tables.write("sets", one.select("whole", F.lit(0).alias("size"), "m.family", "m.distance", "docs", "least", "unit"))
     units = sets_.select("whole", F.col("unit").alias("value"))
     # one exchange: the families stored in a bucket against those that look into it
