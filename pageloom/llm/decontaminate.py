@@ -25,7 +25,7 @@ LEAST_WORDS = 8
 #: Matches that are extended at a time.
 PAIRS = 2_000_000
 #: Words in one shard's suffix array.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
 #: Characters of benchmark text that travel to the executors at once; a larger benchmark takes several passes.
 CHUNK_CHARS = 32 << 20
 

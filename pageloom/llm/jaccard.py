@@ -39,7 +39,7 @@ COUNTED = 4_000_000
 #: N-grams that the prefixes of a pair must share.
 SHARED = 6
 #: N-grams of the sets among which a task forms families at a time.
-ROUND = 1_500_000
+ROUND = 1_000_000
 #: Postings of one n-gram in one block; a longer list is split into blocks that meet pairwise.
 HOT = 20_000
 #: Bits of the filter that says which sets are fetched; what passes it by chance is dropped by the join.
@@ -101,16 +101,23 @@ def whole_of(s: np.ndarray) -> int:
 def _outline(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Per document its set's identity, size (0 without words) and bitmap; now and then also (with doc_id null) the words met three times or more,
     and (with bits empty) such n-grams."""
-    told = ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
+    held: list[np.ndarray] = []
+    met: list[tuple[np.ndarray, np.ndarray]] = []  # words of each batch with their counts
     count = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for values, mark in zip(told, (None, b"")):
-            h, n_ = _counted(np.concatenate(values), 3)
+        for mark in (None, b""):
+            if mark is None:
+                h, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(h for h, _ in met)]), return_inverse=True)
+                n_ = np.bincount(at, np.concatenate([np.zeros(0), *(n_ for _, n_ in met)]), len(h)).astype(np.int64)
+                h, n_ = h[n_ >= 3], n_[n_ >= 3]
+                met.clear()
+            else:
+                h, n_ = _counted(np.concatenate([np.zeros(0, np.uint64), *held]), 3)
+                held.clear()
             for a in range(0, len(h), 100_000):
                 k = len(h[a : a + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(h[a : a + k]), pa.array(n_[a : a + k].astype(np.int32)), pa.array([mark] * k, pa.binary())], ["doc_id", "whole", "size", "bits"])
-            del values[1:]
 
     for batch in pieces(batches):
         column = strings(batch.column("text"))
@@ -119,9 +126,9 @@ def _outline(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
             whole.append(whole_of(s) if len(s) else 0)
             size.append(len(s))
             bits.append(_bitmap(s) if len(s) else None)
-            told[1].append(s)
+            held.append(s)
             count += len(s)
-        told[0].extend(words(column.slice(a, z - a)).hash for a, z in steps(column))
+        met.extend(_counted(words(column.slice(a, z - a)).hash, 1) for a, z in steps(column))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(whole, np.int64)), pa.array(np.array(size, np.int32)), pa.array(bits, pa.binary())], ["doc_id", "whole", "size", "bits"])
         if count >= COUNTED:
             yield from flush()
@@ -130,8 +137,9 @@ def _outline(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
 
 
 def _counted(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The values that occur so many times or more, and their counts."""
-    every = np.sort(values)
+    """The values that occur so many times or more, and their counts; an array of its own is sorted in place."""
+    every = values if values.flags.writeable and values.base is None else values.copy()
+    every.sort()
     first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
     count = np.diff(np.append(first, len(every)))
     return every[first[count >= least]].view(np.int64), count[count >= least]

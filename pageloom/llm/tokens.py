@@ -105,6 +105,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
     for batch in batches:
         for a, z in steps(strings(batch.column(text)), most):
             yield batch.slice(a, z - a)
+        pa.default_memory_pool().release_unused()  # the next batch may take it from elsewhere
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
