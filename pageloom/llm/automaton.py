@@ -269,7 +269,7 @@ def joined(one: Automaton, two: Automaton, most_states: int) -> Automaton | None
         at.append((new, to))
         new = np.setdiff1d(to.reshape(-1), known)
         known = np.union1d(known, new)
-        if len(known) > 4 * most_states:
+        if len(known) > most_states:  # products of minimal automata hardly shrink
             return None
     table = np.empty((len(known), len(names)), np.int64)
     for states, to in at:
