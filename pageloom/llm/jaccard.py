@@ -6,7 +6,8 @@
 3. Pairs of families come from lists of prefix n-grams. A list is ordered by the overlap that its sets need at least; each posting's position in its
    set says up to which need a partner can still reach the threshold, so all of the list behind that is skipped as one block. Prefixes are so
    long that a pair shares ``SHARED`` n-grams of them, or all that it needs; pairs that share fewer are dropped before anything else is fetched. A
-   bitmap of each set's parities bounds the difference of the pairs left; those that pass are verified on the whole sets.
+   bitmap of each set's parities bounds the difference of the pairs left; those that pass are verified on the whole sets. Pairs whose sets lie
+   together are verified together, so that a set travels once for all of them.
 4. Members' answers are derived from their pivots': the distance of two members lies within their distances from their pivots of the pivots'
    distance. Most answers are settled by this, for all members of the same size and distance at once; the others are verified on the whole sets.
    Members of one family are so near to their pivot that all of them are answers of each other.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ HOT = 20_000
 FILTER_BITS = 26
 #: Postings in one bucket, about.
 BUCKET = 3_000_000
+#: Bytes of sets, and pairs, that are verified together; a home with more is split into blocks.
+TOGETHER, PAIRS = 16 << 20, 20_000
 #: Needs are counted in eighths of an n-gram, rounded down.
 _PART = 8
 
@@ -371,12 +375,17 @@ def _candidates(table: pa.Table, buckets: int) -> pa.Table:
     return pa.table({"a": names[i], "b": names[j], "shared": times.astype(np.int32), "must": must.astype(np.int32)})
 
 
+_NEAR = "a long, b long, most double, bytes_a long, bytes_b long"
+_NEAR_NAMES = [f.split()[0] for f in _NEAR.split(", ")]
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bitmaps leave the distance ``most`` within reach."""
+    """Pairs whose bitmaps leave the distance ``most`` within reach, with upper bounds of the bytes of either set."""
     for batch in batches:
-        most = batch.column("most").to_pylist()
-        ok = [_apart(p, q) <= m for p, q, m in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), most)]
-        yield batch.select(["a", "b", "most"]).filter(pa.array(ok, pa.bool_()))
+        left, right = batch.column("pa").to_pylist(), batch.column("pb").to_pylist()
+        ok = [_apart(p, q) <= m for p, q, m in zip(left, right, batch.column("most").to_pylist())]
+        size = [pa.array([32 * len(x) for x in side], pa.int64()) for side in (left, right)]  # a byte of the bitmap stands for four n-grams at most
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("a", "b", "most")), *size], _NEAR_NAMES).filter(pa.array(ok, pa.bool_()))
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], n: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -394,17 +403,34 @@ def _chosen(batches: Iterator[pa.RecordBatch], n: int, bits: np.ndarray) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.binary())], ["whole", "grams"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distances (n-grams that only one of two sets has), where they are at most ``most``."""
-    for batch in batches:
-        values = []
-        for p, q in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist()):
-            x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = np.sort(np.concatenate([x, y]))
-            values.append(len(both) - 2 * int((both[1:] == both[:-1]).sum()))
-        v = np.array(values, np.int32)
-        ok = pa.array(v <= batch.column("most").to_numpy())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(v).filter(ok)], ["a", "b", "apart"])
+def _verify(table: pa.Table) -> pa.Table:
+    """Distances (n-grams that only one of two sets has) of the pairs of one bucket, where they are at most ``most``; its sets have no ``b``."""
+    own = pc.is_null(table.column("b"))
+    have, pairs = table.filter(own), table.filter(pc.invert(own))
+    grams = {w: np.frombuffer(g.as_buffer(), np.uint64) for w, g in zip(have.column("a").to_pylist(), have.column("grams"))}
+    values = np.zeros(len(pairs), np.int32)
+    for i, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
+        both = np.sort(np.concatenate([grams[a], grams[b]]))
+        values[i] = len(both) - 2 * int((both[1:] == both[:-1]).sum())
+    return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "apart": values}).filter(pa.array(values <= pairs.column("most").to_numpy()))
+
+
+def _placed(near: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The pairs with the bucket that each is verified in. A pair's home is the least set that either of its two is paired with, so the pairs of sets
+    that lie together share one, and a set is sent once to each home and not with each pair; large homes are split into blocks as long lists are."""
+    ends = near.select("a", "b").unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    home = ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("whole"), F.least("a", "b").alias("value"))
+    placed = tables.write(f"{name}_homes", two(near, home).select(*_NEAR_NAMES, F.least("pa", "pb").alias("home")))
+    sides = [placed.select("home", F.col(x).alias("whole"), F.col(f"bytes_{x}").alias("bytes")) for x in "ab"]
+    each = sides[0].unionAll(sides[1]).groupBy("home", "whole").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"))
+    load = tables.write(f"{name}_load", each.groupBy("home").agg(F.sum("bytes").alias("bytes"), (F.sum("n") / 2).alias("n")))
+    parts = F.greatest(F.ceil(F.lit(2.0) * F.col("bytes") / TOGETHER), F.ceil(F.sqrt(2 * F.col("n") / PAIRS)))
+    large = load.where((F.col("bytes") > TOGETHER) | (F.col("n") > PAIRS)).select("home", parts.alias("parts"))
+    partitions = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * partitions, -(-int(load.agg(F.sum("bytes")).first()[0] or 0) // TOGETHER))
+    block = [F.pmod(F.xxhash64(x), F.coalesce("parts", F.lit(1))) for x in "ab"]
+    at = F.pmod(F.xxhash64("home", F.least(*block), F.greatest(*block)), F.lit(buckets)).cast("int")
+    return placed.join(large, "home", "left").select("a", "b", "most", at.alias("bucket"))
 
 
 def _fetch(corpus: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
@@ -419,13 +445,20 @@ def _fetch(corpus: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     return corpus.mapInArrow(lambda b: _chosen(b, n, sent.value), "whole long, grams binary").groupBy("whole").agg(F.first("grams").alias("grams"))
 
 
-def _apart_of(pairs: DataFrame, facts: DataFrame, corpus: DataFrame, n: int, tables: Tables, name: str) -> DataFrame:
-    """(a, b, apart) of the pairs of sets (a, b, most) whose distance is at most ``most``: bitmaps first, then the sets."""
-    left = tables.write(f"{name}_near", two(pairs, facts.select("whole", F.col("bits").alias("value"))).mapInArrow(_near, "a long, b long, most double"))
+def _apart_of(pairs: DataFrame, facts: DataFrame, corpus: DataFrame, n: int, tables: Tables, name: str, *source: str) -> DataFrame:
+    """(a, b, apart) of the pairs of sets (a, b, most) whose distance is at most ``most``: bitmaps first, then the sets. The tables ``source`` that the
+    pairs come from are dropped as soon as they are read."""
+    near = tables.write(f"{name}_near", two(pairs, facts.select("whole", F.col("bits").alias("value"))).mapInArrow(_near, _NEAR))
+    tables.drop(*source)
+    tables.tidy()
+    placed = tables.write(f"{name}_placed", _placed(near, tables, name))
+    tables.drop(f"{name}_near", f"{name}_homes", f"{name}_load")
     tables.tidy()
-    have = _fetch(corpus, n, left.select(F.col("a").alias("whole")).union(left.select("b")).distinct())
-    out = tables.write(name, two(left, have.withColumnRenamed("grams", "value")).mapInArrow(_verify, "a long, b long, apart int"))
-    tables.drop(f"{name}_near")
+    needed = placed.select("bucket", F.col("a").alias("whole")).unionAll(placed.select("bucket", F.col("b").alias("whole"))).distinct()
+    have = needed.join(_fetch(corpus, n, needed.select("whole")), "whole").select(F.col("whole").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("most"), "bucket", "grams")
+    every = have.unionByName(placed.withColumn("grams", F.lit(None).cast("binary")))
+    out = tables.write(name, every.groupBy("bucket").applyInArrow(_verify, "a long, b long, apart int"))
+    tables.drop(f"{name}_placed")
     tables.tidy()
     return out
 
@@ -458,8 +491,7 @@ def _base(docs: DataFrame, n: int, threshold: float, tables: Tables, hot: int =
     reach = sets_.groupBy("family").agg(F.max(F.lit(c) * F.col("size") + F.col("distance")).alias("reach"))
     pairs = met.where("must >= 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("must").alias("must")).where("shared >= must").select("a", "b")
     far = two(pairs, reach.select(F.col("family").alias("whole"), F.col("reach").alias("value"))).select("a", "b", (F.col("pa") + F.col("pb") + 1e-6).alias("most"))
-    apart = _apart_of(far, bits, corpus, n, tables, "apart")
-    tables.drop("met")
+    apart = _apart_of(far, bits, corpus, n, tables, "apart", "met")
     derived, single = members(sets_, apart, tables, c)
     single = single.select("a", "b", (F.lit(c) * (F.col("size") + F.col("other_size")) + 1e-9).alias("most"))
     verified = _apart_of(single, bits, corpus, n, tables, "verified")

@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +46,12 @@ class Tables:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def tidy(self) -> None:
-        """Lets the driver notice plans that are gone, so that their shuffle files are removed."""
+        """Lets the driver notice plans that are gone, so that their shuffle files are removed. Listeners hold a plan until they have heard of its
+        end, a little after a write returns; so this is done twice."""
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def _remove(at: str) -> None:

@@ -215,3 +215,46 @@ def test_pii_kinds_and_their_bounds(spark):
     for r in pii.scan(docs, model).collect():
         found.setdefault(r["doc_id"], set()).add((r["label"], r["value"]))
     assert [found.get(i, set()) for i in range(len(cases))] == list(cases.values()) and found[len(cases)] == {("EMAIL", "bo@site.org")}
+
+
+def copies(count, rng):
+    """Texts of one group that differ too much to be of one family, and a few that are in pairs of their own."""
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for i in range(count):
+        own = list(base)
+        for k in rng.choice(400, 22, replace=False).tolist():
+            own[k] = f"own{i}x{k}"
+        texts.append(" ".join(own))
+    return texts + [" ".join(f"p{i // 2}x{k}" for k in range(60 + i % 2)) for i in range(10)]
+
+
+def expected(texts):
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    near = [[j for j, y in enumerate(sets) if j != i and len(x & y) / len(x | y) >= jaccard.THRESHOLD] for i, x in enumerate(sets)]
+    return near, sum(8 * len(x) for x in sets)
+
+
+def test_sets_travel_once_for_all_their_pairs(spark):
+    texts = copies(120, np.random.default_rng(8))
+    near, size = expected(texts)
+    assert sum(map(len, near)) > 40 * len(texts)
+
+    def written():
+        every = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    before = written()
+    rows = jaccard.join(spark.createDataFrame(list(enumerate(texts)), KIND).coalesce(1)).collect()
+    assert {r["doc_id"]: r["links"] for r in rows} == {i: len(x) for i, x in enumerate(near)}
+    assert written() - before < 3 * size
+
+
+@pytest.mark.parametrize("together,pairs", [(20_000, 20_000), (16 << 20, 50), (1, 1)])
+def test_large_homes_are_split(spark, monkeypatch, together, pairs):
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    texts = copies(25, np.random.default_rng(9))
+    near, _ = expected(texts)
+    rows = jaccard.join(spark.createDataFrame(list(enumerate(texts)), KIND)).collect()
+    assert {r["doc_id"]: r["links"] for r in rows} == {i: len(x) for i, x in enumerate(near)}
