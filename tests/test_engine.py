@@ -1,6 +1,7 @@
 import pytest
 
 from pageloom import Page, Plan, UnsupportedSelector, check, detect_encoding, extract, extract_grouped, node_identity, resolve_label, terminals
+from pageloom.operators import tree
 from pageloom.operators.tree import decode
 
 VALUES = [
@@ -163,3 +164,26 @@ def test_arguments():
             extract("", bad)
     with pytest.raises(TypeError):
         check("p::text")
+
+
+def test_pages_of_one_shape_are_built_once(monkeypatch):
+    built = []
+    whole = tree._build
+    monkeypatch.setattr(tree, "_build", lambda text, *more: built.append(text) or whole(text, *more))
+    page = lambda k, n: f"<title>Order {k} &amp; lines</title><ul id=o{k}>" + "\n".join(f'<li id="l{i}" Class="R{k} x" data-k={k}{i} data-tax>{k + i} &lt;<b>{i}</b>' for i in range(n)) + " </ul>"
+    for k in range(300):
+        got, want = tree.parse(page(k, k % 4 + 1)), whole(page(k, k % 4 + 1), None)
+        for name in ("tag", "parent", "last", "begin", "end", "at", "child", "kind", "before", "made", "children", "owner", "value", "text_at"):
+            assert getattr(got, name) == getattr(want, name)
+        for i in range(len(want.tag)):
+            assert list(got.attributes(i).items()) == list(want.attributes(i).items())
+            assert (got.source(i), got.string(i), got.texts(i)) == (want.source(i), want.string(i), want.texts(i))
+        assert got.by_class(f"R{k}") == want.by_class(f"R{k}") and got.by_id("l1") == want.by_id("l1") and got.by_tag("b") == want.by_tag("b")
+    assert len(built) <= 8
+
+
+def test_shapes_leave_other_pages_alone():
+    for a, b in (("<p title='a>b'>x<p>y", "<p title='c>d'>z<p>y"), ("<title>a<b>c</title><p>d", "<title>e<b>f</title><p>g"), ("<script>a</b>c</script>d", "<script>e</b>f</script>g"), ("<head></head> \n a<p>b", "<head></head> \n cc<p>d"), ("<p>a < b<p>c", "<p>d < e<p>f"), ("<b a='<'>x<p>y", "<b a='<'>z<p>y")):
+        for text in (a, a, b, b, b):
+            got, want = tree.parse(text), tree._build(tree.prepare(text), None)
+            assert (got.tag, got.begin, got.end, got.value, got.owner) == (want.tag, want.begin, want.end, want.value, want.owner), text
