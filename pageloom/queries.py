@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from pageloom import cases
 from pageloom.functions import detect_encoding_column
-from pageloom.operators.relational import Relational, html_nodes, html_texts
+from pageloom.operators.relational import Nested
 from pageloom.page import Page, re_first
-from pageloom.plans.verdict import terminals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,8 +57,7 @@ def _fused(selector: str) -> Query:
 
 def _relational(selector: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = order_pages(spark, sf_dir)
-        return Relational(html_nodes(pages, source=terminals(selector) == "outer"), html_texts(pages)).values(selector).select(F.col("page").alias("page_id"), "ord", "value")
+        return Nested(order_pages(spark, sf_dir)).values(selector).select(F.col("page").alias("page_id"), "ord", "value")
 
     return run
 
@@ -137,8 +135,7 @@ def g04_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g04_many_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = order_pages(spark, sf_dir)
-    found = Relational(html_nodes(pages), html_texts(pages)).groups("li", {"part": "li::attr(data-part)", "supp": ".//b/text()", "id": "::attr(id)"})
+    found = Nested(order_pages(spark, sf_dir)).groups("li", {"part": "li::attr(data-part)", "supp": ".//b/text()", "id": "::attr(id)"})
     return found.select(F.col("page").alias("page_id"), "row", *[F.get(n, F.lit(0)).alias(n) for n in ("part", "supp", "id")])
 
 

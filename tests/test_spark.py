@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from pageloom import Page, extract, register
 from pageloom.functions import detect_encoding_column, extract_column
-from pageloom.operators.relational import Relational, html_nodes, html_texts
-from pageloom.page import re_first
+from pageloom.operators.relational import Nested, Relational, html_nodes, html_texts
+from pageloom.page import compile_schema, re_first
 from pageloom.scan import scan_source
 from pageloom.sources import corpus
 from pageloom.spec import Many, One, PageObject, field
@@ -52,6 +52,39 @@ def test_relations_agree_with_the_fused_engine(spark, pages):
                 assert [values[i] for i in range(len(values))] == extract(html, [selector])[0], (selector, page)
 
 
+def test_nested_joins_agree_with_the_fused_engine(spark, pages):
+    found = None
+    for k, selector in enumerate(SELECTORS):
+        part = Nested(pages).values(selector).withColumn("k", F.lit(k))
+        found = part if found is None else found.unionByName(part)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r["k"], r["page"]), {})[r["ord"]] = r["value"]
+    for k, selector in enumerate(SELECTORS):
+        for page, html in PAGES:
+            values = got.get((k, page), {})
+            assert [values[i] for i in range(len(values))] == (extract(html, [selector])[0] if html else []), (selector, page)
+    subs = {"n": "li::attr(data-n)", "id": ".//b/text()", "u": "::text"}
+    rows = Nested(pages).groups("li", subs).where("page = 1").orderBy("row").collect()
+    assert [[r[n] for n in subs] for r in rows] == compile_schema([], [("li", list(subs.items()))]).apply(PAGES[0][1])[1][0]
+
+
+def test_joined_queries_neither_exchange_nor_keep_nodes(spark, pages):
+    from pageloom import queries
+
+    plan = Nested(pages).values("ul > li.R + li b::text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan
+    plan = queries.QUERIES["d03_adjacent_joined"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "InMemoryTableScan" not in plan
+
+
+def test_node_rows_of_many_pages_go_together(spark, monkeypatch):
+    many = spark.range(700).selectExpr("id as page_id", "concat('<p>', id, '<b>x</b><i class=\"a b\">', id, '</i>') as html").coalesce(1)
+    sizes = html_nodes(many).mapInArrow(lambda batches: (b.select(["page"]).slice(0, 1) for b in batches), "page long").count()
+    assert sizes <= 4
+    assert html_nodes(many).where("tag = 'i' and classes = array('a', 'b')").count() == 700 and html_texts(many).where("value = 'x'").count() == 700
+
+
 def test_groups_both_ways(spark, pages):
     subs = {"n": "li::attr(data-n)", "id": ".//b/text()"}
     page = Page().many("g", "li", {k: (v, "all") for k, v in subs.items()}).one("o", "li", {"b": "b::text"}).field("t", "title::text").field_join("j", "dd::text", "+")
