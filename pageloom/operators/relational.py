@@ -289,9 +289,18 @@ class _Needs:
         self.columns, self.attributes, self.texts = {"id", "at", "parent", "last"}, {}, False
         #: Tags of elements of which the markup is asked for; None: of any.
         self.sources: set[str | None] = set()
+        #: Tags of the elements that compounds may match; "" stands for those with attributes, None for any.
+        self.tags: set[str | None] = set()
         for m in members:
             for c in m.compounds:
                 self._compound(c)
+                self._kept(c)
+                for inner in c.has.members if c.has is not None else ():
+                    self._kept(inner)
+            if m.terminal.kind == "attr" and m.terminal.subtree:
+                self.tags.add("")
+            if m.terminal.scalar:
+                self.tags.add(None)
             if ADJACENT in m.combs:
                 self.columns.add("before")
             if m.terminal.kind == "attr":
@@ -302,6 +311,9 @@ class _Needs:
                 self.columns.add("source")
                 self.sources.add(m.compounds[-1].tag)
 
+    def _kept(self, c: Compound) -> None:
+        self.tags.add(c.tag if c.tag is not None else "" if c.classes or c.ids or c.attrs else None)
+
     def _compound(self, c: Compound) -> None:
         self.columns |= {"tag"} if c.tag is not None else set()
         self.columns |= {"classes"} if c.classes else set()
@@ -313,20 +325,34 @@ class _Needs:
             self._compound(inner)
 
 
-#: A tree's nodes, by the columns of ``NODE_TYPE``.
-_COLUMNS: dict[str, tuple[T.DataType, pa.DataType, Callable[[Tree], object]]] = {
-    "id": (T.IntegerType(), pa.int32(), lambda t: range(len(t.tag))),
-    "at": (T.IntegerType(), pa.int32(), lambda t: t.at),
-    "parent": (T.IntegerType(), pa.int32(), lambda t: t.parent),
-    "last": (T.IntegerType(), pa.int32(), lambda t: t.last),
-    "before": (T.IntegerType(), pa.int32(), lambda t: t.before),
-    "child": (T.IntegerType(), pa.int32(), lambda t: t.child),
-    "children": (T.IntegerType(), pa.int32(), lambda t: [t.siblings(i, False) for i in range(len(t.tag))]),
-    "kind": (T.IntegerType(), pa.int32(), lambda t: t.kind),
-    "kinds": (T.IntegerType(), pa.int32(), lambda t: [t.siblings(i, True) for i in range(len(t.tag))]),
-    "tag": (T.StringType(), pa.string(), lambda t: t.tag),
-    "classes": (T.ArrayType(T.StringType(), False), pa.list_(pa.field("element", pa.string(), False)), lambda t: [class_names(t.attributes(i).get("class", "")) for i in range(len(t.tag))]),
+_INT = (T.IntegerType(), pa.int32())
+#: Of elements of a tree, what its shape decides, by the columns of ``NODE_TYPE``.
+_COLUMNS: dict[str, tuple[T.DataType, pa.DataType, Callable[[Tree, list[int]], list]]] = {
+    "id": (*_INT, lambda t, ids: ids),
+    "at": (*_INT, lambda t, ids: [t.at[i] for i in ids]),
+    "parent": (*_INT, lambda t, ids: [t.parent[i] for i in ids]),
+    "last": (*_INT, lambda t, ids: [t.last[i] for i in ids]),
+    "before": (*_INT, lambda t, ids: [t.before[i] for i in ids]),
+    "child": (*_INT, lambda t, ids: [t.child[i] for i in ids]),
+    "children": (*_INT, lambda t, ids: [t.siblings(i, False) for i in ids]),
+    "kind": (*_INT, lambda t, ids: [t.kind[i] for i in ids]),
+    "kinds": (*_INT, lambda t, ids: [t.siblings(i, True) for i in ids]),
+    "tag": (T.StringType(), pa.string(), lambda t, ids: [t.tag[i] for i in ids]),
 }
+_CLASSES = (T.ArrayType(T.StringType(), False), pa.list_(pa.field("element", pa.string(), False)), lambda t, ids: [class_names(t.attributes(i).get("class", "")) for i in ids])
+
+
+def _places(t: Tree, tags: frozenset[str | None], names: tuple[str, ...]) -> list[list[int]]:
+    """Ids of the elements with the tags ("": with attributes; None: all), and the columns of these names for them; kept with the tree's shape."""
+    memo = t.memo()
+    key = (tags, names)
+    if (found := memo.get(key)) is None:
+        if None in tags:
+            ids = list(range(len(t.tag)))
+        else:
+            ids = sorted({i for tag in tags if tag for i in t.by_tag(tag)} | (set(t.attributed()) if "" in tags else set()))
+        found = memo[key] = [ids, *[_COLUMNS[n][2](t, ids) for n in names]]
+    return found
 
 
 def _array(values: list[pa.Array], fields: list[pa.Field], ends: list[int]) -> pa.Array:
@@ -347,33 +373,39 @@ class Nested:
         """page and tree: the columns of its nodes, and its texts, that the members need."""
         needs = _Needs(members)
         self._names = {name: k for k, name in enumerate(needs.attributes)}
-        columns = [(n, *_COLUMNS[n]) for n in _COLUMNS if n in needs.columns]
+        tags, names = frozenset(needs.tags), tuple(n for n in _COLUMNS if n in needs.columns)
+        columns = [(n, *_COLUMNS[n]) for n in names]
+        if "classes" in needs.columns:
+            columns.append(("classes", *_CLASSES))
         for name, k in self._names.items():
-            columns.append((f"a{k}", T.StringType(), pa.string(), lambda t, name=name: [t.attributes(i).get(name) for i in range(len(t.tag))]))
+            columns.append((f"a{k}", T.StringType(), pa.string(), lambda t, ids, name=name: [t.attributes(i).get(name) for i in ids]))
             if len(self._names) > 1:
-                columns.append((f"p{k}", T.IntegerType(), pa.int32(), lambda t, name=name: [list(own).index(name) if name in (own := t.attributes(i)) else None for i in range(len(t.tag))]))
+                columns.append((f"p{k}", *_INT, lambda t, ids, name=name: [list(own).index(name) if name in (own := t.attributes(i)) else None for i in ids]))
         if "source" in needs.columns:
-            tags = needs.sources
-            columns.append(("source", T.StringType(), pa.string(), lambda t: [t.source(i) if tag in tags or None in tags else None for i, tag in enumerate(t.tag)]))
+            sources = needs.sources
+            columns.append(("source", T.StringType(), pa.string(), lambda t, ids: [t.source(i) if t.tag[i] in sources or None in sources else None for i in ids]))
         node = T.StructType([T.StructField(n, kind) for n, kind, _, _ in columns])
         text = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("owner", T.IntegerType()), T.StructField("value", T.StringType())])
         kind = T.StructType([T.StructField("nodes", T.ArrayType(node, False), False), T.StructField("texts", T.ArrayType(text, False), False)])
         fields = [pa.field(n, k) for n, _, k, _ in columns]
         text_fields = [pa.field("at", pa.int32()), pa.field("owner", pa.int32()), pa.field("value", pa.string())]
-        fills, with_texts = [fill for *_, fill in columns], needs.texts
+        fills, with_texts = [fill for *_, fill in columns[len(names) :]], needs.texts
 
         @F.arrow_udf(kind)
         def run(pages: pa.Array, labels: pa.Array) -> pa.Array:
-            held: list[list] = [[] for _ in fills]
+            held: list[list] = [[] for _ in fields]
             said: list[list] = [[], [], []]
             node_ends, text_ends = [0], [0]
             for h, label in zip(pages.to_pylist(), labels.to_pylist()):
                 t = parse(text_of(h, None if isinstance(h, str) else column_label(label)))
-                for column, fill in zip(held, fills):
-                    column.extend(fill(t))
+                ids, *own = _places(t, tags, names)
+                for column, part in zip(held, own):
+                    column.extend(part)
+                for column, fill in zip(held[len(names) :], fills):
+                    column.extend(fill(t, ids))
                 if with_texts:
-                    for column, own in zip(said, (t.text_at, t.owner, t.value)):
-                        column.extend(own)
+                    for column, part in zip(said, (t.text_at, t.owner, t.value)):
+                        column.extend(part)
                 node_ends.append(len(held[0]))
                 text_ends.append(len(said[0]))
             arrays = [_array([pa.array(c, f.type) for c, f in zip(columns_, fields_)], fields_, ends) for columns_, fields_, ends in ((held, fields, node_ends), (said, text_fields, text_ends))]
