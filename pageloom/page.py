@@ -245,7 +245,11 @@ def _row_of(subs: list[tuple[str, str, Card]]) -> Callable[[Column], Column]:
 
 
 def _lists(rows: list[list[str]]) -> pa.Array:
-    return pa.array(rows, pa.list_(pa.field("element", pa.string(), False)))
+    ends, values = [0], []
+    for row in rows:
+        values += row
+        ends.append(len(values))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.string()), type=pa.list_(pa.field("element", pa.string(), False)))
 
 
 def to_arrow(found: list, names: list[str], groups: list[tuple[str, list[str]]]) -> pa.Array:
